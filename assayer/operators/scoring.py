@@ -341,9 +341,9 @@ def rewards_by_profile(
     return inputs.withColumn("p", F.explode(entries)).select(
         *keys,
         F.col("p.profile").alias("profile"),
-        F.round("quality", 6).alias("quality"),
-        *[F.round(term, 6).alias(name) for name, term in terms.items()],
-        F.round(reward(weights), 6).alias("reward"),
+        F.round("quality", 9).alias("quality"),
+        *[F.round(term, 9).alias(name) for name, term in terms.items()],
+        F.round(reward(weights), 9).alias("reward"),
     )
 
 

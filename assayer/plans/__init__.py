@@ -6,7 +6,14 @@ from importlib import import_module
 
 from assayer.plans.registry import PLANS, TWINS, Plan
 
-MODULES = ("text_plans", "retrieval_plans")
+MODULES = (
+    "text_plans",
+    "retrieval_plans",
+    "dataset_plans",
+    "scoring_plans",
+    "policy_plans",
+    "statistics_plans",
+)
 
 
 def all_plans() -> tuple[dict[str, Plan], dict[str, str]]:

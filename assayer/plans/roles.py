@@ -381,7 +381,7 @@ SCORED_SQL = f"""
 _W = v.REWARD_PROFILES[v.PRIMARY_PROFILE]
 REWARD_EXPR_SQL = (
     f"round(quality - {_W[0]}::DOUBLE * normalized_cost - {_W[1]}::DOUBLE * normalized_latency"
-    f" - {_W[2]}::DOUBLE * hallucination - {_W[3]}::DOUBLE * violation, 6)"
+    f" - {_W[2]}::DOUBLE * hallucination - {_W[3]}::DOUBLE * violation, 9)"
 )
 REWARDS_SQL = f"""
     {SCORED_SQL},
@@ -396,7 +396,7 @@ def rewards(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes with reward inputs and the reward under the primary profile."""
     inputs = scoring.reward_inputs(scored(spark, folder))
     weights = v.REWARD_PROFILES[v.PRIMARY_PROFILE]
-    return inputs.withColumn("reward", F.round(scoring.reward(weights), 6))
+    return inputs.withColumn("reward", F.round(scoring.reward(weights), 9))
 
 
 def reward_vectors(spark: SparkSession, folder: str) -> DataFrame:
