@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,15 +35,16 @@ def json_object_text(raw: Column) -> Column:
     return F.coalesce(if_object(strip(raw)), if_object(fenced), if_object(braces))
 
 
-def structured_answer(raw: Column) -> Column:
-    """Parse one response into answer, citations, confidence and abstention.
+def parse_answers(responses: DataFrame, raw: str, output: str = "parsed_answer") -> DataFrame:
+    """Parse responses into answer, citations, confidence and abstention.
 
-    A NULL struct field ``parsed`` of false means a ``parse_error`` outcome. A
-    reason code implies abstention, an empty answer is no answer, and citations
-    may be bare identifiers.
+    ``parsed`` false means a ``parse_error`` outcome. A reason code implies
+    abstention, an empty answer is no answer, and citations may be bare
+    identifiers. The JSON is read once, in a step of its own.
     """
-    body = json_object_text(raw)
-    fields = F.from_json(body, ANSWER_SCHEMA)
+    body = responses.withColumn("__body", json_object_text(F.col(raw)))
+    read = body.withColumn("__f", F.from_json("__body", ANSWER_SCHEMA))
+    fields = F.col("__f")
     citations = F.transform(
         F.coalesce(fields["citations"], F.array().cast("array<string>")),
         lambda c: F.when(
@@ -64,14 +65,15 @@ def structured_answer(raw: Column) -> Column:
         answer.isNotNull()
     )
     in_range = F.coalesce(fields["confidence"].between(0.0, 1.0), F.lit(True))
-    return F.struct(
-        (body.isNotNull() & consistent & in_range).alias("parsed"),
+    struct = F.struct(
+        (F.col("__body").isNotNull() & consistent & in_range).alias("parsed"),
         answer.alias("answer"),
         citations.alias("citations"),
         fields["confidence"].alias("confidence"),
         abstained.alias("abstained"),
         reason.alias("abstention_reason"),
     )
+    return read.withColumn(output, struct).drop("__body", "__f")
 
 
 def split_citations(cited: Column, retrieved: Column) -> Column:

@@ -25,8 +25,8 @@ def mixed(key: Column, stream: Column | int) -> Column:
     key = F.pmod(key.cast("bigint"), F.lit(PRIME).cast("bigint"))
     stream = stream.cast("bigint")
     first = (key * 48271 + stream * 69621 + 12345) % PRIME
-    second = (first * first + first * 16807 + stream) % PRIME
-    return (second * second + second * 39373 + key) % PRIME
+    second = (first * (first + 16807) + stream) % PRIME
+    return (second * (second + 39373) + key) % PRIME
 
 
 def uniform(key: Column, stream: Column | int) -> Column:
@@ -38,9 +38,9 @@ def uniform_sql(key: str, stream: str) -> str:
     """The same draw as SQL text, for reports that are written in SQL."""
     folded = f"(({key}) % {PRIME})"
     first = f"(({folded} * 48271 + ({stream}) * 69621 + 12345) % {PRIME})"
-    second = f"(({first} * {first} + {first} * 16807 + ({stream})) % {PRIME})"
+    second = f"(({first} * ({first} + 16807) + ({stream})) % {PRIME})"
     return (
-        f"((({second} * {second} + {second} * 39373 + {folded}) % {PRIME})"
+        f"((({second} * ({second} + 39373) + {folded}) % {PRIME})"
         f" / CAST({PRIME} AS DOUBLE))"
     )
 
@@ -59,7 +59,10 @@ POISSON_ONE_CDF = (
 
 
 def poisson_one(draw: Column) -> Column:
-    """Turn a uniform draw into a Poisson(1) resampling weight."""
+    """Turn a uniform draw into a Poisson(1) resampling weight.
+
+    Pass a draw that is already a column: it is read once per threshold.
+    """
     weight = F.lit(0)
     for threshold in POISSON_ONE_CDF:
         weight = weight + (draw >= threshold).cast("int")

@@ -8,10 +8,12 @@ a fixed number of rounds per seed; seeds run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,44 +41,34 @@ class LinearArms:
         return inverse, np.einsum("kij,kj->ki", inverse, self.b)
 
 
-def _dot(x: Column, weights: np.ndarray) -> Column:
-    return sum((F.get(x, i) * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-
-
-def _quadratic(x: Column, matrix: np.ndarray) -> Column:
-    terms = [
-        F.get(x, i) * F.get(x, j) * float(matrix[i, j] * (1 if i == j else 2))
-        for i in range(len(matrix))
-        for j in range(i, len(matrix))
-    ]
-    return sum(terms, F.lit(0.0))
-
-
 def first_argmax(scores: Column) -> Column:
     """Index of the largest score; ties go to the lowest arm."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
 def choose(
-    x: Column, key: Column, arms: LinearArms, algorithm: str, parameter: float, batch: int
-) -> Column:
-    """Arm chosen for a context under the current statistics, as a Column."""
+    x: np.ndarray, draws: np.ndarray, arms: LinearArms, algorithm: str, parameter: float, batch: int
+) -> np.ndarray:
+    """Arms for a block of contexts under the current statistics.
+
+    ``draws`` holds two uniform draws per context, used for exploration. A
+    Thompson batch shares one posterior draw, seeded by the batch number, so a
+    retried task repeats its choices.
+    """
     inverse, theta = arms.inverse()
+    scores = x @ theta.T
     if algorithm == "linucb":
-        scores = [
-            _dot(x, theta[k]) + parameter * F.sqrt(_quadratic(x, inverse[k])) for k in range(K)
-        ]
+        scores = scores + parameter * np.sqrt(np.einsum("ni,kij,nj->nk", x, inverse, x))
     elif algorithm == "thompson":
         rng = np.random.default_rng([v.DEFAULT_SEED, batch])
-        draws = [rng.multivariate_normal(theta[k], parameter**2 * inverse[k]) for k in range(K)]
-        scores = [_dot(x, w) for w in draws]
-    elif algorithm == "epsilon_greedy":
-        greedy = first_argmax(F.array(*[F.round(_dot(x, theta[k]), 9) for k in range(K)]))
-        explore = F.floor(uniform(key, 2 * batch + 1) * K).cast("int")
-        return F.when(uniform(key, 2 * batch) < parameter, explore).otherwise(greedy)
-    else:
+        sampled = [rng.multivariate_normal(theta[k], parameter**2 * inverse[k]) for k in range(K)]
+        scores = x @ np.stack(sampled).T
+    elif algorithm != "epsilon_greedy":
         raise ValueError(f"unknown bandit {algorithm!r}")
-    return first_argmax(F.array(*[F.round(s, 9) for s in scores]))
+    best = np.argmax(np.round(scores, 9), axis=1)
+    if algorithm == "epsilon_greedy":
+        return np.where(draws[:, 0] < parameter, (draws[:, 1] * K).astype(int), best)
+    return best
 
 
 def learn_in_batches(
@@ -96,40 +88,73 @@ def learn_in_batches(
     if batches <= 0:
         raise ValueError("batches must be positive")
     spark = matrix.sparkSession
-    width = matrix.select(F.max(F.size("x"))).first()[0] or 1
-    arms = LinearArms(width, ridge)
     batch_no = F.floor(uniform(F.col("question_key"), 7) * batches).cast("int")
-    sliced = matrix.withColumn("batch", batch_no)
+    # Read once per batch; lost blocks are recomputed from the table.
+    sliced = matrix.select("question_key", "x", "rewards", batch_no.alias("batch")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    width = sliced.select(F.max(F.size("x"))).first()[0] or 1
+    arms = LinearArms(width, ridge)
     report: list[tuple] = []
+    cells = width * width
+    schema = (
+        "arm int, n bigint, reward double, best double, b array<double>, a array<double>"
+    )
     for batch in range(batches):
-        arm = choose(F.col("x"), F.col("question_key"), arms, algorithm, parameter, batch)
+
+        def play(frames: Iterator[pd.DataFrame], arms=arms, batch=batch) -> Iterator[pd.DataFrame]:
+            """Partial sums of a partition: at most one row per arm."""
+            total = np.zeros((K, 3 + width + cells))
+            for frame in frames:
+                if frame.empty:
+                    continue
+                x = np.vstack(frame["x"].to_numpy())
+                rewards = np.vstack(frame["rewards"].to_numpy())
+                draws = frame[["d0", "d1"]].to_numpy()
+                arm = choose(x, draws, arms, algorithm, parameter, batch)
+                earned = rewards[np.arange(len(arm)), arm]
+                outer = np.einsum("ni,nj->nij", x, x).reshape(len(arm), cells)
+                ones = np.ones(len(arm))
+                parts = np.column_stack(
+                    [ones, earned, rewards.max(axis=1), x * earned[:, None], outer]
+                )
+                np.add.at(total, arm, parts)
+            used = np.flatnonzero(total[:, 0])
+            yield pd.DataFrame(
+                {
+                    "arm": used,
+                    "n": total[used, 0].astype("int64"),
+                    "reward": total[used, 1],
+                    "best": total[used, 2],
+                    "b": list(total[used, 3 : 3 + width]),
+                    "a": list(total[used, 3 + width :]),
+                }
+            )
+
         played = (
             sliced.filter(F.col("batch") == batch)
-            .withColumn("arm", arm)
-            .withColumn("r", F.get("rewards", F.col("arm")))
+            .select(
+                "x",
+                "rewards",
+                uniform(F.col("question_key"), 2 * batch + 100).alias("d0"),
+                uniform(F.col("question_key"), 2 * batch + 101).alias("d1"),
+            )
+            .mapInPandas(play, schema)
         )
-        outer = [
-            F.sum(F.get("x", i) * F.get("x", j)).alias(f"a_{i}_{j}")
-            for i in range(width)
-            for j in range(i, width)
-        ]
         stats = played.groupBy("arm").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("r").alias("reward"),
-            F.sum(F.array_max("rewards")).alias("best"),
-            *[F.sum(F.col("r") * F.get("x", i)).alias(f"b_{i}") for i in range(width)],
-            *outer,
+            F.sum("n").alias("n"),
+            F.sum("reward").alias("reward"),
+            F.sum("best").alias("best"),
+            F.array(*[F.sum(F.get("b", F.lit(i))) for i in range(width)]).alias("b"),
+            F.array(*[F.sum(F.get("a", F.lit(i))) for i in range(cells)]).alias("a"),
         )
         # At most one row per arm.
         for row in stats.orderBy("arm").collect():
             k = row["arm"]
-            for i in range(width):
-                arms.b[k, i] += row[f"b_{i}"]
-                for j in range(i, width):
-                    arms.a[k, i, j] += row[f"a_{i}_{j}"]
-                    if i != j:
-                        arms.a[k, j, i] += row[f"a_{i}_{j}"]
+            arms.b[k] += row["b"]
+            arms.a[k] += np.reshape(row["a"], (width, width))
             report.append((batch, v.ACTIONS[k], row["n"], row["reward"], row["best"]))
+    sliced.unpersist()
     return spark.createDataFrame(
         report,
         "batch int, action_id string, n_rounds bigint, reward double, oracle_reward double",

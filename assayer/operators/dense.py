@@ -121,6 +121,7 @@ def nearest(
     k: int = 10,
     min_similarity: float = 0.0,
     exclude_self: bool = False,
+    dimensions: int = 256,
 ) -> DataFrame:
     """Top-k by dot product: (question_id, chunk_id, score, rank).
 
@@ -138,27 +139,24 @@ def nearest(
         corpus.schema["chunk_id"].dataType.simpleString(),
     )
     schema = f"question_id {types[0]}, chunk_id {types[1]}, ordinal int, score double"
-    width = queries.select(F.max(F.size("vector"))).first()[0] or 1
-    limit = min(broadcast_row_limit(corpus.sparkSession), max(1, MATRIX_CELLS // width))
-    product = (
-        _broadcast_product if queries.limit(limit + 1).count() <= limit else _blocked_product
-    )
-    candidates = product(
-        corpus.select("chunk_id", "ordinal", "vector"),
-        queries.select("question_id", "vector"),
-        wanted,
-        min_similarity,
-        schema,
-    )
+    rows = corpus.select("chunk_id", "ordinal", "vector")
+    asked = queries.select("question_id", "vector")
+    limit = min(broadcast_row_limit(corpus.sparkSession), max(1, MATRIX_CELLS // dimensions))
+    # The fetch stops at the limit, so an oversized query side never arrives.
+    fetched = asked.limit(limit + 1).toPandas()
+    if len(fetched) <= limit:
+        candidates = _broadcast_product(rows, fetched, wanted, min_similarity, schema)
+    else:
+        candidates = _blocked_product(rows, asked, wanted, min_similarity, schema)
     if exclude_self:
         candidates = candidates.filter(F.col("question_id") != F.col("chunk_id"))
     return top_k(candidates, k, "ordinal", "chunk_id").drop("ordinal")
 
 
 def _broadcast_product(
-    corpus: DataFrame, queries: DataFrame, k: int, floor: float, schema: str
+    corpus: DataFrame, queries: pd.DataFrame, k: int, floor: float, schema: str
 ) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(queries.toPandas())
+    shared = corpus.sparkSession.sparkContext.broadcast(queries)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -39,23 +39,20 @@ def _softmax(values: Column, sign: int) -> Column:
     return F.transform(weights, lambda w: w / total)
 
 
-def behaviour_policies(rewards: DataFrame, fit_split: str = "validation") -> DataFrame:
+def behaviour_policies(matrix: DataFrame, fit_split: str = "validation") -> DataFrame:
     """One row holding ``policies``: ARRAY<STRUCT<policy, probabilities>>.
 
-    The softmax policies need per-action means of normalized cost (whole
-    matrix) and of reward (fitting split), one aggregate over the matrix.
+    The softmax policies need per-arm means of normalized cost (whole matrix)
+    and of reward (fitting split): one aggregate over ``rewards`` and ``costs``.
     """
 
-    def means(value: Column) -> list[Column]:
-        return [
-            F.coalesce(F.round(F.avg(F.when(F.col("action_id") == a, value)), DIGITS), F.lit(0.0))
-            for a in v.ACTIONS
-        ]
+    def means(name: str, scope: Column) -> Column:
+        parts = [F.avg(F.when(scope, F.get(name, F.lit(arm)))) for arm in range(K)]
+        return F.array(*[F.coalesce(F.round(m, DIGITS), F.lit(0.0)) for m in parts])
 
-    validated = F.when(F.col("split") == fit_split, F.col("reward"))
-    summary = rewards.agg(
-        F.array(*means(F.col("normalized_cost"))).alias("costs"),
-        F.array(*means(validated)).alias("values"),
+    summary = matrix.agg(
+        means("costs", F.lit(True)).alias("costs"),
+        means("rewards", F.col("split") == fit_split).alias("values"),
     )
     probabilities = {
         "uniform_random": F.array(*[F.lit(1.0 / K)] * K),
@@ -108,10 +105,14 @@ def replay_log(
         F.explode(F.array(*map(F.lit, seeds))).alias("simulation_seed"),
     )
     stream = F.col("simulation_seed") * 1000 + F.col("policy_no") * 100
-    count = poisson_one(uniform(F.col("question_key"), stream))
-    rounds = numbered.withColumn("n_rounds", count).filter("n_rounds > 0")
-    rounds = rounds.withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.col("n_rounds"))))
-    draw = uniform(F.col("question_key"), stream + F.col("draw_no"))
+    counted = numbered.withColumn("stream", stream).withColumn(
+        "luck", uniform(F.col("question_key"), F.col("stream"))
+    )
+    counted = counted.withColumn("n_rounds", poisson_one(F.col("luck")))
+    # A question that draws no round explodes to nothing.
+    drawn = F.slice(F.array(*map(F.lit, range(1, 9))), F.lit(1), F.col("n_rounds"))
+    rounds = counted.withColumn("draw_no", F.explode(drawn))
+    draw = uniform(F.col("question_key"), F.col("stream") + F.col("draw_no"))
     arm = pick_arm(F.col("probabilities"), F.col("draw"))
     return (
         rounds.withColumn("draw", draw)

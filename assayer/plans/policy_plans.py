@@ -150,7 +150,7 @@ def pareto_front(spark, folder):
     "budget_guard",
     f"""WITH {roles.OUTCOMES_SQL}, r AS (SELECT action_id, question_key, coalesce(estimated_cost_usd, 0) AS cost,
         sum(coalesce(estimated_cost_usd, 0)) OVER (PARTITION BY action_id ORDER BY question_key) AS spent FROM outcomes),
-    f AS (SELECT action_id, min(question_key) FILTER (round(spent, 6) > 25) AS first_over, round(sum(cost), 6) AS total FROM r GROUP BY ALL)
+    f AS (SELECT action_id, min(question_key) FILTER (round(spent, 6) > 25) AS first_over, round(sum(cost), 2) AS total FROM r GROUP BY ALL)
     SELECT action_id, coalesce(first_over, -1) AS first_over, total FROM f""",
 )
 def budget_guard(spark, folder):
@@ -165,7 +165,7 @@ def budget_guard(spark, folder):
     over = F.when(F.round("cost_through", 6) > 25.0, F.col("question_key"))
     return totals.groupBy("action_id").agg(
         F.coalesce(F.min(over), F.lit(-1)).alias("first_over"),
-        F.round(F.sum("cost"), 6).alias("total"),
+        F.round(F.sum("cost"), 2).alias("total"),
     )
 
 
@@ -194,7 +194,7 @@ def review_sample(spark, folder):
     "budget_estimate",
     f"""WITH {roles.OUTCOMES_SQL}, r AS (SELECT action_id, coalesce(estimated_cost_usd, 0) AS cost,
         row_number() OVER (PARTITION BY action_id ORDER BY {uniform_sql("question_key", _SEED)}, question_key) AS pick FROM outcomes)
-    SELECT action_id, round(avg(cost) FILTER (pick <= 20) * count(*), 4) AS estimated_total FROM r GROUP BY ALL""",
+    SELECT action_id, round(avg(cost) FILTER (pick <= 20) * count(*), 2) AS estimated_total FROM r GROUP BY ALL""",
 )
 def budget_estimate(spark, folder):
     """Projected spend per action from a dry run on 20 questions."""
@@ -205,7 +205,7 @@ def budget_estimate(spark, folder):
     means = sampled.groupBy("action_id").agg(F.avg("cost").alias("mean"))
     counts = spend.groupBy("action_id").agg(F.count(F.lit(1)).alias("n"))
     return means.join(counts, "action_id").select(
-        "action_id", F.round(F.col("mean") * F.col("n"), 4).alias("estimated_total")
+        "action_id", F.round(F.col("mean") * F.col("n"), 2).alias("estimated_total")
     )
 
 
@@ -267,8 +267,8 @@ LOG_SQL = f"""{roles.REWARDS_SQL}, {_policy_rows_sql()},
 
 
 def log(spark, folder):
-    behaviours = ope.behaviour_policies(roles.rewards(spark, folder))
-    return ope.replay_log(roles.reward_vectors(spark, folder), behaviours, SEEDS)
+    matrix = roles.reward_vectors(spark, folder)
+    return ope.replay_log(matrix, ope.behaviour_policies(matrix), SEEDS)
 
 
 @plan(
@@ -277,7 +277,7 @@ def log(spark, folder):
     SELECT policy, [{", ".join(f"'{a}'" for a in _A)}][i] AS action_id, p[i] AS propensity FROM (SELECT *, unnest(range(1, 8)) AS i FROM pol)""",
 )
 def behaviour_propensities(spark, folder):
-    return ope.propensity_rows(ope.behaviour_policies(roles.rewards(spark, folder)))
+    return ope.propensity_rows(ope.behaviour_policies(roles.reward_vectors(spark, folder)))
 
 
 @plan("bandit_log", f"WITH {LOG_SQL} SELECT * FROM log")

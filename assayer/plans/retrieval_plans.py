@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from assayer.operators import bm25, dense, evidence, features, fusion, policies
 from assayer.plans import roles, text_plans
 from assayer.plans.registry import plan
+from assayer.session import spread
 from assayer.sources.tables import table
 
 K = 10
@@ -119,7 +121,8 @@ DENSE_SQL = """
 def neighbours(spark, folder):
     corpus = vectors(spark, folder)
     asked = corpus.select(F.col("chunk_id").alias("question_id"), "vector")
-    return dense.nearest(corpus.select("chunk_id", "vector"), asked, K, exclude_self=True)
+    rows = spread(corpus.select("chunk_id", "vector"), "chunk_id")
+    return dense.nearest(rows, asked, K, exclude_self=True, dimensions=64)
 
 
 @plan(
@@ -172,9 +175,11 @@ def dense_label_recall(spark, folder):
 
 
 def rankings(spark, folder):
-    return fusion.as_source(lexical(spark, folder), "bm25").unionByName(
+    """Candidate lists of both retrievers: a bounded table that is read twice."""
+    both = fusion.as_source(lexical(spark, folder), "bm25").unionByName(
         fusion.as_source(hashed(spark, folder), "dense")
     )
+    return both.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _rrf_sql(bm25_weight: str, dense_weight: str) -> str:
@@ -267,17 +272,15 @@ def evidence_gold(spark, folder):
 
 
 def ranked_lists(spark, folder):
-    fused = fusion.reciprocal_rank_fusion(rankings(spark, folder), K)
-    lists = {
-        "bm25": lexical(spark, folder, K),
-        "hashed": hashed(spark, folder, K),
-        "hybrid": fused,
-    }
-    tall = None
-    for name, ranked in lists.items():
-        part = ranked.select("question_id", F.lit(name).alias("retriever"), "chunk_id", "rank")
-        tall = part if tall is None else tall.unionByName(part)
-    return tall
+    """The best K of each retriever; a list's head is the head of its candidates."""
+    candidates = rankings(spark, folder)
+    fused = fusion.as_source(fusion.reciprocal_rank_fusion(candidates, K), "hybrid")
+    retriever = F.when(F.col("source") == "dense", "hashed").otherwise(F.col("source"))
+    return (
+        candidates.filter(F.col("rank") <= K)
+        .unionByName(fused)
+        .select("question_id", retriever.alias("retriever"), "chunk_id", "rank")
+    )
 
 
 def results(spark, folder):

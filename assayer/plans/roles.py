@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import string
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +18,21 @@ from assayer import vocabulary as v
 from assayer.functions import answers
 from assayer.functions import text as tx
 from assayer.operators import scoring
-from assayer.session import join_small
+from assayer.session import join_small, spread
 from assayer.sources.tables import table
 
 # ---------------------------------------------------------------- text corpus
 SHINGLE = 6
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One chunk per document."""
     identifier = F.concat(F.lit("d"), F.col("doc_id"))
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         identifier.alias("chunk_id"),
         identifier.alias("document_id"),
         F.lit(0).alias("ordinal"),
@@ -48,7 +53,7 @@ def paged_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.split("text", "\n"),
         lambda t, i: F.struct((i + 1).alias("page_number"), t.alias("text")),
     )
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), pages.alias("pages")
     )
 
@@ -260,9 +265,11 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
             ]
         )
     )
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
+    )
     rows = (
-        table(spark, folder, "orders")
-        .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+        spread(orders, "o_orderkey")
         .withColumn("arm", arms)
         .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "arm.*")
     )
@@ -400,18 +407,21 @@ def rewards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reward_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """(question_key, question_id, context, split, rewards ARRAY by arm).
+    """(question_key, question_id, context, split, rewards, costs), arrays by arm.
 
-    All arms of a question come from one order row, so they are put side by side
-    with one aggregate over narrow columns.
+    One aggregate over narrow columns. The matrix is read several times by the
+    policy queries, so it is kept; a lost block is recomputed from the table.
     """
-    flat = rewards(spark, folder).select(
-        "question_key", "question_id", "context", "split", "action_id", "reward"
-    )
-    return flat.groupBy("question_key", "question_id", "context", "split").agg(
-        F.array(*[F.max(F.when(F.col("action_id") == a, F.col("reward"))) for a in v.ACTIONS]).alias(
-            "rewards"
-        )
+
+    def by_arm(value: str) -> F.Column:
+        return F.array(*[F.max(F.when(F.col("action_id") == a, F.col(value))) for a in v.ACTIONS])
+
+    keys = ("question_key", "question_id", "context", "split")
+    flat = rewards(spark, folder).select(*keys, "action_id", "reward", "normalized_cost")
+    return (
+        flat.groupBy(*keys)
+        .agg(by_arm("reward").alias("rewards"), by_arm("normalized_cost").alias("costs"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
@@ -432,7 +442,8 @@ _FILING = {
 
 def filing_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Orders rendered as JSON question lines, some of them damaged."""
-    rows = table(spark, folder, "orders").withColumns(
+    orders = table(spark, folder, "orders").drop("o_orderstatus", "o_orderpriority")
+    rows = spread(orders, "o_orderkey").withColumns(
         {name: F.expr(e.format(t="string")) for name, e in _FILING.items()}
     )
     entry = lambda doc, page: F.struct(

@@ -382,8 +382,8 @@ def structured_answers(spark, folder):
         .when(kind == 1, fenced)
         .otherwise(prose)
     )
-    parsed = rows.select("question_id", "action_id", answers.structured_answer(raw).alias("a"))
-    return parsed.select(
+    responses = rows.select("question_id", "action_id", raw.alias("raw"))
+    return answers.parse_answers(responses, "raw", "a").select(
         "question_id",
         "action_id",
         "a.parsed",

@@ -62,6 +62,16 @@ def join_small(
     return salted_big.join(salted_small, [*keys, "__salt"], how).drop("__salt")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table over the cores when its files give too few partitions.
+
+    Input of any size arrives with enough partitions and is left alone; a table
+    in one small file would otherwise keep every narrow step in one task.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names.
 
