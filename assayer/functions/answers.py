@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.calculator import evaluate
+from assayer.functions.once import with_once
 from assayer.functions.text import strip
 
 #: Scalar fields of the response contract; citations arrive in two shapes.
@@ -29,8 +30,8 @@ def json_object_text(raw: Column) -> Column:
     braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
 
     def if_object(candidate: Column) -> Column:
-        parsed = F.schema_of_variant(F.try_parse_json(candidate))
-        return F.when(F.startswith(parsed, F.lit("OBJECT")), candidate)
+        opens = F.startswith(candidate, F.lit("{"))
+        return F.when(opens & F.try_parse_json(candidate).isNotNull(), candidate)
 
     return F.coalesce(if_object(strip(raw)), if_object(fenced), if_object(braces))
 
@@ -42,8 +43,8 @@ def parse_answers(responses: DataFrame, raw: str, output: str = "parsed_answer")
     abstention, an empty answer is no answer, and citations may be bare
     identifiers. The JSON is read once, in a step of its own.
     """
-    body = responses.withColumn("__body", json_object_text(F.col(raw)))
-    read = body.withColumn("__f", F.from_json("__body", ANSWER_SCHEMA))
+    body = with_once(responses, "__body", json_object_text(F.col(raw)))
+    read = with_once(body, "__f", F.from_json("__body", ANSWER_SCHEMA))
     fields = F.col("__f")
     citations = F.transform(
         F.coalesce(fields["citations"], F.array().cast("array<string>")),

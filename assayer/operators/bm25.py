@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import text as tx
-from assayer.session import fits_broadcast
+from assayer.session import fits_broadcast, join_small
 
 SCORE_DIGITS = 6
 
@@ -86,43 +87,62 @@ def saturation(tf: Column, length: Column, mean: Column, settings: Bm25Settings)
     return tf * (settings.k1 + 1.0) / (tf + settings.k1 * norm)
 
 
+def query_index(chunks: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
+    """Postings of the query vocabulary plus one length row per chunk.
+
+    One pass over the corpus yields everything scoring needs: the rows with a
+    NULL term carry each chunk's length for N and the mean, the others are the
+    postings. The result is narrow, hashed by chunk and kept, because document
+    frequencies, totals and scores all read it.
+    """
+    keys = ("chunk_id", "document_id", "ordinal")
+    length_row = F.array(
+        F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
+    )
+    rows = index_terms(chunks, *keys).select(
+        *keys, "doc_len", F.inline(F.concat(length_row, term_counts(F.col("terms"))))
+    )
+    wanted = vocabulary.withColumn("wanted", F.lit(True))
+    if small:
+        wanted = F.broadcast(wanted)
+    kept = rows.join(wanted, "term", "left").filter(
+        F.col("wanted").isNotNull() | F.col("term").isNull()
+    )
+    return kept.drop("wanted").repartition("chunk_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def score(
     chunks: DataFrame, queries: DataFrame, settings: Bm25Settings = Bm25Settings()
 ) -> DataFrame:
     """(question_id, chunk_id, document_id, ordinal, score), positive scores only.
 
-    Statistics cover the whole corpus. The scoring join is on the term against
-    the query side, which carries the term's weight.
+    Statistics cover the whole corpus. With a broadcast query side, a chunk's
+    postings are already in one place, so its sums for all queries need no
+    exchange and only each partition's top-k is shuffled.
     """
-    keys = ("chunk_id", "document_id", "ordinal")
-    indexed = index_terms(chunks, *keys)
     wanted = query_terms(queries)
-    vocabulary = wanted.select("term").distinct()
     small = fits_broadcast(wanted)
     side = F.broadcast if small else (lambda df: df)
-
-    # The statistics below need every chunk's length but only query terms' df.
-    kept = postings(indexed, *keys).join(side(vocabulary), "term", "left_semi")
-    n = indexed.agg(F.count(F.lit(1))).scalar()
-    mean_len = indexed.agg(F.avg("doc_len")).scalar()
+    index = query_index(chunks, wanted.select("term").distinct(), small)
+    lengths = index.filter("term is null")
+    n = lengths.agg(F.count(F.lit(1))).scalar()
+    mean_len = lengths.agg(F.avg("doc_len")).scalar()
+    kept = index.filter("term is not null")
     frequencies = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = (
-        wanted.join(side(frequencies), "term")
-        .select("question_id", "term", (F.col("qtf") * idf(n, F.col("df"))).alias("weight"))
-    )
-    gain = F.col("weight") * F.col("saturated")
-    # Hashing postings by chunk once lets every query's sum for that chunk be
-    # taken locally; with a broadcast query side no further exchange is needed
-    # before the per-partition top-k.
-    placed = kept.repartition("chunk_id") if small else kept
-    placed = placed.withColumn(
+    weights = wanted.join(side(frequencies), "term").select(
+        "question_id", "term", (F.col("qtf") * idf(n, F.col("df"))).alias("weight")
+    )
+    saturated = kept.withColumn(
         "saturated", saturation(F.col("tf"), F.col("doc_len"), mean_len, settings)
     )
-    matched = placed.join(side(weights), "term")
-    summed = matched.groupBy("chunk_id", "question_id").agg(
-        F.first("document_id").alias("document_id"),
-        F.first("ordinal").alias("ordinal"),
-        F.round(F.sum(gain), SCORE_DIGITS).alias("score"),
+    summed = (
+        saturated.join(side(weights), "term")
+        .groupBy("chunk_id", "question_id")
+        .agg(
+            F.first("document_id").alias("document_id"),
+            F.first("ordinal").alias("ordinal"),
+            F.round(F.sum(F.col("weight") * F.col("saturated")), SCORE_DIGITS).alias("score"),
+        )
     )
     return summed.filter(F.col("score") > 0)
 
@@ -139,9 +159,13 @@ def score_scoped(
     and mean length are those of each question's scope, as if an index had been
     built per question.
     """
-    indexed = index_terms(chunks, "chunk_id", "document_id", "ordinal")
     wanted = query_terms(queries)
     in_scope = scope.distinct()
+    # Only documents inside some scope are tokenized at all.
+    scoped = join_small(
+        chunks, in_scope.select("document_id").distinct(), "document_id", "left_semi"
+    )
+    indexed = index_terms(scoped, "chunk_id", "document_id", "ordinal")
     lengths = indexed.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_doc"), F.sum("doc_len").alias("len_doc")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
 from assayer.functions import text as tx
+from assayer.functions.once import with_once
 
 RETRIEVAL_K = 10
 RELATIVE_TOLERANCE = 0.01
@@ -66,12 +67,18 @@ def prepare(outcomes: DataFrame) -> DataFrame:
     """Add the quantities several scorers share, each computed once."""
     top = F.array_distinct(F.slice("retrieved_chunk_ids", 1, RETRIEVAL_K))
     gold = F.array_distinct("gold_chunk_ids")
-    return outcomes.select(
-        "*",
+    figures = F.struct(
+        tx.numbers(F.col("reference_answer")).alias("expected"),
+        tx.numbers(F.col("answer")).alias("actual"),
         top.alias("top"),
         gold.alias("gold"),
-        tx.numbers(F.col("reference_answer")).alias("expected_numbers"),
-        tx.numbers(F.col("answer")).alias("answer_numbers"),
+    )
+    return with_once(outcomes, "__once", figures).select(
+        *outcomes.columns,
+        F.col("__once.top").alias("top"),
+        F.col("__once.gold").alias("gold"),
+        F.col("__once.expected").alias("expected_numbers"),
+        F.col("__once.actual").alias("answer_numbers"),
     ).select(
         "*",
         F.size("gold").alias("n_gold"),

@@ -59,7 +59,7 @@ def bm25_stats(spark, folder):
 def bm25_scoped(spark, folder):
     scope = roles.gold_references(spark, folder).select("question_id", "document_id")
     scored = bm25.score_scoped(
-        text_plans.chunks(spark, folder), roles.questions(spark, folder), scope
+        text_plans.chunks(spark, folder, scope), roles.questions(spark, folder), scope
     )
     return bm25.top_k(scored, K).select("question_id", "chunk_id", "score", "rank")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
 from assayer.functions import answers
+from assayer.functions.once import with_once
 from assayer.functions import text as tx
 from assayer.operators import scoring
 from assayer.session import join_small, spread
@@ -23,6 +24,7 @@ from assayer.sources.tables import table
 
 # ---------------------------------------------------------------- text corpus
 SHINGLE = 6
+SHINGLE_KEY = ["shingle", "shingle_check"]
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,48 +49,61 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def paged_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with their lines as numbered pages."""
+def paged_documents(
+    spark: SparkSession, folder: str, only: DataFrame | None = None
+) -> DataFrame:
+    """Documents with their lines as numbered pages.
+
+    ``only`` (document_id) restricts the scan before any text is processed.
+    """
     pages = F.transform(
         F.split("text", "\n"),
         lambda t, i: F.struct((i + 1).alias("page_number"), t.alias("text")),
     )
-    return documents(spark, folder).select(
-        F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), pages.alias("pages")
+    named = documents(spark, folder).select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), "text"
     )
+    if only is not None:
+        named = join_small(named, only.select("document_id").distinct(), "document_id", "left_semi")
+    return named.select("document_id", pages.alias("pages"))
 
 
 def shingled(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Distinct word runs per row; rows shorter than one run have none."""
+    """Word runs of every row as 96-bit digests; short rows have none."""
     words = tx.tokens(F.col(text), expand_numbers=False, remove_stopwords=False)
-    tokenized = rows.select(*keys, words.alias("words")).filter(F.size("words") >= SHINGLE)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("words") - SHINGLE + 1),
-        lambda i: F.array_join(F.slice("words", i, F.lit(SHINGLE)), " "),
-    )
-    return tokenized.select(*keys, F.explode(F.array_distinct(runs)).alias("shingle"))
+    tokenized = with_once(rows.select(*keys, text), "words", words)
+    starts = F.when(
+        F.size("words") >= SHINGLE, F.sequence(F.lit(1), F.size("words") - SHINGLE + 1)
+    ).otherwise(F.array().cast("array<int>"))
+
+    def digest(start: F.Column) -> F.Column:
+        run = F.slice("words", start, F.lit(SHINGLE))
+        return F.struct(F.xxhash64(run).alias("shingle"), F.hash(run).alias("shingle_check"))
+
+    return tokenized.select(*keys, F.inline(F.transform(starts, digest)))
 
 
 def gold_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(question_id, chunk_id): documents sharing a run of words with an item."""
-    asked = shingled(questions(spark, folder), ["question_id"], "question_text")
+    asked = shingled(questions(spark, folder), ["question_id"], "question_text").distinct()
     held = shingled(corpus(spark, folder), ["chunk_id"], "text")
-    return join_small(held, asked, "shingle").select("question_id", "chunk_id").distinct()
+    return join_small(held, asked, SHINGLE_KEY).select("question_id", "chunk_id").distinct()
 
 
 def gold_references(spark: SparkSession, folder: str) -> DataFrame:
     """(question_id, reference): page references of the passages of every item."""
     pages = paged_documents(spark, folder).select("document_id", F.inline("pages"))
-    asked = shingled(questions(spark, folder), ["question_id"], "question_text")
+    asked = shingled(questions(spark, folder), ["question_id"], "question_text").distinct()
     held = shingled(pages, ["document_id", "page_number"], "text")
-    found = join_small(held, asked, "shingle").select(
+    found = join_small(held, asked, SHINGLE_KEY).select(
         "question_id", "document_id", "page_number"
     ).distinct()
+    # A few rows per question, read for the scope and for the references.
     return found.select(
         "question_id",
         "document_id",
         tx.evidence_reference(F.col("document_id"), F.col("page_number")).alias("reference"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 AZ = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"

@@ -176,8 +176,8 @@ def document_names(spark, folder):
     )
 
 
-def chunks(spark, folder):
-    return chunking.chunk_documents(roles.paged_documents(spark, folder), SETTINGS)
+def chunks(spark, folder, only=None):
+    return chunking.chunk_documents(roles.paged_documents(spark, folder, only), SETTINGS)
 
 
 _SIZE, _OVERLAP, _WIDTH = SETTINGS.size_tokens, SETTINGS.overlap_tokens, SETTINGS.size_tokens * 4
@@ -274,9 +274,8 @@ _REFS_SQL = f"""
       FROM held JOIN asked USING (shingle))"""
 
 
-def evidence_references(spark, folder):
+def evidence_references(found):
     """Page references plus, per question, damaged, unknown and open ones."""
-    found = roles.gold_references(spark, folder)
     other = F.array(
         F.concat("document_id", F.lit("::p?")),
         F.concat(F.lit("missing-"), "document_id", F.lit("::p1")),
@@ -299,7 +298,9 @@ def evidence_references(spark, folder):
     UNION ALL SELECT question_id, document_id || ':p1', NULL, 'unresolved' FROM docs""",
 )
 def evidence_resolution(spark, folder):
-    return resolve(evidence_references(spark, folder), chunks(spark, folder))
+    found = roles.gold_references(spark, folder)
+    existing = roles.corpus(spark, folder).select("document_id")
+    return resolve(evidence_references(found), chunks(spark, folder, found), existing)
 
 
 @plan(

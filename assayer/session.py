@@ -56,6 +56,7 @@ def join_small(
     if fits_broadcast(small):
         return big.join(F.broadcast(small), keys, how)
     salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salt)))
+    # Row hashes, unlike rand(), give a retried task the same salts.
     salted_small = small.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint")))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import text as tx
+from assayer.functions.once import with_once
 
 # Page separator of plain-text documents.
 PAGE_DELIMITER = "\n<<<PAGE>>>\n"
@@ -37,7 +38,8 @@ def question_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_questions(lines: DataFrame, dataset: str = "benchmark") -> tuple[DataFrame, DataFrame]:
     """Questions and parse failures from a ``line`` column; blank lines skipped."""
-    rows = lines.filter(tx.strip(F.col("line")) != "").withColumn(
+    rows = with_once(
+        lines.filter(tx.strip(F.col("line")) != ""),
         "row",
         F.from_json(
             "line", QUESTION_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}
