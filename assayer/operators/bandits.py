@@ -47,22 +47,22 @@ def first_argmax(scores: Column) -> Column:
 
 
 def choose(
-    x: np.ndarray, draws: np.ndarray, arms: LinearArms, algorithm: str, parameter: float, batch: int
+    x: np.ndarray, draws: np.ndarray, arms: LinearArms, algorithm: str, parameter: float
 ) -> np.ndarray:
     """Arms for a block of contexts under the current statistics.
 
-    ``draws`` holds two uniform draws per context, used for exploration. A
-    Thompson batch shares one posterior draw, seeded by the batch number, so a
-    retried task repeats its choices.
+    ``draws`` holds two hash draws per context and arm, so a retried task repeats
+    its choices. A posterior draw enters a score only through x'theta, which is
+    normal with the spread LinUCB uses, so one normal per arm suffices.
     """
     inverse, theta = arms.inverse()
     scores = x @ theta.T
+    spread = np.sqrt(np.einsum("ni,kij,nj->nk", x, inverse, x))
     if algorithm == "linucb":
-        scores = scores + parameter * np.sqrt(np.einsum("ni,kij,nj->nk", x, inverse, x))
+        scores = scores + parameter * spread
     elif algorithm == "thompson":
-        rng = np.random.default_rng([v.DEFAULT_SEED, batch])
-        sampled = [rng.multivariate_normal(theta[k], parameter**2 * inverse[k]) for k in range(K)]
-        scores = x @ np.stack(sampled).T
+        radius = np.sqrt(-2.0 * np.log(1.0 - draws[:, :K]))
+        scores = scores + parameter * spread * radius * np.cos(2.0 * np.pi * draws[:, K:])
     elif algorithm != "epsilon_greedy":
         raise ValueError(f"unknown bandit {algorithm!r}")
     best = np.argmax(np.round(scores, 9), axis=1)
@@ -102,7 +102,7 @@ def learn_in_batches(
     )
     for batch in range(batches):
 
-        def play(frames: Iterator[pd.DataFrame], arms=arms, batch=batch) -> Iterator[pd.DataFrame]:
+        def play(frames: Iterator[pd.DataFrame], arms=arms) -> Iterator[pd.DataFrame]:
             """Partial sums of a partition: at most one row per arm."""
             total = np.zeros((K, 3 + width + cells))
             for frame in frames:
@@ -110,8 +110,8 @@ def learn_in_batches(
                     continue
                 x = np.vstack(frame["x"].to_numpy())
                 rewards = np.vstack(frame["rewards"].to_numpy())
-                draws = frame[["d0", "d1"]].to_numpy()
-                arm = choose(x, draws, arms, algorithm, parameter, batch)
+                draws = np.vstack(frame["draws"].to_numpy())
+                arm = choose(x, draws, arms, algorithm, parameter)
                 earned = rewards[np.arange(len(arm)), arm]
                 outer = np.einsum("ni,nj->nij", x, x).reshape(len(arm), cells)
                 ones = np.ones(len(arm))
@@ -136,8 +136,9 @@ def learn_in_batches(
             .select(
                 "x",
                 "rewards",
-                uniform(F.col("question_key"), 2 * batch + 100).alias("d0"),
-                uniform(F.col("question_key"), 2 * batch + 101).alias("d1"),
+                F.array(
+                    *[uniform(F.col("question_key"), 100 * (batch + 1) + i) for i in range(2 * K)]
+                ).alias("draws"),
             )
             .mapInPandas(play, schema)
         )
