@@ -349,7 +349,7 @@ def _outcomes_sql() -> str:
 
 
 OUTCOMES_SQL = _outcomes_sql()
-NUMBER_SQL = tx.NUMBER_PATTERN.replace("(?iU)", "(?i)").replace("'", "''")
+NUMBER_SQL = tx.NUMBER_PATTERN.replace("'", "''")
 _SCALE_SQL = " ".join(f"WHEN '{k}' THEN {s:.1f}::DOUBLE" for k, s in tx.SCALES.items())
 
 

@@ -114,3 +114,10 @@ def test_citations_split_into_bag_and_set(spark):
 )
 def test_calculator(text, expected):
     assert calculator.evaluate(text) == expected
+
+
+def test_unicode_spaces_count_as_space(spark):
+    assert one(spark, "5 million", tx.numbers) == [5e6]
+    assert one(spark, " a ", tx.strip) == "a"
+    assert one(spark, "a. b", tx.sentences) == ["a.", "b"]
+    assert one(spark, " a \n b ", tx.squeeze_space) == "a b"
