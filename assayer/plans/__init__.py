@@ -13,6 +13,7 @@ MODULES = (
     "scoring_plans",
     "policy_plans",
     "statistics_plans",
+    "workflow_plans",
 )
 
 
