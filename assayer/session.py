@@ -1,9 +1,11 @@
-"""Session defaults, size-checked broadcasts and lineage cuts."""
+"""Session defaults, size-checked broadcasts, and the package on the workers."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,17 +75,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names.
+_SHIPPED: set[str] = set()
 
-    ``spark.checkpoint.dir`` wins; a folder of our own is made only when the
-    session names none, which is the case in local tests.
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers import what the driver's functions refer to. On a cluster they have
+    neither the driver's working folder nor its ``sys.path``.
     """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-checkpoint-"))
-    return df.checkpoint(eager=True)
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="assayer-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
