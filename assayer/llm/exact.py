@@ -36,8 +36,12 @@ def block_list(text: Column) -> Column:
 
 
 def named(distinct: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Distinct rows with ``name``, their place in the sorted order of ``keys``."""
-    ordered = distinct.orderBy(*keys)
+    """Distinct rows with ``name``, their place in the sorted order of ``keys``.
+
+    Ranges are cut by the first key alone: what the driver samples to cut them
+    are numbers, never contents.
+    """
+    ordered = distinct.repartitionByRange(keys[0]).sortWithinPartitions(*keys)
     return stored(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
