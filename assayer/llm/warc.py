@@ -31,6 +31,8 @@ from assayer.llm.common import new_folder, open_folder, stored
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 28
+#: Bytes of records that one task reads.
+READ_BYTES = 1 << 24
 REVISIT_BYTES = 1000
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
@@ -271,8 +273,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if reader is not None:
             reader.close()
 
+    # By the size of the records, not of the index rows.
+    size = index.agg(F.coalesce(F.sum(F.col("length").cast("bigint")), F.lit(0))).first()[0]
     return (
-        index.repartition("bundle", "frame")
+        index.repartition(max(1, -(-size // READ_BYTES)), "bundle", "frame")
         .sortWithinPartitions("bundle", "frame", "offset")
         .mapInPandas(
             read,
