@@ -316,7 +316,7 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def read_ids(places: DataFrame, folder: str) -> DataFrame:
+def read_ids(places: DataFrame, folder: str, tasks: int) -> DataFrame:
     """The ids at each place, read from the shards: the columns of ``places`` and ids_crc32."""
     schema = places.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ",ids_crc32 bigint"
 
@@ -344,8 +344,9 @@ def read_ids(places: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
+    # By the number of ids, not of the rows that name them.
     span = F.expr(f"offset div {READ_SPAN}")
-    return places.repartition("shard", span).sortWithinPartitions("shard", "offset").mapInPandas(read, schema)
+    return places.repartition(tasks, "shard", span).sortWithinPartitions("shard", "offset").mapInPandas(read, schema)
 
 
 class TokenStore:
@@ -367,7 +368,7 @@ class TokenStore:
         # Ids before each shard: one row per shard.
         totals = entries.groupBy("shard").agg(F.sum("n").alias("total"))
         before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        totals.select("shard", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(
+        totals.select("shard", "total", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(
             f"{folder}/bases"
         )
         return cls(spark, folder, buckets)
@@ -376,7 +377,9 @@ class TokenStore:
         """start, n_tokens and ids_crc32 of each key (doc_id, ordinal) that is stored."""
         index = self.spark.read.parquet(f"{self.folder}/index")
         bases = self.spark.read.parquet(f"{self.folder}/bases")
-        found = read_ids(look_up(keys, index, self.buckets), f"{self.folder}/shards")
+        total = bases.agg(F.coalesce(F.max(F.col("before") + F.col("total")), F.lit(0))).first()[0]
+        places = look_up(keys, index, self.buckets)
+        found = read_ids(places, f"{self.folder}/shards", max(1, -(-total // READ_SPAN)))
         return found.join(bases, "shard").select(
             F.when(F.col("ordinal") >= 0, F.col("doc_id")).alias("doc_id"),
             (F.col("before") + F.col("offset")).alias("start"),
