@@ -33,6 +33,8 @@ SHINGLE_WORDS = 3
 HASH_SEED = 42
 #: Shingle hashes whose bits are counted at once.
 BLOCK = 1 << 16
+#: Variants that one task makes.
+TASK_VARIANTS = 1 << 20
 
 
 def fingerprint_of(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -92,7 +94,9 @@ def distance(a: Column, b: Column) -> Column:
 
 def links(entries: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all links."""
-    keyed = variants(entries)
+    # By the variants that an entry makes, not by the size of the entry.
+    tasks = -(-entries.count() * BITS // TASK_VARIANTS)
+    keyed = variants(entries.repartition(max(1, tasks), "fp"))
     buckets = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
     )
@@ -117,7 +121,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach, its own included.
     """
     prints = stored(fingerprints(docs), "simhash-fingerprints")
-    entries = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-entries")
     joined = components(links(entries.select("fp")))
     linked = joined.join(entries, joined["node"] == entries["fp"]).select("node", "component", "least")
     classes = linked.groupBy("component").agg(F.min("least").alias("class_id"))
