@@ -11,7 +11,7 @@ are computed once. A word's ids are read back from its node through the states.
 
 Two tokens keep apart if no merge across their seam comes before the merges that
 build them. ``Vocabulary.apart`` follows both sides of the seam through those
-merges in their order, and is memoised.
+merges in their order; answers are remembered.
 
 Texts are encoded whole, null as empty. The vocabulary's special tokens are
 found in texts as the tokenizer itself finds them.
@@ -35,7 +35,9 @@ PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+SIGNS = ".,;:!?"
 NEVER = 1 << 60
+State = tuple[dict[int, "State"], tuple[tuple[int, int], ...], bytes]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,17 +69,19 @@ class Vocabulary:
             self.parts.setdefault(ids[left + right], (*pair, rank))
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.bytes_of |= {i: content.encode("utf-8") for content, i in self.special.items()}
-        # Lazy automaton: a state is the longest end of a path that begins some token.
+        self.spelled = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.lengths = [len(token) for token in self.spelled]
+        # Lazy automaton over ends of a path that begin some token: each state has its
+        # following states by byte, and the tokens that end there, longest first.
         self._beginnings = {token[:n] for token in self.id_of for n in range(1, len(token) + 1)}
-        self._state_of: dict[bytes, int] = {b"": 0}
-        self._states: list[bytes] = [b""]
-        self._steps: list[dict[int, int]] = [{}]
-        self._ends: list[tuple[tuple[int, int], ...]] = [()]
+        self._start: State = ({}, (), b"")
+        self._states: dict[bytes, State] = {b"": self._start}
         self._split = regex.compile(PATTERN)
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[bytes, bytes] = {}
+        self._apart: dict[int, bool] = {}
+        #: Encoded words; a special token's id stands for itself.
+        self.words: dict[bytes | int, bytes] = {}
 
     def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """Tokens on one edge of ``token`` as it is built, with the rank at which each is merged on."""
@@ -96,45 +100,33 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` as two tokens when they are neighbours."""
-        known = self._apart.get((left, right))
-        if known is None:
-            a, b = self._edge(left, True), self._edge(right, False)
-            i = j = 0
-            known = True
-            while True:
-                (x, x_until), (y, y_until) = a[i], b[j]
-                across = self.rank.get((x, y), NEVER)
-                # Equal ranks: the place further left is merged first.
-                if across < x_until and across <= y_until and across != NEVER:
-                    known = False
-                    break
-                if x_until == NEVER and y_until == NEVER:
-                    break
-                if x_until <= y_until:
-                    i += 1
-                else:
-                    j += 1
-            if len(self._apart) > MEMORY_ENTRIES:
-                self._apart.clear()
-            self._apart[left, right] = known
-        return known
+        a, b = self._edge(left, True), self._edge(right, False)
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = a[i], b[j]
+            across = self.rank.get((x, y), NEVER)
+            # Equal ranks: the place further left is merged first.
+            if across < x_until and across <= y_until and across != NEVER:
+                return False
+            if x_until == NEVER and y_until == NEVER:
+                return True
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
 
-    def _step(self, state: int, byte: int) -> int:
-        """The state after one more byte, and with it the tokens that end there."""
-        end = self._states[state] + bytes((byte,))
+    def _step(self, state: State, byte: int) -> State:
+        """The state after one more byte."""
+        end = state[2] + bytes((byte,))
         while end not in self._beginnings:
             end = end[1:]
-        known = self._state_of.get(end)
-        if known is None:
-            known = self._state_of[end] = len(self._states)
-            self._states.append(end)
-            self._steps.append({})
+        following = self._states.get(end)
+        if following is None:
             ids = self.id_of
-            self._ends.append(
-                tuple((len(end) - i, ids[end[i:]]) for i in range(len(end)) if end[i:] in ids)
-            )
-        self._steps[state][byte] = known
-        return known
+            ends = tuple((len(end) - i, ids[end[i:]]) for i in range(len(end)) if end[i:] in ids)
+            following = self._states[end] = ({}, ends, end)
+        state[0][byte] = following
+        return following
 
     def learn(self, words: set[bytes]) -> None:
         """Encode ``words`` in one depth-first walk over their trie and remember them.
@@ -142,10 +134,10 @@ class Vocabulary:
         Sorted words are the trie in depth-first order: what a word shares with
         the one before it is the path that stays, and its states are kept.
         """
-        if len(self.words) > MEMORY_ENTRIES:
-            self.words.clear()
-        steps, ends, known_apart = self._steps, self._ends, self._apart
-        states: list[int] = [0]
+        apart_of, lengths, base = self._apart, self.lengths, len(self.lengths)
+        if len(apart_of) > 2 * MEMORY_ENTRIES:
+            apart_of.clear()
+        states: list[State] = [self._start]
         last: list[int] = []
         before = b""
         for word in sorted(words):
@@ -156,17 +148,18 @@ class Vocabulary:
                 shared += 1
             del states[shared + 1 :]
             del last[shared:]
-            state, depth = states[-1], shared
+            state, depth = states[shared], shared
             for byte in word[shared:]:
-                step = steps[state].get(byte)
-                state = self._step(state, byte) if step is None else step
+                state = state[0].get(byte) or self._step(state, byte)
                 depth += 1
-                for length, token in ends[state]:
+                for length, token in state[1]:
                     if length == depth:
                         break
-                    seam = (last[depth - length - 1], token)
-                    apart = known_apart.get(seam)
-                    if self.apart(*seam) if apart is None else apart:
+                    seam = last[depth - length - 1] * base + token
+                    apart = apart_of.get(seam)
+                    if apart is None:
+                        apart = apart_of[seam] = self.apart(last[depth - length - 1], token)
+                    if apart:
                         break
                 states.append(state)
                 last.append(token)
@@ -174,35 +167,43 @@ class Vocabulary:
             while depth:
                 token = last[depth - 1]
                 ids.append(token)
-                depth -= len(self.bytes_of[token])
+                depth -= lengths[token]
             ids.reverse()
             self.words[word] = array("I", ids).tobytes()
             before = word
 
     def _cut(self, text: str) -> list[bytes | int]:
         """Words of ``text`` as the pattern cuts it; special tokens as their ids."""
+        # Most pieces are letters after a space, with or without a sign after them.
+        if text[1:].isalpha() and text[0] == " ":
+            return [text.encode("utf-8")]
+        if text[1:-1].isalpha() and text[0] == " " and text[-1] in SIGNS:
+            return [text[:-1].encode("utf-8"), text[-1:].encode("utf-8")]
+        for name in self.special:
+            if name in text:
+                break
+        else:
+            return [w.encode("utf-8") for w in self._split.findall(text)]
         found: list[bytes | int] = []
-        for part in self._special.split(text) if self._special else [text]:
+        for part in self._special.split(text):
             if part in self.special:
                 found.append(self.special[part])
             else:
-                found.extend([w.encode("utf-8") for w in self._split.findall(part)])
+                found.extend(w.encode("utf-8") for w in self._split.findall(part))
         return found
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; all texts share one trie."""
+        if len(self.words) > MEMORY_ENTRIES or not self.words:
+            self.words = {i: array("I", [i]).tobytes() for i in self.special.values()}
         cut = [self._cut(text) for text in texts]
-        single = {i: array("I", [i]).tobytes() for i in self.special.values()}
-        wanted = set().union(*cut).difference(single)
-        known = {w: self.words[w] for w in wanted if w in self.words}
-        self.learn(wanted.difference(known))
-        known.update((w, self.words[w]) for w in wanted if w not in known)
-        known.update(single)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        self.learn(set().union(*cut).difference(self.words))
+        known = self.words.__getitem__
+        return [known(w[0]) if len(w) == 1 else b"".join(map(known, w)) for w in cut]
 
     def decode(self, ids) -> str:
         """The text of ``ids``, special tokens included; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 _VOCABULARIES: dict[str, tuple[Vocabulary, Memory]] = {}
@@ -236,7 +237,7 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
         import pyarrow as pa
 
         known, memory = vocabulary(path)
-        decimal: dict[int, str] = {i: str(i) for i in known.bytes_of}
+        decimal = [str(i) for i in range(len(known.spelled))]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = []

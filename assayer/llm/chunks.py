@@ -16,7 +16,8 @@ from collections.abc import Callable, Iterator
 MEMORY_ENTRIES = 300_000
 #: Characters whose pieces are held at once.
 BLOCK_CHARS = 1_000_000
-TIGHT = re.compile(r"\s\s|\A\s|\s\Z")
+#: All characters of white space.
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -31,9 +32,10 @@ def blocks(text: str) -> Iterator[str]:
 
 def pieces(block: str) -> list[str]:
     """Pieces of a block in order; all but the first are to be read with a space before them."""
-    if TIGHT.search(block):
+    white = WHITE.intersection(block)
+    if block[:1] in white or block[-1:] in white or any(f" {w}" in block or f"{w} " in block for w in white):
         return CUT.split(block)
-    # No white space next to other white space: every space is a place to cut.
+    # No space next to other white space: every space is a place to cut.
     return block.split(" ")
 
 
@@ -71,9 +73,12 @@ class Memory:
             self._first.clear()
         new_first = list(set(first).difference(self._first))
         missing = set().union(*cut).difference(self._inner)
-        for piece in missing.intersection(self._old):
-            self._inner[piece] = self._old[piece]
-        new = list(missing.difference(self._old))
+        old, new = self._old, []
+        for piece in missing:
+            if piece in old:
+                self._inner[piece] = old[piece]
+            else:
+                new.append(piece)
         ids = self._encode_all(new_first + [" " + p for p in new])
         self._first.update(zip(new_first, ids, strict=False))
         self._inner.update(zip(new, ids[len(new_first) :], strict=True))
