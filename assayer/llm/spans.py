@@ -8,10 +8,10 @@ words together, so that a repeated passage of ``RUN_WORDS + SENTENCE_WORDS``
 words on sentence bounds always holds a whole run. Runs are equal when their
 words are; they are compared by a 128-bit hash over all documents.
 
-The first occurrence, by (doc_id, place), stays. Sentences that any other
-occurrence covers are removed, within one document as well as across. A
-very frequent run is aggregated before the shuffle, and the join back is one
-that adaptive execution can split.
+The first occurrence in the document with the smallest doc_id stays. Sentences
+that any other occurrence covers are removed, within one document as well as
+across. A very frequent run is aggregated before the shuffle, and the join back
+is one that adaptive execution can split.
 
 Null texts count as empty, which have no runs. Rows with a null doc_id take no
 part. Rows that repeat a doc_id are one document.
@@ -30,6 +30,9 @@ from assayer.llm.common import ids_and_texts, stored
 RUN_SENTENCES = 2
 RUN_WORDS = 30
 SENTENCE_WORDS = 20
+#: Runs that a task holds before it hands them on.
+ROWS_HELD = 200_000
+HALF, MASK = 1 << 63, (1 << 64) - 1
 BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 WORD = re.compile(r"\S+")
 
@@ -53,8 +56,8 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
-def runs(text: str) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the run that starts at each sentence, where one exists."""
+def runs(text: str) -> list[tuple[int, int, int]]:
+    """(128-bit hash, start, end) of the run that starts at each sentence, where one exists."""
     import xxhash
 
     parts = sentences(text)
@@ -68,26 +71,35 @@ def runs(text: str) -> list[tuple[bytes, int, int]]:
             total += counts[last]
         if last - first + 1 < RUN_SENTENCES or total < RUN_WORDS:
             break
-        digest = xxhash.xxh3_128_digest(" ".join(joined[first : last + 1]))
+        digest = xxhash.xxh3_128_intdigest(" ".join(joined[first : last + 1]))
         found.append((digest, parts[first][0], parts[last][1]))
         total -= counts[first]
     return found
 
 
 def document_runs(docs: DataFrame) -> DataFrame:
+    """Every run: its hash in two halves, place, and whether the document has had it before."""
+    columns = ["high", "low", "doc_id", "start", "end", "again"]
+
     def scan(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows.extend((h, doc_id, start, end) for h, start, end in runs(text))
-            yield pd.DataFrame(rows, columns=["run", "doc_id", "start", "end"])
+                seen = set()
+                for h, start, end in runs(text):
+                    rows.append(((h >> 64) - HALF, (h & MASK) - HALF, doc_id, start, end, h in seen))
+                    seen.add(h)
+                if len(rows) >= ROWS_HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return (
         ids_and_texts(docs)
         .where("doc_id is not null")
-        .mapInPandas(scan, "run binary, doc_id bigint, start int, end int")
+        .mapInPandas(scan, "high bigint, low bigint, doc_id bigint, start int, end int, again boolean")
     )
 
 
@@ -95,21 +107,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per document with repeats: doc_id, spans to remove, and where their text stands first.
 
     ``spans`` are merged character ranges [start, end) in order; ``first_doc_ids``
-    are the distinct documents in which the removed runs occur first. A document's
-    own list is as long as the document at most.
+    are the distinct documents in which the removed runs occur first. What a
+    document repeats within itself is known in the scan; only its first
+    occurrences meet those of other documents. A document's own list is as long
+    as the document at most.
     """
     found = stored(document_runs(docs), "span-runs")
-    place = F.struct("doc_id", "start")
+    hashes = ["high", "low"]
+    alone = found.where("not again").drop("again")
     repeated = (
-        found.groupBy("run")
-        .agg(F.min(place).alias("first"), F.count("*").alias("times"))
-        .where("times > 1")
-        .select("run", "first")
+        alone.groupBy(*hashes)
+        .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+        .where("first_doc_id <> last_doc_id")
+        .drop("last_doc_id")
     )
-    later = found.join(repeated, "run").where(place != F.col("first"))
-    listed = later.groupBy("doc_id").agg(
+    columns = ["doc_id", "start", "end", "first_doc_id"]
+    across = alone.join(repeated, hashes).where("doc_id <> first_doc_id").select(*columns)
+    within = found.where("again").withColumn("first_doc_id", F.col("doc_id")).select(*columns)
+    listed = across.unionByName(within).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("covered"),
-        F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"),
+        F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
     )
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
