@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.chunks import MEMORY_ENTRIES, Memory
+from assayer.llm.chunks import Memory
 
 # The published pattern of byte-level BPE, and its white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -36,6 +36,9 @@ PATTERN = (
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 SIGNS = ".,;:!?"
+#: Bounds on what a worker remembers, of words and of pairs of tokens.
+WORDS_REMEMBERED = 400_000
+SEAMS_REMEMBERED = 600_000
 NEVER = 1 << 60
 State = tuple[dict[int, "State"], tuple[tuple[int, int], ...], bytes]
 
@@ -135,7 +138,7 @@ class Vocabulary:
         the one before it is the path that stays, and its states are kept.
         """
         apart_of, lengths, base = self._apart, self.lengths, len(self.lengths)
-        if len(apart_of) > 2 * MEMORY_ENTRIES:
+        if len(apart_of) > SEAMS_REMEMBERED:
             apart_of.clear()
         states: list[State] = [self._start]
         last: list[int] = []
@@ -194,7 +197,7 @@ class Vocabulary:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; all texts share one trie."""
-        if len(self.words) > MEMORY_ENTRIES or not self.words:
+        if len(self.words) > WORDS_REMEMBERED or not self.words:
             self.words = {i: array("I", [i]).tobytes() for i in self.special.values()}
         cut = [self._cut(text) for text in texts]
         self.learn(set().union(*cut).difference(self.words))
