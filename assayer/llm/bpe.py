@@ -37,8 +37,8 @@ PATTERN = (
 )
 SIGNS = ".,;:!?"
 #: Bounds on what a worker remembers, of words and of pairs of tokens.
-WORDS_REMEMBERED = 400_000
-SEAMS_REMEMBERED = 600_000
+WORDS_REMEMBERED = 300_000
+SEAMS_REMEMBERED = 400_000
 NEVER = 1 << 60
 State = tuple[dict[int, "State"], tuple[tuple[int, int], ...], bytes]
 

@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterator
 
 #: Pieces in a generation of a worker's memory. A full one becomes the old one, whose
 #: entries are moved back when they are met again. Bounds memory, not results.
-MEMORY_ENTRIES = 700_000
+MEMORY_ENTRIES = 250_000
 #: Characters whose pieces are held at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: All characters of white space.
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 CUT = re.compile(r"(?<=\S) (?=\S)")
