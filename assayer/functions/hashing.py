@@ -8,6 +8,9 @@ whole-stage codegen and overflows in no SQL engine.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import e
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +25,12 @@ def stable_long(text: Column) -> Column:
 def mixed(key: Column, stream: Column | int) -> Column:
     """A well-mixed integer in [0, PRIME) for a BIGINT key and a stream."""
     stream = F.lit(stream) if isinstance(stream, int) else stream
-    key = F.pmod(key.cast("bigint"), F.lit(PRIME).cast("bigint"))
+    # Both halves of a key count: folding alone would make keys a PRIME apart draw alike.
+    whole, prime = key.cast("bigint"), F.lit(PRIME).cast("bigint")
+    key = F.pmod(whole, prime)
+    high = F.pmod(F.call_function("div", whole - key, prime), prime)
     stream = stream.cast("bigint")
-    first = (key * 48271 + stream * 69621 + 12345) % PRIME
+    first = (key * 48271 + high * 40692 + stream * 69621 + 12345) % PRIME
     second = (first * (first + 16807) + stream) % PRIME
     return (second * (second + 39373) + key) % PRIME
 
@@ -37,7 +43,8 @@ def uniform(key: Column, stream: Column | int) -> Column:
 def uniform_sql(key: str, stream: str) -> str:
     """The same draw as SQL text, for reports that are written in SQL."""
     folded = f"(({key}) % {PRIME})"
-    first = f"(({folded} * 48271 + ({stream}) * 69621 + 12345) % {PRIME})"
+    high = f"((({key}) // {PRIME}) % {PRIME})"
+    first = f"(({folded} * 48271 + {high} * 40692 + ({stream}) * 69621 + 12345) % {PRIME})"
     second = f"(({first} * ({first} + 16807) + ({stream})) % {PRIME})"
     return (
         f"((({second} * ({second} + 39373) + {folded}) % {PRIME})"
@@ -45,17 +52,17 @@ def uniform_sql(key: str, stream: str) -> str:
     )
 
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
-POISSON_ONE_CDF = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-)
+def _poisson_one_cdf() -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities of 0, 1, 2, ... events, as far as doubles tell them from 1."""
+    term, total, found = Fraction(1), Fraction(0), []
+    for events in range(18):
+        total += term
+        found.append(float(total) / e)
+        term /= events + 1
+    return tuple(p for p in found if p < 1.0)
+
+
+POISSON_ONE_CDF = _poisson_one_cdf()
 
 
 def poisson_one(draw: Column) -> Column:

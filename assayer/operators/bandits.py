@@ -1,9 +1,8 @@
 """Contextual bandits over full-information outcome matrices.
 
-Two forms. ``learn_in_batches`` runs over a whole matrix: a policy is fixed for
-a batch, Spark aggregates the batch's sufficient statistics, and the policy is
-refreshed between batches. ``simulate`` is the declared sequential simulation of
-a fixed number of rounds per seed; seeds run in parallel.
+``learn_in_batches`` runs over a whole matrix: a policy is fixed for a batch,
+Spark aggregates the batch's sufficient statistics, and the policy is refreshed
+between batches.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
@@ -160,90 +159,3 @@ def learn_in_batches(
         report,
         "batch int, action_id string, n_rounds bigint, reward double, oracle_reward double",
     )
-
-
-def simulation_rounds(matrix: DataFrame, n_rounds: int, seeds: list[int]) -> DataFrame:
-    """``n_rounds`` rounds per seed, taken from the matrix in hash order.
-
-    Every question draws a place per seed; the smallest ``n_rounds`` draws are
-    played. The rank filter is applied per partition before the shuffle.
-    """
-    seeded = matrix.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    drawn = seeded.withColumn("draw", uniform(F.col("question_key"), F.col("seed") + 5000))
-    window = Window.partitionBy("seed").orderBy("draw", "question_key")
-    return drawn.withColumn("round", F.row_number().over(window)).filter(
-        F.col("round") <= n_rounds
-    )
-
-
-def simulate(
-    matrix: DataFrame,
-    algorithm: str,
-    parameter: float,
-    n_rounds: int = 2000,
-    seeds: tuple[int, ...] = tuple(range(20)),
-    ridge: float = 1.0,
-) -> DataFrame:
-    """Sequential simulation: (seed, round, arm, reward, oracle_reward, cumulative_regret).
-
-    A seed's rounds are bounded by ``n_rounds``, so its group is too.
-    """
-    rounds = simulation_rounds(matrix, n_rounds, list(seeds)).select(
-        "seed", "round", "x", "rewards"
-    )
-
-    def play(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("round")
-        contexts = np.vstack(frame["x"].to_numpy())
-        rewards = np.vstack(frame["rewards"].to_numpy())
-        seed = int(frame["seed"].iloc[0])
-        rng = np.random.default_rng([v.DEFAULT_SEED, seed])
-        width = contexts.shape[1]
-        inverse = np.stack([np.eye(width) / ridge] * K)
-        b = np.zeros((K, width))
-        chosen = np.empty(len(frame), dtype=int)
-        for i, x in enumerate(contexts):
-            theta = np.einsum("kij,kj->ki", inverse, b)
-            if algorithm == "linucb":
-                spread = np.einsum("i,kij,j->k", x, inverse, x)
-                scores = theta @ x + parameter * np.sqrt(spread)
-            elif algorithm == "thompson":
-                roots = np.linalg.cholesky(inverse)
-                noise = np.einsum("kij,kj->ki", roots, rng.standard_normal((K, width)))
-                scores = (theta + parameter * noise) @ x
-            else:
-                explore = rng.random() < parameter
-                scores = rng.random(K) if explore else theta @ x
-            arm = int(np.argmax(scores))
-            chosen[i] = arm
-            # Rank-one update of the inverse.
-            u = inverse[arm] @ x
-            inverse[arm] -= np.outer(u, u) / (1.0 + x @ u)
-            b[arm] += rewards[i, arm] * x
-        earned = rewards[np.arange(len(frame)), chosen]
-        best = rewards.max(axis=1)
-        return pd.DataFrame(
-            {
-                "seed": seed,
-                "round": frame["round"].to_numpy(),
-                "arm": chosen,
-                "reward": earned,
-                "oracle_reward": best,
-                "cumulative_regret": np.cumsum(best - earned),
-            }
-        )
-
-    return rounds.groupBy("seed").applyInPandas(
-        play,
-        "seed int, round int, arm int, reward double, oracle_reward double, "
-        "cumulative_regret double",
-    )
-
-
-def simulation_report(played: DataFrame) -> DataFrame:
-    """Cumulative reward and regret per seed."""
-    return played.groupBy("seed").agg(
-        F.count(F.lit(1)).alias("n_rounds"),
-        F.sum("reward").alias("cumulative_reward"),
-        F.sum(F.col("oracle_reward") - F.col("reward")).alias("regret_vs_oracle"),
-    )

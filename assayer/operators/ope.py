@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
-from assayer.functions.hashing import poisson_one, uniform
+from assayer.functions.hashing import POISSON_ONE_CDF, poisson_one, uniform
 from assayer.operators.policies import arm_name
 
 K = len(v.ACTIONS)
@@ -110,7 +110,8 @@ def replay_log(
     )
     counted = counted.withColumn("n_rounds", poisson_one(F.col("luck")))
     # A question that draws no round explodes to nothing.
-    drawn = F.slice(F.array(*map(F.lit, range(1, 9))), F.lit(1), F.col("n_rounds"))
+    most = len(POISSON_ONE_CDF)
+    drawn = F.slice(F.array(*map(F.lit, range(1, most + 1))), F.lit(1), F.col("n_rounds"))
     rounds = counted.withColumn("draw_no", F.explode(drawn))
     draw = uniform(F.col("question_key"), F.col("stream") + F.col("draw_no"))
     arm = pick_arm(F.col("probabilities"), F.col("draw"))
@@ -216,7 +217,10 @@ def estimate_values(
     )
     # The model has one row per log and context bin; the optimizer broadcasts it
     # while it is under the broadcast threshold and shuffles otherwise.
-    joined = rows.join(model, [*keys, "context"], "left").withColumn("t", arms)
+    # A context that the model has not seen still has its log's mean.
+    means = model.groupBy(*keys).agg(F.max("fallback").alias("fallback"))
+    known_contexts = rows.join(model.drop("fallback"), [*keys, "context"], "left")
+    joined = known_contexts.join(means, keys, "left").withColumn("t", arms)
 
     def predicted(arm: Column) -> Column:
         known = F.try_element_at(F.col("model"), arm)

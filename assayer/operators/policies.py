@@ -56,7 +56,11 @@ def fixed_policies(rewards: DataFrame, fit_split: str = "validation") -> DataFra
     derived = means.agg(
         F.min_by(
             "action_id",
-            F.when(F.col("action_id").isin(*v.ANSWERING_ACTIONS), F.struct("cost", index)),
+            F.when(
+                # An unknown cost is not the least one.
+                F.col("action_id").isin(*v.ANSWERING_ACTIONS) & F.col("cost").isNotNull(),
+                F.struct("cost", index),
+            ),
         ).alias("cheapest_answering"),
         F.max_by("action_id", F.struct("reward", -index)).alias("strongest_validation"),
     ).select(

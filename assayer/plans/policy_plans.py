@@ -38,7 +38,7 @@ FIXED_SQL = f"""{roles.REWARDS_SQL},
               FROM rewards WHERE split = 'validation' GROUP BY action_id),
     chosen AS (
       SELECT 'always_' || substr(action_id, 4) AS policy, action_id FROM means WHERE action_id <> 'A6_abstain'
-      UNION ALL (SELECT 'cheapest_answering', action_id FROM means WHERE action_id <> 'A6_abstain' ORDER BY cost NULLS FIRST, action_id LIMIT 1)
+      UNION ALL (SELECT 'cheapest_answering', action_id FROM means WHERE action_id <> 'A6_abstain' AND cost IS NOT NULL ORDER BY cost, action_id LIMIT 1)
       UNION ALL (SELECT 'strongest_validation', action_id FROM means ORDER BY reward DESC, action_id LIMIT 1))"""
 
 
@@ -362,14 +362,12 @@ _ESTIMATORS = (
 )
 ESTIMATES_SQL = f"""{LOG_SQL}, {TARGETS_SQL},
     cell AS (SELECT behavior_policy, simulation_seed, context, arm, avg(observed_reward) AS m FROM log WHERE split = 'dev' GROUP BY ALL),
-    ctx AS (SELECT DISTINCT behavior_policy, simulation_seed, context FROM cell),
     fb AS (SELECT behavior_policy, simulation_seed, avg(observed_reward) AS f FROM log WHERE split = 'dev' GROUP BY ALL),
     est_rows AS (
       SELECT l.behavior_policy, l.simulation_seed, target, observed_reward AS r,
              CASE WHEN l.arm = target_arm THEN 1 / action_propensity ELSE 0 END AS w,
-             CASE WHEN x.context IS NULL THEN 0 ELSE coalesce(a.m, f) END AS q, CASE WHEN x.context IS NULL THEN 0 ELSE coalesce(b.m, f) END AS ql
+             coalesce(a.m, f, 0) AS q, coalesce(b.m, f, 0) AS ql
       FROM log l JOIN tgt USING (context)
-      LEFT JOIN ctx x ON x.behavior_policy = l.behavior_policy AND x.simulation_seed = l.simulation_seed AND x.context = l.context
       LEFT JOIN fb ON fb.behavior_policy = l.behavior_policy AND fb.simulation_seed = l.simulation_seed
       LEFT JOIN cell a ON a.behavior_policy = l.behavior_policy AND a.simulation_seed = l.simulation_seed AND a.context = l.context AND a.arm = target_arm
       LEFT JOIN cell b ON b.behavior_policy = l.behavior_policy AND b.simulation_seed = l.simulation_seed AND b.context = l.context AND b.arm = l.arm
@@ -492,18 +490,6 @@ for _algorithm, _parameter in {"linucb": 1.0, "thompson": 0.25, "epsilon_greedy"
     plan(f"{_algorithm}_batches")(_bandit(_algorithm, _parameter))
 
 
-def _simulation(algorithm: str, parameter: float):
-    def build(spark, folder):
-        played = bandits.simulate(featured(spark, folder), algorithm, parameter)
-        return bandits.simulation_report(played)
-
-    return build
-
-
-for _algorithm, _parameter in {"linucb": 1.0, "thompson": 0.25, "epsilon_greedy": 0.1}.items():
-    plan(f"{_algorithm}_simulation")(_simulation(_algorithm, _parameter))
-
-
 def _router_rows(spark, folder):
     rows = featured(spark, folder)
     best = rows.select(

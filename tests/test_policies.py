@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
-from assayer.functions.hashing import poisson_one, uniform
+from assayer.functions.hashing import PRIME, poisson_one, uniform
 from assayer.operators import (
     bandits,
     cache,
@@ -272,10 +272,32 @@ def test_bandits_learn(spark, matrix, algorithm, parameter):
     }
     assert report.agg(F.sum("n_rounds")).first()[0] == 3000
     assert regret[5] < 0.15 < regret[0]
-    played = bandits.simulate(matrix, algorithm, parameter, n_rounds=400, seeds=(0, 1))
-    totals = bandits.simulation_report(played).collect()
-    assert [t.n_rounds for t in totals] == [400, 400]
-    assert all(t.regret_vs_oracle / 400 < 0.2 for t in totals)
+
+
+def test_unknown_cost_is_not_the_cheapest(spark):
+    rows = [("q", "validation", "A0_direct", 0.5, None), ("q", "validation", "A1_bm25", 0.4, 0.02), ("q", "validation", "A3_hybrid", 0.6, 0.01)]
+
+
+    known = list(v.ANSWERING_ACTIONS)[:3]
+    rows = [(q, s, known[i], r, c) for i, (q, s, _, r, c) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "question_id string, split string, action_id string, reward double, estimated_cost_usd double")
+    chosen = {r.policy: r.action_id for r in policies.fixed_policies(frame).collect()}
+    assert chosen["cheapest_answering"] == known[2]
+
+
+def test_unseen_context_falls_back_to_the_mean_of_the_log(spark):
+    schema = "behavior_policy string, simulation_seed int, split string, context string, arm int, action_propensity double, observed_reward double"
+    log = [("p", 1, "dev", "a", 1, 0.5, 4.0), ("p", 1, "dev", "a", 1, 0.5, 6.0), ("p", 1, "test", "new", 2, 0.5, 1.0)]
+    frame = spark.createDataFrame(log, schema)
+    found = ope.estimate_values(frame, ope.tabular_rewards(frame), {"one": F.lit(1)}, F.col("split") == "test")
+    assert found.filter("estimator = 'dm'").first()["estimate"] == 5.0
+
+
+def test_draws_tell_keys_a_prime_apart(spark):
+
+
+    keys = spark.createDataFrame([(1,), (1 + PRIME,), (1 + 2 * PRIME,), (1 + PRIME * PRIME // 2,)], "k bigint")
+    assert keys.select(uniform(F.col("k"), 3).alias("u")).distinct().count() == 4
 
 
 def test_supervised_router_finds_the_context(spark, matrix):
