@@ -204,6 +204,10 @@ class Vocabulary:
         known = self.words.__getitem__
         return [known(w[0]) if len(w) == 1 else b"".join(map(known, w)) for w in cut]
 
+    def forget(self) -> None:
+        """Forget encoded words and seams, but not the vocabulary."""
+        self.words, self._apart = {}, {}
+
     def decode(self, ids) -> str:
         """The text of ``ids``, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -266,6 +270,8 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                 arrays.append(pa.array(values, pa.list_(pa.int32())))
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        memory.clear()
+        known.forget()
 
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 #: Pieces in a generation of a worker's memory. A full one becomes the old one, whose
 #: entries are moved back when they are met again. Bounds memory, not results.
-MEMORY_ENTRIES = 250_000
+MEMORY_ENTRIES = 200_000
 #: Characters whose pieces are held at once.
 BLOCK_CHARS = 1_000_000
 #: All characters of white space.
@@ -48,6 +48,10 @@ class Memory:
         self._inner: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        """Forget all pieces. Idle workers must not hold memory that other stages need."""
+        self._first, self._inner, self._old = {}, {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes. Texts are taken together up to BLOCK_CHARS characters."""
         done: list[bytes] = []
