@@ -86,7 +86,11 @@ def split_citations(cited: Column, retrieved: Column) -> Column:
 
 
 def call_signature(tool: Column, arguments: Column) -> Column:
-    """Identity of a tool call: name plus arguments sorted by key."""
+    """Identity of a tool call: name plus arguments sorted by key.
+
+    ``arguments`` maps a name to its value as a JSON literal, so that the number 1
+    and the text "1" are two calls; see ``json_literal``.
+    """
     parts = F.array_sort(
         F.transform(
             F.map_entries(arguments), lambda e: F.concat(e["key"], F.lit("="), e["value"])
@@ -95,6 +99,12 @@ def call_signature(tool: Column, arguments: Column) -> Column:
     return F.concat(tool, F.lit("("), F.array_join(parts, ", "), F.lit(")"))
 
 
+def json_literal(value: Column) -> Column:
+    """A value as JSON: texts quoted and escaped, numbers bare."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def request_key(**fields: Column) -> Column:
     """Content hash of everything that can change a response."""
     ordered = [fields[name].alias(name) for name in sorted(fields)]

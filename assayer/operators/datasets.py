@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Mapping
+from fractions import Fraction
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
-from assayer.functions.hashing import uniform
+from assayer.functions.hashing import stable_long, uniform
+from assayer.operators.running import running_totals
 from assayer.session import join_small
 
+#: Groups of one size that are ranked together.
+GROUPS_IN_BLOCK = 50_000
+
 
 def validation_issues(
     questions: DataFrame, require_answer: bool = True, require_evidence: bool = True
@@ -49,23 +54,32 @@ def validation_counts(issues: DataFrame) -> DataFrame:
     )
 
 
-def group_order(sizes: Mapping[str, int], seed: int) -> list[str]:
-    """Groups by size, largest first; equal sizes follow a seeded shuffle."""
-    names = sorted(sizes)
-    random.Random(seed).shuffle(names)
-    return sorted(names, key=lambda g: -sizes[g])
-
+def deal_sizes(
+    counts: list[tuple[int, int]], fractions: Mapping[str, float], total: int
+) -> dict[int, dict[str, int]]:
+    """How many groups of each size each split takes, largest size first.
 
-def deal_groups(
-    order: list[tuple[str, int]], fractions: Mapping[str, float], total: int
-) -> dict[str, str]:
-    """Hand each group to the split furthest below target; ties to the last name."""
-    room = {split: share * total for split, share in fractions.items()}
-    dealt: dict[str, str] = {}
-    for group, size in order:
-        split = max(room, key=lambda name: (room[name], name))
-        room[split] -= size
-        dealt[group] = split
+    Every group goes to the split furthest below target, ties to the last name.
+    For equal groups these choices are the highest of the splits' falling levels,
+    so a whole run of them is counted by one threshold instead of step by step.
+    """
+    room = {split: Fraction(str(share)) * total for split, share in fractions.items()}
+    dealt: dict[int, dict[str, int]] = {}
+    for size, groups in sorted(counts, reverse=True):
+        # The level to which filling the emptiest splits alone would use all groups up.
+        ordered = sorted(room.values(), reverse=True)
+        for n in range(len(ordered), 0, -1):
+            level = (sum(ordered[:n]) - size * groups) / n
+            if ordered[n - 1] >= level:
+                break
+        # What lies a group above it is surely taken; the last few are dealt singly.
+        taken = {s: max(0, ceil((r - level - size) / size)) for s, r in room.items()}
+        room = {s: r - size * taken[s] for s, r in room.items()}
+        for _ in range(groups - sum(taken.values())):
+            split = max(room, key=lambda name: (room[name], name))
+            room[split] -= size
+            taken[split] += 1
+        dealt[size] = taken
     return dealt
 
 
@@ -73,44 +87,55 @@ def grouped_split(
     questions: DataFrame,
     fractions: Mapping[str, float] = v.SPLIT_FRACTIONS,
     seed: int = v.DEFAULT_SEED,
-    max_groups: int = 1_000_000,
 ) -> DataFrame:
     """Assign whole groups to splits; adds ``split``.
 
-    Only (group, size) pairs reach the driver, where the greedy deal is
-    sequential by nature; their number is checked, and beyond the limit
-    ``grouped_split_by_hash`` assigns groups without the driver.
+    The deal depends on sizes alone, so (size, number of groups) pairs are all
+    the driver sees: at most about the root of twice the rows. Groups of one size
+    take their places in the order of a seeded hash of their key, counted in
+    blocks; the first of them go to the first split by name, and so on.
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-6 or any(f <= 0 for f in fractions.values()):
         raise ValueError(f"fractions must be positive and sum to 1, got {dict(fractions)}")
-    counted = questions.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        return grouped_split_by_hash(questions, fractions, seed)
-    if len(rows) < len(fractions):
-        raise ValueError(f"{len(rows)} group(s) cannot fill {len(fractions)} splits")
+    groups = questions.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"))
+    counts = [(r["n"], r["groups"]) for r in groups.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).collect()]
+    n_groups = sum(c for _, c in counts)
+    if n_groups < len(fractions):
+        raise ValueError(f"{n_groups} group(s) cannot fill {len(fractions)} splits")
     copies = questions.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if copies.limit(1).count():
         raise ValueError("duplicate question ids cannot be split")
-    sizes = {row["group_key"]: row["n"] for row in rows}
-    order = [(g, sizes[g]) for g in group_order(sizes, seed)]
-    dealt = deal_groups(order, fractions, sum(sizes.values()))
-    spark = questions.sparkSession
-    assignment = spark.createDataFrame(list(dealt.items()), "group_key string, split string")
-    return join_small(questions, assignment, "group_key")
-
-
-def grouped_split_by_hash(
-    questions: DataFrame, fractions: Mapping[str, float], seed: int
-) -> DataFrame:
-    """Proportional assignment by group hash; leak-free, balanced in expectation."""
-    draw = uniform(F.xxhash64("group_key"), seed % 10_000)
-    chosen, low = F.lit(None).cast("string"), 0.0
-    for split in sorted(fractions):
-        high = low + fractions[split]
-        chosen = F.when((draw >= low) & (draw < high), split).otherwise(chosen)
-        low = high
-    return questions.withColumn("split", F.coalesce(chosen, F.lit(max(fractions))))
+    dealt = deal_sizes(counts, fractions, sum(n * c for n, c in counts))
+    rows = []
+    for size, taken in dealt.items():
+        last, bounds = 0, []
+        for split in sorted(taken):
+            last += taken[split]
+            bounds.append((last, split))
+        rows.append((size, bounds))
+    bounds = questions.sparkSession.createDataFrame(
+        rows, "n bigint, bounds array<struct<last:bigint,split:string>>"
+    )
+    blocks = max(1, n_groups // GROUPS_IN_BLOCK)
+    key = F.coalesce("group_key", F.lit(""))
+    placed = groups.withColumn("draw", uniform(stable_long(key), seed % 10_000)).select(
+        "group_key",
+        "n",
+        "draw",
+        F.floor(F.col("draw") * blocks).alias("block"),
+        key.alias("tie"),
+        F.lit(1).alias("one"),
+    )
+    ranked = running_totals(placed, ["n"], "block", ["draw", "tie"], ["one"])
+    assigned = join_small(ranked, bounds, "n").select(
+        F.col("group_key").alias("__group"),
+        F.get(
+            F.filter("bounds", lambda b: b["last"] >= F.col("one_through")), F.lit(0)
+        )["split"].alias("split"),
+    )
+    keyed = questions.withColumn("__key", F.struct("group_key"))
+    named = assigned.select(F.struct(F.col("__group").alias("group_key")).alias("__key"), "split")
+    return join_small(keyed, named, "__key").drop("__key")
 
 
 def leaking_groups(assignment: DataFrame) -> DataFrame:

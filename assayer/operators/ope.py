@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
@@ -93,7 +93,12 @@ def replay_log(
     number of rounds; the arm of a round is where its draw falls among the
     cumulative propensities. Everything is computed within the row.
     """
-    plans = matrix.withColumn("p", F.explode(policies.scalar()))
+    cumulated = policies.select(
+        F.transform(
+            "policies", lambda p: F.struct(p["policy"], p["probabilities"], _running(p["probabilities"]).alias("cumulative"))
+        )
+    )
+    plans = matrix.withColumn("p", F.explode(cumulated.scalar()))
     numbered = plans.select(
         "question_key",
         "context",
@@ -101,6 +106,7 @@ def replay_log(
         "rewards",
         F.col("p.policy").alias("behavior_policy"),
         F.col("p.probabilities").alias("probabilities"),
+        F.col("p.cumulative").alias("cumulative"),
         F.array_position(F.array(*map(F.lit, BEHAVIOURS)), F.col("p.policy")).alias("policy_no"),
         F.explode(F.array(*map(F.lit, seeds))).alias("simulation_seed"),
     )
@@ -114,7 +120,7 @@ def replay_log(
     drawn = F.slice(F.array(*map(F.lit, range(1, most + 1))), F.lit(1), F.col("n_rounds"))
     rounds = counted.withColumn("draw_no", F.explode(drawn))
     draw = uniform(F.col("question_key"), F.col("stream") + F.col("draw_no"))
-    arm = pick_arm(F.col("probabilities"), F.col("draw"))
+    arm = pick_arm(F.col("cumulative"), F.col("draw"))
     return (
         rounds.withColumn("draw", draw)
         .withColumn("arm", arm)
@@ -132,18 +138,21 @@ def replay_log(
     )
 
 
-def pick_arm(probabilities: Column, draw: Column) -> Column:
-    """Index of the cumulative interval holding the draw."""
-    state = F.aggregate(
+def pick_arm(cumulative: Column, draw: Column) -> Column:
+    """Index of the cumulative interval holding the draw, without a loop over the array."""
+    passed = F.lit(0)
+    for arm in range(K - 1):
+        passed = passed + (draw >= F.get(cumulative, F.lit(arm))).cast("int")
+    return passed
+
+
+def _running(probabilities: Column) -> Column:
+    grown = F.aggregate(
         probabilities,
-        F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("arm")),
-        lambda s, p: F.struct(
-            (s["mass"] + p).alias("mass"),
-            (s["arm"] + (draw >= s["mass"] + p).cast("int")).alias("arm"),
-        ),
-        lambda s: s["arm"],
+        F.array().cast("array<double>"),
+        lambda done, p: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + p)),
     )
-    return F.least(state, F.lit(K - 1))
+    return F.when(F.size(probabilities) > 0, grown)
 
 
 def log_violations(log: DataFrame, *keys: str) -> DataFrame:
@@ -180,83 +189,115 @@ def coverage_diagnostics(log: DataFrame, target_arm: Column) -> DataFrame:
     )
 
 
-def tabular_rewards(log: DataFrame, fit_split: str = "dev") -> DataFrame:
-    """Reward model: mean logged reward per (log, context, arm) on one split.
+def log_cells(
+    log: DataFrame, targets: dict[str, Column], fit: Column, evaluation: Column | None = None
+) -> DataFrame:
+    """The log as sums per (policy, seed, context, arm taken, arms of the targets).
+
+    A propensity depends on policy and arm alone, so these sums are all that the
+    reward model and every estimator need. Rounds without a reward count in ``n``
+    and not in ``n_rewarded``.
+    """
+    kept = F.lit(True) if evaluation is None else evaluation
+    rewarded = F.col("observed_reward").isNotNull()
+    arms = F.array(*[arm.cast("int") for arm in targets.values()])
+    return log.groupBy(
+        "behavior_policy",
+        "simulation_seed",
+        "context",
+        "arm",
+        "action_propensity",
+        arms.alias("target_arms"),
+    ).agg(
+        F.count_if(fit & rewarded).alias("n_fit"),
+        F.sum(F.when(fit, F.col("observed_reward"))).alias("sum_fit"),
+        F.count_if(kept).alias("n"),
+        F.count_if(kept & rewarded).alias("n_rewarded"),
+        F.sum(F.when(kept, F.col("observed_reward"))).alias("sum_rewards"),
+    )
+
+
+def tabular_rewards(cells: DataFrame) -> DataFrame:
+    """Reward model: mean logged reward per (log, context, arm) on the fitting rounds.
 
     Our choice where a boosted regressor is named: it has an exact SQL twin and
-    is one mergeable aggregate. Unseen cells fall back to the log's mean.
+    is one mergeable aggregate. Adds ``model``, the means of the context's arms, and
+    ``fallback``, the log's mean, which unseen cells and contexts take.
     """
-    fit = log.filter(F.col("split") == fit_split)
     keys = ["behavior_policy", "simulation_seed"]
-    cells = fit.groupBy(*keys, "context", "arm").agg(F.avg("observed_reward").alias("mean"))
-    return cells.groupBy(*keys, "context").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("arm", "mean")))).alias("model")
-    ).join(fit.groupBy(*keys).agg(F.avg("observed_reward").alias("fallback")), keys)
+    by_context = Window.partitionBy(*keys, "context")
+    by_arm = Window.partitionBy(*keys, "context", "arm")
+    mean = F.try_divide(F.sum("sum_fit").over(by_arm), F.sum("n_fit").over(by_arm))
+    # A context has no more cells than arms times combinations of target arms.
+    seen = F.when(F.col("mean").isNotNull(), F.struct("arm", "mean"))
+    listed = F.array_distinct(F.collect_list(seen).over(by_context))
+    known = cells.withColumn("mean", mean).withColumn("model", F.map_from_entries(listed))
+    whole = cells.groupBy(*keys).agg(
+        F.try_divide(F.sum("sum_fit"), F.sum("n_fit")).alias("fallback")
+    )
+    return known.drop("mean").join(whole, keys, "left")
 
 
 def estimate_values(
     log: DataFrame,
-    model: DataFrame,
     targets: dict[str, Column],
+    fit: Column,
     evaluation: Column | None = None,
 ) -> DataFrame:
-    """(behaviour, seed, target, estimator, estimate) for every estimator.
+    """(behaviour, seed, target, n, estimator, estimate) for every estimator.
 
     ``targets`` maps a policy name to the arm it takes, an expression over the
-    log. All estimators come out of one aggregation of the log.
+    log; ``fit`` marks the rounds of the reward model. The log is read once.
     """
     keys = ["behavior_policy", "simulation_seed"]
-    rows = log if evaluation is None else log.filter(evaluation)
-    arms = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("target"), arm.cast("int").alias("target_arm"))
-                for n, arm in targets.items()
-            ]
-        )
-    )
-    # The model has one row per log and context bin; the optimizer broadcasts it
-    # while it is under the broadcast threshold and shuffles otherwise.
-    # A context that the model has not seen still has its log's mean.
-    means = model.groupBy(*keys).agg(F.max("fallback").alias("fallback"))
-    known_contexts = rows.join(model.drop("fallback"), [*keys, "context"], "left")
-    joined = known_contexts.join(means, keys, "left").withColumn("t", arms)
+    known = tabular_rewards(log_cells(log, targets, fit, evaluation))
+    named = F.arrays_zip(F.array(*map(F.lit, targets)).alias("target"), F.col("target_arms").alias("target_arm"))
+    cells = known.filter("n > 0").withColumn("t", F.explode(named))
 
     def predicted(arm: Column) -> Column:
-        known = F.try_element_at(F.col("model"), arm)
-        return F.coalesce(known, F.col("fallback"), F.lit(0.0))
+        return F.coalesce(F.try_element_at("model", arm), F.col("fallback"), F.lit(0.0))
 
     weight = F.when(
         F.col("arm") == F.col("t.target_arm"), 1.0 / F.col("action_propensity")
     ).otherwise(0.0)
-    base = joined.select(
+    base = cells.select(
         *keys,
         F.col("t.target").alias("target"),
-        F.col("observed_reward").alias("r"),
+        "n",
+        "n_rewarded",
+        F.coalesce("sum_rewards", F.lit(0.0)).alias("r"),
         weight.alias("w"),
-        predicted(F.col("t.target_arm")).alias("q_target"),
+        predicted(F.col("t.target_arm")).alias("q"),
         predicted(F.col("arm")).alias("q_logged"),
     )
-    w, r, q = F.col("w"), F.col("r"), F.col("q_target")
-    residual = r - F.col("q_logged")
-    estimators: dict[str, Column] = {"dm": F.avg(q), "ips": F.avg(w * r)}
+    w, r, q = F.col("w"), F.col("r"), F.col("q")
+    residual = r - F.col("n_rewarded") * F.col("q_logged")
+
+    def weighted(used: Column) -> Column:
+        return F.try_divide(F.sum(used * r), F.sum("n_rewarded"))
+
+    def robust(used: Column) -> Column:
+        return F.try_divide(F.sum(F.col("n_rewarded") * q + used * residual), F.sum("n_rewarded"))
+
+    estimators: dict[str, Column] = {
+        "dm": F.sum(F.col("n") * q) / F.sum("n"),
+        "ips": weighted(w),
+    }
     for clip in CLIPS:
-        estimators[f"ips_clip_{clip:g}"] = F.avg(F.least(w, F.lit(clip)) * r)
-    estimators["snips"] = F.try_divide(F.sum(w * r), F.sum(w))
-    estimators["dr"] = F.avg(q + w * residual)
+        estimators[f"ips_clip_{clip:g}"] = weighted(F.least(w, F.lit(clip)))
+    estimators["snips"] = F.try_divide(F.sum(w * r), F.sum(F.col("n") * w))
+    estimators["dr"] = robust(w)
     for clip in DR_CLIPS:
-        estimators[f"dr_clip_{clip:g}"] = F.avg(q + F.least(w, F.lit(clip)) * residual)
+        estimators[f"dr_clip_{clip:g}"] = robust(F.least(w, F.lit(clip)))
     for tau in SWITCH_TAUS:
-        estimators[f"switch_dr_{tau:g}"] = F.avg(
-            q + F.when(w <= tau, w).otherwise(0.0) * residual
-        )
+        estimators[f"switch_dr_{tau:g}"] = robust(F.when(w <= tau, w).otherwise(0.0))
     wide = base.groupBy(*keys, "target").agg(
-        F.count(F.lit(1)).alias("n"), *[e.alias(n) for n, e in estimators.items()]
+        F.sum("n").alias("n"), *[e.alias(n) for n, e in estimators.items()]
     )
-    cells = F.array(
+    listed = F.array(
         *[F.struct(F.lit(n).alias("estimator"), F.col(n).alias("estimate")) for n in estimators]
     )
-    return wide.select(*keys, "target", "n", F.inline(cells))
+    return wide.select(*keys, "target", "n", F.inline(listed))
 
 
 def true_values(

@@ -29,12 +29,15 @@ def requests(
     evidence: DataFrame | None = None,
     temperature: float = 0.0,
     max_output_tokens: int = 512,
+    system: str = "",
+    deployment_ref: str = "chat",
+    seed: int | None = None,
 ) -> DataFrame:
     """One request per question: shown chunks, prompt and request key.
 
     ``evidence`` is (question_id, chunk_id, rank, text) already cut to the
     action's top-k, so a question's list is bounded by k. Without it the direct
-    template is used.
+    template is used. All seven fields that decide a response are in the key.
     """
     if evidence is None:
         none = F.array().cast("array<string>")
@@ -62,10 +65,13 @@ def requests(
         )
         version = GROUNDED_VERSION
     key = answers.request_key(
+        system=F.lit(system),
         user=F.col("prompt"),
+        deployment_ref=F.lit(deployment_ref),
         prompt_version=F.lit(version),
         temperature=F.lit(temperature),
         max_output_tokens=F.lit(max_output_tokens),
+        seed=F.lit(seed).cast("bigint"),
     )
     return shown.select(
         "question_id",

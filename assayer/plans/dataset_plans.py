@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 
 from pyspark.sql import functions as F
 
@@ -109,9 +108,7 @@ def customers(spark, folder):
 
 
 def _split_sql() -> str:
-    names = sorted(f"NATION_{i}" for i in range(25))
-    random.Random(v.DEFAULT_SEED).shuffle(names)
-    shuffled = ", ".join(f"('{n}', {i})" for i, n in enumerate(names))
+    place = uniform_sql("CAST('0x' || substr(md5(group_key), 1, 15) AS BIGINT)", str(v.DEFAULT_SEED % 10_000))
     room = {s: f"{f}::DOUBLE * (SELECT count(*) FROM customer)" for s, f in v.SPLIT_FRACTIONS.items()}
     pick = (
         "CASE WHEN validation >= test AND validation >= dev THEN 'validation'"
@@ -119,16 +116,19 @@ def _split_sql() -> str:
     )
     return f"""
     sizes AS (SELECT 'NATION_' || c_nationkey AS group_key, count(*) AS n FROM customer GROUP BY ALL),
-    ordered AS (SELECT group_key, n, row_number() OVER (ORDER BY n DESC, place) AS i
-                FROM sizes JOIN (VALUES {shuffled}) s(group_key, place) USING (group_key)),
-    dealt AS (
+    ordered AS (SELECT group_key, n, row_number() OVER (ORDER BY n DESC, {place}, group_key) AS i,
+                row_number() OVER (PARTITION BY n ORDER BY {place}, group_key) AS rank FROM sizes),
+    steps AS (
       SELECT 0::BIGINT AS i, CAST(NULL AS VARCHAR) AS group_key, CAST(NULL AS VARCHAR) AS split,
              {room["dev"]} AS dev, {room["test"]} AS test, {room["validation"]} AS validation
       UNION ALL
       SELECT o.i, o.group_key, {pick},
              dev - CASE WHEN {pick} = 'dev' THEN n ELSE 0 END, test - CASE WHEN {pick} = 'test' THEN n ELSE 0 END,
              validation - CASE WHEN {pick} = 'validation' THEN n ELSE 0 END
-      FROM dealt JOIN ordered o ON o.i = dealt.i + 1)"""
+      FROM steps JOIN ordered o ON o.i = steps.i + 1),
+    taken AS (SELECT n, split, sum(count(*)) OVER (PARTITION BY n ORDER BY split) AS last, count(*) AS m
+              FROM steps JOIN ordered USING (group_key) GROUP BY n, split),
+    dealt AS (SELECT group_key, split FROM ordered o JOIN taken t ON o.n = t.n AND o.rank <= t.last AND o.rank > t.last - t.m)"""
 
 
 @plan(
@@ -309,7 +309,13 @@ def requests(spark, folder):
     """Generation requests of conversations, keyed by their content."""
     turns = table(spark, folder, "conversations")
     key = answers.request_key(
-        system=F.col("role"), user=F.col("text"), temperature=F.lit(0.0), seed=F.lit(None)
+        system=F.col("role"),
+        user=F.col("text"),
+        deployment_ref=F.lit("chat"),
+        prompt_version=F.lit("direct_v1"),
+        temperature=F.lit(0.0),
+        max_output_tokens=F.lit(512),
+        seed=F.lit(None).cast("bigint"),
     )
     return turns.select("conv_id", "turn", "role", key.alias("cache_key"))
 

@@ -210,7 +210,7 @@ def budget_estimate(spark, folder):
 
 
 # ------------------------------------------------------- logged feedback, OPE
-SEEDS = (1, 2)
+SEEDS = tuple(range(1, 11))
 
 
 def _policy_rows_sql() -> str:
@@ -379,9 +379,8 @@ ESTIMATES_SQL = f"""{LOG_SQL}, {TARGETS_SQL},
 
 def estimates(spark, folder):
     matrix = roles.reward_vectors(spark, folder)
-    rows = log(spark, folder)
-    held_out = F.col("split") != "dev"
-    return ope.estimate_values(rows, ope.tabular_rewards(rows), targets(matrix), held_out)
+    fit, held_out = F.col("split") == "dev", F.col("split") != "dev"
+    return ope.estimate_values(log(spark, folder), targets(matrix), fit, held_out)
 
 
 def truth(spark, folder):

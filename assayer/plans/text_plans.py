@@ -423,13 +423,18 @@ def computed_expressions(spark, folder):
 
 @plan(
     "tool_signatures",
-    """SELECT event_id, event_type || '(k=' || regexp_extract(props, '"k": ([0-9]+)', 1) || ', user=' || user_id || ')' AS signature
+    """SELECT event_id, event_type || '(k=' || regexp_extract(props, '"k": ([0-9]+)', 1) || ', label="' || user_id || '", user=' || user_id || ')' AS signature
     FROM events""",
 )
 def tool_signatures(spark, folder):
     arguments = F.map_concat(
-        F.create_map(F.lit("user"), F.col("user_id").cast("string")),
-        F.from_json("props", "map<string,string>"),
+        F.create_map(
+            F.lit("user"),
+            answers.json_literal(F.col("user_id")),
+            F.lit("label"),
+            answers.json_literal(F.col("user_id").cast("string")),
+        ),
+        F.transform_values(F.from_json("props", "map<string,variant>"), lambda _, v: F.to_json(v)),
     )
     return table(spark, folder, "events").select(
         "event_id", answers.call_signature(F.col("event_type"), arguments).alias("signature")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
+from assayer.functions import answers
 from assayer.functions.hashing import PRIME, poisson_one, uniform
 from assayer.operators import (
     bandits,
@@ -21,6 +24,7 @@ from assayer.operators import (
     scoring,
     statistics,
     trace,
+    workflows,
 )
 
 OUTCOME = {
@@ -116,19 +120,44 @@ def test_grouped_split_rules(spark):
     questions = spark.createDataFrame(rows, "question_id string, group_key string")
     got = datasets.grouped_split(questions, seed=3)
     assert got.count() == len(rows) and datasets.leaking_groups(got).count() == 0
-    names = sorted(sizes)
-    random.Random(3).shuffle(names)
     left, expected = {s: f * len(rows) for s, f in v.SPLIT_FRACTIONS.items()}, {}
-    for group in sorted(names, key=lambda g: -sizes[g]):
-        split = sorted(left, key=lambda s: (left[s], s))[-1]
-        left[split] -= sizes[group]
-        expected[group] = split
-    assert {r.group_key: r.split for r in got.collect()} == expected
+    for size in sorted(sizes.values(), reverse=True):
+        split = sorted(left, key=lambda s: (round(left[s], 9), s))[-1]
+        left[split] -= size
+        expected[size, split] = expected.get((size, split), 0) + 1
+    found = {r.group_key: r.split for r in got.collect()}
+    assert Counter((sizes[g], split) for g, split in found.items()) == expected
+    other = {r.group_key: r.split for r in datasets.grouped_split(questions, seed=4).collect()}
+    assert other != found
     with pytest.raises(ValueError):
         datasets.grouped_split(questions, {"a": 0.5, "b": 0.6})
     with pytest.raises(ValueError):
         datasets.grouped_split(questions.union(questions.limit(1)))
-    assert datasets.leaking_groups(datasets.grouped_split_by_hash(questions, v.SPLIT_FRACTIONS, 3)).count() == 0
+
+
+def test_deal_by_threshold_equals_deal_one_by_one():
+    rng = random.Random(2)
+    for _ in range(300):
+        counts = [(n, rng.randint(1, 40)) for n in rng.sample(range(1, 30), rng.randint(1, 6))]
+        total = sum(n * c for n, c in counts)
+        room = {s: Fraction(str(f)) * total for s, f in v.SPLIT_FRACTIONS.items()}
+        expected = {}
+        for n, c in sorted(counts, reverse=True):
+            expected[n] = dict.fromkeys(room, 0)
+            for _ in range(c):
+                split = max(room, key=lambda s: (room[s], s))
+                room[split] -= n
+                expected[n][split] += 1
+        assert datasets.deal_sizes(counts, v.SPLIT_FRACTIONS, total) == expected
+    many = datasets.deal_sizes([(1, 10**12), (3, 10**11)], v.SPLIT_FRACTIONS, 13 * 10**11)
+    assert sum(sum(t.values()) for t in many.values()) == 11 * 10**11
+
+
+def test_ranks_over_blocks_deal_every_group(spark, monkeypatch):
+    questions = spark.range(3000).selectExpr("concat('q', id) as question_id", "concat('g', id % 900) as group_key")
+    whole = {tuple(r) for r in datasets.grouped_split(questions).collect()}
+    monkeypatch.setattr(datasets, "GROUPS_IN_BLOCK", 50)
+    assert {tuple(r) for r in datasets.grouped_split(questions).collect()} == whole and len(whole) == 3000
 
 
 @pytest.mark.parametrize(
@@ -171,6 +200,19 @@ def test_cache(spark):
     assert [r.cache_key for r in cache.storable(held).collect()] == ["k1"]
 
 
+def test_request_key_tells_all_fields_apart(spark):
+    questions = spark.createDataFrame([("q1", "Why?")], "question_id string, question_text string")
+    ways = [{}, {"deployment_ref": "small"}, {"system": "Be brief."}, {"seed": 1}, {"temperature": 0.5}, {"max_output_tokens": 9}]
+    keys = {workflows.requests(questions, "A0_direct", **way).first().cache_key for way in ways}
+    assert len(keys) == len(ways)
+
+
+def test_call_signature_tells_numbers_from_texts(spark):
+    values = [answers.json_literal(F.lit(1)), answers.json_literal(F.lit("1"))]
+    row = spark.range(1).select(*[answers.call_signature(F.lit("f"), F.create_map(F.lit("k"), x)).alias(f"s{i}") for i, x in enumerate(values)]).first()
+    assert tuple(row) == ("f(k=1)", 'f(k="1")')
+
+
 def test_trace_rates(spark):
     steps = spark.createDataFrame(
         [
@@ -196,6 +238,14 @@ def test_mcnemar_and_holm(spark):
     pairs = spark.createDataFrame([(1, 8), (0, 0), (5, 5)], "a_only bigint, b_only bigint")
     got = {(r.a_only, r.b_only): r.p_exact for r in statistics.mcnemar(pairs).collect()}
     assert got == {(1, 8): 0.039063, (0, 0): 1.0, (5, 5): 1.0}
+    large = [(1_200_000, 1_202_000), (10, 5_000_000), (700, 801)]
+    got = {r.a_only: r.p_exact for r in statistics.mcnemar(spark.createDataFrame(large, "a_only bigint, b_only bigint")).collect()}
+    for a, b in large:
+        i = np.arange(0, min(a, b) + 1)
+        logs = np.concatenate([[0.0], np.cumsum(np.log((a + b - i[1:] + 1) / i[1:]))]) - (a + b) * np.log(2)
+        assert got[a] == pytest.approx(min(1.0, 2 * np.exp(logs).sum()), abs=2e-6)
+    missing = spark.createDataFrame([(None, 3)], "a_only bigint, b_only bigint")
+    assert statistics.mcnemar(missing).first().p_exact is None
     tests = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "f string, t string, p double")
     adjusted = {r.t: r.p_holm for r in statistics.holm(tests, ["f"], "t", "p").collect()}
     assert adjusted == {"a": 0.03, "c": 0.06, "b": 0.06}
@@ -252,7 +302,7 @@ def test_estimators_recover_the_truth(spark, matrix):
     )
     targets = {"fixed": F.lit(1), "routed": F.when(F.col("context") == "1", 3).otherwise(1)}
     truth = ope.true_values(matrix, targets)
-    estimates = ope.estimate_values(log, ope.tabular_rewards(log), targets)
+    estimates = ope.estimate_values(log, targets, F.col("split") == "dev")
     errors = ope.estimator_errors(estimates, truth).collect()
     limits = {"dm": 0.02, "dr": 0.02, "snips": 0.04, "ips": 0.06}
     assert all(e.absolute_error < limits[e.estimator] for e in errors if e.estimator in limits)
@@ -289,7 +339,7 @@ def test_unseen_context_falls_back_to_the_mean_of_the_log(spark):
     schema = "behavior_policy string, simulation_seed int, split string, context string, arm int, action_propensity double, observed_reward double"
     log = [("p", 1, "dev", "a", 1, 0.5, 4.0), ("p", 1, "dev", "a", 1, 0.5, 6.0), ("p", 1, "test", "new", 2, 0.5, 1.0)]
     frame = spark.createDataFrame(log, schema)
-    found = ope.estimate_values(frame, ope.tabular_rewards(frame), {"one": F.lit(1)}, F.col("split") == "test")
+    found = ope.estimate_values(frame, {"one": F.lit(1)}, F.col("split") == "dev", F.col("split") == "test")
     assert found.filter("estimator = 'dm'").first()["estimate"] == 5.0
 
 
