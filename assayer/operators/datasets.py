@@ -47,6 +47,11 @@ def valid_questions(questions: DataFrame, issues: DataFrame) -> DataFrame:
     return questions.join(issues.select("question_id").distinct(), "question_id", "left_anti")
 
 
+def excluded_count(issues: DataFrame) -> DataFrame:
+    """How many distinct questions validation leaves out."""
+    return issues.agg(F.count_distinct("question_id").alias("n_excluded"))
+
+
 def validation_counts(issues: DataFrame) -> DataFrame:
     """Issues and distinct questions per code."""
     return issues.groupBy("code").agg(

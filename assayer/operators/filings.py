@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.session import join_small
+
 # Form labels, and the report months accepted for each quarter.
 FORM_TYPES = {"10k": "10-K", "10q": "10-Q", "8k": "8-K"}
 QUARTER_MONTHS = {
@@ -72,7 +74,18 @@ def page_could_cover(filed_from: Column, filed_to: Column, fiscal_year: Column)
     start = F.substring(filed_from, 1, 4).try_cast("int")
     end = F.substring(filed_to, 1, 4).try_cast("int")
     inside = (start <= fiscal_year + 2) & (end >= fiscal_year)
-    return F.coalesce(inside, F.lit(True))
+    return start.isNull() | end.isNull() | F.coalesce(inside, F.lit(True))
+
+
+def pages_to_read(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_name, page_name): older index pages that may list a request's filing.
+
+    A report is filed up to two years after its fiscal year, so a page counts if its
+    dates meet [year, year + 2]. Year 0, of an unreadable name, meets undated pages only.
+    """
+    met = join_small(requests, pages, "cik")
+    covers = page_could_cover(F.col("filed_from"), F.col("filed_to"), F.col("fiscal_year"))
+    return met.filter(covers).select("document_name", "page_name")
 
 
 def select_filings(requests: DataFrame, filings: DataFrame) -> DataFrame:

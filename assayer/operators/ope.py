@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer import vocabulary as v
 from assayer.functions.hashing import POISSON_ONE_CDF, poisson_one, uniform
 from assayer.operators.policies import arm_name
+from assayer.operators.running import running_totals
 
 K = len(v.ACTIONS)
 MIN_PROPENSITY = 1e-6
@@ -25,6 +26,7 @@ TEMPERATURE = 0.5
 CLIPS = (1.0, 5.0, 10.0, 50.0, 100.0)
 DR_CLIPS = (10.0, 100.0)
 SWITCH_TAUS = (1.0, 10.0, 100.0)
+PROPENSITY_QUANTILES = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
 DIGITS = 6
 
 
@@ -84,14 +86,18 @@ def propensity_rows(policies: DataFrame) -> DataFrame:
 
 
 def replay_log(
-    matrix: DataFrame, policies: DataFrame, seeds: tuple[int, ...] = tuple(range(1, 11))
+    matrix: DataFrame,
+    policies: DataFrame,
+    seeds: tuple[int, ...] = tuple(range(1, 11)),
+    kept: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Log every behaviour policy over the whole outcome matrix, once per seed.
 
     ``matrix`` is (question_key BIGINT, context, split, rewards ARRAY<DOUBLE>).
     Rounds are drawn with replacement by giving each question a Poisson(1)
     number of rounds; the arm of a round is where its draw falls among the
-    cumulative propensities. Everything is computed within the row.
+    cumulative propensities. Everything is computed within the row. ``kept`` are
+    further columns, expressions over the question's ``rewards``.
     """
     cumulated = policies.select(
         F.transform(
@@ -134,6 +140,7 @@ def replay_log(
             "arm",
             F.get("probabilities", F.col("arm")).alias("action_propensity"),
             F.get("rewards", F.col("arm")).alias("observed_reward"),
+            *kept,
         )
     )
 
@@ -155,6 +162,39 @@ def _running(probabilities: Column) -> Column:
     return F.when(F.size(probabilities) > 0, grown)
 
 
+def regret_curve(log: DataFrame, best_reward: Column, block_rounds: int = 4096) -> DataFrame:
+    """Cumulative reward and regret after every round of each log.
+
+    Rounds run by (question_key, draw_no). Sums are taken inside blocks of question
+    keys and carried over by the blocks' totals, so no log is one task's work. They
+    run over billionths, the digits of a reward, and are therefore exact.
+    """
+
+    def billionths(amount: Column) -> Column:
+        return F.coalesce(F.round(amount * 1e9).cast("bigint"), F.lit(0).cast("bigint"))
+
+    rounds = log.select(
+        "behavior_policy",
+        "simulation_seed",
+        "question_key",
+        "draw_no",
+        F.floor(F.col("question_key") / block_rounds).alias("block"),
+        F.lit(1).alias("round"),
+        billionths(F.col("observed_reward")).alias("reward"),
+        billionths(best_reward - F.col("observed_reward")).alias("regret"),
+    )
+    keys = ["behavior_policy", "simulation_seed"]
+    totals = running_totals(rounds, keys, "block", ["question_key", "draw_no"], ["round", "reward", "regret"])
+    return totals.select(
+        *keys,
+        "question_key",
+        "draw_no",
+        F.col("round_through").alias("n_rounds"),
+        (F.col("reward_through") / 1e9).alias("cumulative_reward"),
+        (F.col("regret_through") / 1e9).alias("cumulative_regret"),
+    )
+
+
 def log_violations(log: DataFrame, *keys: str) -> DataFrame:
     """Rounds unusable for importance weighting, one row per broken rule."""
     p = F.col("action_propensity")
@@ -181,6 +221,11 @@ def coverage_diagnostics(log: DataFrame, target_arm: Column) -> DataFrame:
             F.round(F.min("action_propensity"), DIGITS).alias("min_propensity"),
             F.round(F.avg("action_propensity"), DIGITS).alias("mean_propensity"),
             F.round(F.max("action_propensity"), DIGITS).alias("max_propensity"),
+            # A log has a handful of propensities, so exact quantiles hold little.
+            *[
+                F.round(F.percentile("action_propensity", F.lit(q)), DIGITS).alias(f"propensity_{name}")
+                for name, q in PROPENSITY_QUANTILES.items()
+            ],
             F.round(
                 F.try_divide(F.pow(F.sum("w"), F.lit(2.0)), F.sum(F.col("w") * F.col("w"))), 4
             ).alias("effective_sample_size"),

@@ -100,6 +100,14 @@ def valid_questions(spark, folder):
     )
 
 
+@plan(
+    "excluded_questions",
+    f"WITH {ISSUES_SQL} SELECT count(DISTINCT question_id) AS n_excluded FROM issues",
+)
+def excluded_questions(spark, folder):
+    return datasets.excluded_count(datasets.validation_issues(questions(spark, folder)))
+
+
 def customers(spark, folder):
     return table(spark, folder, "customer").select(
         F.concat(F.lit("c"), "c_custkey").alias("question_id"),
@@ -256,6 +264,65 @@ def filing_selection(spark, folder):
     )
 
 
+def older_pages(spark, folder):
+    """Two-year pages of what the recent index no longer lists; every seventh is undated."""
+    year = F.year("report_date")
+    index = roles.filing_index(spark, folder).filter("not is_recent")
+    pages = index.groupBy("cik", F.floor(year / 2).alias("number")).agg(
+        F.min("report_date").alias("filed_from"), F.max("report_date").alias("filed_to")
+    )
+    dated = F.col("cik") % 7 != 0
+    return pages.select(
+        "cik",
+        F.concat_ws("-", F.lit("page"), "cik", "number").alias("page_name"),
+        F.when(dated, F.col("filed_from")).alias("filed_from"),
+        F.col("filed_to"),
+    )
+
+
+@plan(
+    "older_filing_pages",
+    f"""WITH {RESULTS_SQL}, pages AS (SELECT cik, fiscal_year // 2 AS number, CASE WHEN cik % 7 <> 0 THEN min(fiscal_year) END AS first, max(fiscal_year) AS last
+      FROM idx WHERE NOT is_recent GROUP BY cik, fiscal_year // 2)
+    SELECT document_name, 'page-' || p.cik || '-' || number AS page_name FROM known k JOIN pages p ON p.cik = k.cik
+    WHERE first IS NULL OR (last >= fiscal_year AND first <= fiscal_year + 2)""",
+)
+def older_filing_pages(spark, folder):
+    known = fetch_requests(spark, folder).join(companies(spark, folder), "company")
+    return filings.pages_to_read(known, older_pages(spark, folder))
+
+
+@plan(
+    "filing_blocks",
+    """SELECT l_suppkey % 50 AS cik, l_orderkey % 2 = 0 AS is_recent, CASE l_linenumber % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' ELSE '8-K' END AS form,
+      l_orderkey || '-' || l_linenumber AS accession_number, strftime(l_shipdate + INTERVAL 30 DAY, '%Y-%m-%d') AS filing_date,
+      strftime(l_shipdate, '%Y-%m-%d') AS report_date, 'main.htm' AS primary_document FROM lineitem""",
+)
+def filing_blocks(spark, folder):
+    """Parallel arrays, as index files hold them, read into rows; an order's lines are a block."""
+    forms = F.array(*map(F.lit, ("10-K", "10-Q", "8-K")))
+    line = F.struct(
+        F.col("l_linenumber"),
+        F.get(forms, F.col("l_linenumber") % 3).alias("form"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("accession_number"),
+        F.date_format(F.date_add("l_shipdate", 30), "yyyy-MM-dd").alias("filing_date"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("report_date"),
+        F.lit("main.htm").alias("primary_document"),
+    )
+    columns = ("form", "accession_number", "filing_date", "report_date", "primary_document")
+    blocks = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_orderkey", (F.col("l_suppkey") % 50).alias("cik"))
+        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
+        .select(
+            "cik",
+            (F.col("l_orderkey") % 2 == 0).alias("is_recent"),
+            *[F.col(f"lines.{c}").alias(c) for c in columns],
+        )
+    )
+    return filings.filings_from_blocks(blocks)
+
+
 def fetch_results(spark, folder):
     return filings.fetch_results(
         fetch_requests(spark, folder), companies(spark, folder), roles.filing_index(spark, folder)
@@ -343,3 +410,21 @@ def cache_misses(spark, folder):
     asked = requests(spark, folder)
     cached = asked.filter("turn < 2").select("cache_key").distinct()
     return cache.misses(asked, cached).select("conv_id", "turn")
+
+
+@plan(
+    "storable_responses",
+    """SELECT conv_id, turn, finish_reason, substr(sha256(text), 1, 2) AS shard FROM (
+      SELECT *, CASE turn % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' WHEN 2 THEN NULL ELSE 'tool' END AS finish_reason FROM conversations)
+    WHERE finish_reason IS NULL OR finish_reason <> 'length'""",
+)
+def storable_responses(spark, folder):
+    """Responses that may be cached; those cut at the token limit may not."""
+    reasons = F.array(F.lit("stop"), F.lit("length"), F.lit(None), F.lit("tool"))
+    responses = table(spark, folder, "conversations").select(
+        "conv_id",
+        "turn",
+        F.get(reasons, F.col("turn") % 4).alias("finish_reason"),
+        F.sha2("text", 256).alias("cache_key"),
+    )
+    return cache.storable(responses).select("conv_id", "turn", "finish_reason", "shard")

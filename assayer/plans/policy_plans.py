@@ -318,13 +318,31 @@ def log_violations(spark, folder):
     "coverage_diagnostics",
     f"""WITH {LOG_SQL}, w AS (SELECT *, CASE WHEN arm = 3 THEN 1 / action_propensity ELSE 0 END AS w FROM log)
     SELECT behavior_policy, simulation_seed, count(*) AS n_rounds, round(min(action_propensity), 6) AS min_propensity, round(avg(action_propensity), 6) AS mean_propensity,
-      round(max(action_propensity), 6) AS max_propensity, round(sum(w) * sum(w) / nullif(sum(w * w), 0), 4) AS effective_sample_size, count(DISTINCT arm) AS n_actions
+      round(max(action_propensity), 6) AS max_propensity, round(quantile_cont(action_propensity, 0.05), 6) AS propensity_p05,
+      round(quantile_cont(action_propensity, 0.5), 6) AS propensity_p50, round(quantile_cont(action_propensity, 0.95), 6) AS propensity_p95, round(sum(w) * sum(w) / nullif(sum(w * w), 0), 4) AS effective_sample_size, count(DISTINCT arm) AS n_actions
     FROM w GROUP BY ALL""",
 )
 def coverage_diagnostics(spark, folder):
     return ope.coverage_diagnostics(log(spark, folder), F.lit(3))
 
 
+@plan(
+    "regret_curve",
+    f"""WITH {LOG_SQL}, b AS (SELECT question_key, list_max(rewards) AS best FROM matrix)
+    SELECT behavior_policy, simulation_seed, question_key, draw_no, count(*) OVER w AS n_rounds,
+      (sum(reward) OVER w)::DOUBLE / 1e9::DOUBLE AS cumulative_reward, (sum(regret) OVER w)::DOUBLE / 1e9::DOUBLE AS cumulative_regret
+    FROM (SELECT *, CAST(round(observed_reward * 1e9) AS BIGINT) AS reward, CAST(round((best - observed_reward) * 1e9) AS BIGINT) AS regret
+      FROM log JOIN b USING (question_key))
+    WINDOW w AS (PARTITION BY behavior_policy, simulation_seed ORDER BY question_key, draw_no)""",
+)
+def regret_curve(spark, folder):
+    """Cumulative reward, and regret against the question's best arm, over every log."""
+    matrix = roles.reward_vectors(spark, folder)
+    best = F.array_max("rewards").alias("best_reward")
+    rounds = ope.replay_log(matrix, ope.behaviour_policies(matrix), SEEDS, (best,))
+    return ope.regret_curve(rounds, F.col("best_reward"))
+
+
 TARGET_NAMES = ["always_bm25", "always_hybrid", "always_hybrid_rerank", "context_best"]
 
 

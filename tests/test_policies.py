@@ -367,3 +367,24 @@ def test_pareto_front_matches_dominance(spark):
     front = {r.id for r in policies.pareto_front(frame, ["g"], "cost", "quality").collect()}
     beaten = lambda p, o: o[0] == p[0] and o[2] <= p[2] and o[3] >= p[3] and (o[2] < p[2] or o[3] > p[3])
     assert front == {p[1] for p in points if not any(beaten(p, o) for o in points)}
+
+
+def test_regret_curve_runs_over_blocks(spark):
+    rows = [("p", 1, k, d, 0.25) for k in range(40) for d in (1, 2)] + [("p", 1, 40, 1, None)]
+    log = spark.createDataFrame(
+        rows, "behavior_policy string, simulation_seed int, question_key bigint, draw_no int, observed_reward double"
+    )
+    curve = ope.regret_curve(log, F.lit(1.0), block_rounds=7).orderBy("n_rounds").collect()
+    assert [r.n_rounds for r in curve] == list(range(1, 82))
+    assert [r.cumulative_regret for r in curve[:80]] == [0.75 * n for n in range(1, 81)]
+    assert curve[80].cumulative_reward == 20.0 and curve[80].cumulative_regret == 60.0
+
+
+def test_older_pages_by_year_and_undated(spark):
+    pages = spark.createDataFrame(
+        [(1, "old", "2010-01-01", "2014-12-31"), (1, "new", "2018-01-01", "2020-12-31"), (1, "undated", None, None), (2, "other", None, None)],
+        "cik int, page_name string, filed_from string, filed_to string",
+    )
+    asked = spark.createDataFrame([("d", 1, 2016), ("e", 1, 2015), ("f", 1, 0)], "document_name string, cik int, fiscal_year int")
+    got = {tuple(r) for r in filings.pages_to_read(asked, pages).collect()}
+    assert got == {("d", "new"), ("d", "undated"), ("e", "undated"), ("f", "undated")}
