@@ -2,10 +2,11 @@
 
 A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?``
 followed by white space; a sentence of more than ``SENTENCE_WORDS`` words is cut
-into pieces of that length. A run starts at each sentence and takes the fewest
-sentences that are at least ``RUN_SENTENCES`` and have at least ``RUN_WORDS``
-words together, so that a repeated passage of ``RUN_WORDS + SENTENCE_WORDS``
-words on sentence bounds always holds a whole run. Runs are equal when their
+into pieces of that length. A run is the fewest sentences from each one on, and
+the fewest up to each one, that are at least ``RUN_SENTENCES`` and have at least
+``RUN_WORDS`` words together. Every sentence of a repeated stretch that holds a
+run is in such a run that the stretch holds too; a repeated passage of ``RUN_WORDS + SENTENCE_WORDS``
+words on sentence bounds always holds one. Runs are equal when their
 words are; they are compared by a 128-bit hash over all documents.
 
 The first occurrence in the document with the smallest doc_id stays. Sentences
@@ -56,25 +57,33 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
+def sentence_runs(counts: list[int]) -> list[tuple[int, int]]:
+    """(first, last) sentence of the shortest runs that start and that end at each sentence."""
+    found = set()
+    for step in (1, -1):
+        sizes = counts[::step]
+        last, total = -1, 0
+        for first in range(len(sizes)):
+            while last + 1 < len(sizes) and (last - first + 1 < RUN_SENTENCES or total < RUN_WORDS):
+                last += 1
+                total += sizes[last]
+            if last - first + 1 < RUN_SENTENCES or total < RUN_WORDS:
+                break
+            found.add((first, last) if step == 1 else (len(sizes) - 1 - last, len(sizes) - 1 - first))
+            total -= sizes[first]
+    return sorted(found)
+
+
 def runs(text: str) -> list[tuple[int, int, int]]:
-    """(128-bit hash, start, end) of the run that starts at each sentence, where one exists."""
+    """(128-bit hash, start, end) of the runs that start and that end at each sentence, in order."""
     import xxhash
 
     parts = sentences(text)
     joined = [" ".join(words) for _, _, words in parts]
-    counts = [len(words) for _, _, words in parts]
-    found = []
-    last, total = -1, 0
-    for first in range(len(parts)):
-        while last + 1 < len(parts) and (last - first + 1 < RUN_SENTENCES or total < RUN_WORDS):
-            last += 1
-            total += counts[last]
-        if last - first + 1 < RUN_SENTENCES or total < RUN_WORDS:
-            break
-        digest = xxhash.xxh3_128_intdigest(" ".join(joined[first : last + 1]))
-        found.append((digest, parts[first][0], parts[last][1]))
-        total -= counts[first]
-    return found
+    return [
+        (xxhash.xxh3_128_intdigest(" ".join(joined[first : last + 1])), parts[first][0], parts[last][1])
+        for first, last in sentence_runs([len(words) for _, _, words in parts])
+    ]
 
 
 def document_runs(docs: DataFrame) -> DataFrame:
