@@ -1,15 +1,21 @@
-"""Repeated passages, found by hashing runs of consecutive sentences.
+"""Repeated passages, found by hashing runs of consecutive sentences and of words.
 
 A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?``
 followed by white space; a sentence of more than ``SENTENCE_WORDS`` words is cut
 into pieces of that length. A run is the fewest sentences from each one on, and
 the fewest up to each one, that are at least ``RUN_SENTENCES`` and have at least
 ``RUN_WORDS`` words together. Every sentence of a repeated stretch that holds a
-run is in such a run that the stretch holds too; a repeated passage of ``RUN_WORDS + SENTENCE_WORDS``
-words on sentence bounds always holds one. Runs are equal when their
-words are; they are compared by a 128-bit hash over all documents.
+run is in such a run that the stretch holds too. Passages that do not sit on
+sentence bounds are found by the windows of ``WINDOW_WORDS`` words from every
+word on. Runs and windows are equal when their words are; they are compared by a
+128-bit hash over all documents.
 
-The first occurrence in the document with the smallest doc_id stays. Sentences
+Only what can recur is hashed: of every ``SEED_SPREAD`` successive grams of
+``SEED_WORDS`` words, the least by hash are seeds, so that any repeat of
+``RUN_WORDS`` words shares a seed with its other occurrence. Runs and windows are
+made around seeds that occur twice. That filter loses nothing.
+
+The first occurrence in the document with the smallest doc_id stays. Words
 that any other occurrence covers are removed, within one document as well as
 across. A very frequent run is aggregated before the shuffle, and the join back
 is one that adaptive execution can split.
@@ -31,6 +37,11 @@ from assayer.llm.common import ids_and_texts, stored
 RUN_SENTENCES = 2
 RUN_WORDS = 30
 SENTENCE_WORDS = 20
+#: A repeat of so many words goes wherever it starts.
+WINDOW_WORDS = 50
+#: Words of a seed (a power of two), and successive grams of which one is a seed.
+SEED_WORDS = 16
+SEED_SPREAD = RUN_WORDS - SEED_WORDS + 1
 #: Runs that a task holds before it hands them on.
 ROWS_HELD = 200_000
 HALF, MASK = 1 << 63, (1 << 64) - 1
@@ -57,6 +68,31 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
+def seeds(words: list[str]):
+    """(hashes, places) of the seeds among the grams of these words."""
+    import numpy as np
+    import xxhash
+
+    if len(words) < RUN_WORDS:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    values = np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
+    width, factor = 1, 0x9E3779B97F4A7C15
+    while width < SEED_WORDS:
+        values = values[:-width] * np.uint64(factor) + values[width:]
+        factor = factor * factor % (1 << 64)
+        width *= 2
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(32)
+    window = np.lib.stride_tricks.sliding_window_view
+    least = window(values, SEED_SPREAD).min(axis=1)
+    # A gram is a seed if it is the least of some window that holds it.
+    edge = np.zeros(SEED_SPREAD - 1, dtype=np.uint64)
+    most = window(np.concatenate([edge, least, edge]), SEED_SPREAD).max(axis=1)
+    places = np.flatnonzero(values == most)
+    return values[places].view(np.int64), places
+
+
 def sentence_runs(counts: list[int]) -> list[tuple[int, int]]:
     """(first, last) sentence of the shortest runs that start and that end at each sentence."""
     found = set()
@@ -74,20 +110,74 @@ def sentence_runs(counts: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """(128-bit hash, start, end) of the runs that start and that end at each sentence, in order."""
+def runs(text: str, recurring=None) -> list[tuple[int, int, int]]:
+    """(128-bit hash, start, end) of runs and windows that hold a recurring seed, or of all, in order."""
+    import numpy as np
     import xxhash
 
-    parts = sentences(text)
-    joined = [" ".join(words) for _, _, words in parts]
-    return [
-        (xxhash.xxh3_128_intdigest(" ".join(joined[first : last + 1])), parts[first][0], parts[last][1])
-        for first, last in sentence_runs([len(words) for _, _, words in parts])
-    ]
+    words = text.split()
+    if len(words) < RUN_WORDS:
+        return []
+    grams = np.ones(len(words) - SEED_WORDS + 1, dtype=np.int64)
+    if recurring is not None:
+        hashes, places = seeds(words)
+        grams[:] = 0
+        grams[places[np.isin(hashes, recurring)]] = 1
+    before = np.concatenate([[0], np.cumsum(grams)])
+    raw = [w.encode("utf-8") for w in words]
+    joined = b" ".join(raw)
+    # Word i is joined[at[i] : at[i + 1] - 1].
+    at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in raw])]).tolist()
+    marks = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    counts = [len(part) for _, _, part in sentences(text)]
+    starts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    digest = xxhash.xxh3_128_intdigest
+    found = []
+    for first, last in sentence_runs(counts):
+        i, j = starts[first], starts[last + 1]
+        if before[j - SEED_WORDS + 1] > before[i]:
+            found.append((digest(joined[at[i] : at[j] - 1]), marks[i][0], marks[j - 1][1]))
+    # A window holds two windows of SEED_SPREAD grams that do not overlap, each with a seed.
+    held = WINDOW_WORDS - SEED_WORDS + 1
+    for i in np.flatnonzero(before[held:] - before[:-held] >= 2).tolist():
+        j = i + WINDOW_WORDS
+        found.append((digest(joined[at[i] : at[j] - 1], WINDOW_WORDS), marks[i][0], marks[j - 1][1]))
+    return sorted(found, key=lambda r: r[1:])
+
+
+def recurring_seeds(docs: DataFrame) -> DataFrame:
+    """(seeded_id, recurring): the seeds of a document that occur twice, in it or over all."""
+
+    def scan(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            parts = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                values, times = np.unique(seeds(text.split())[0], return_counts=True)
+                parts.append(pd.DataFrame({"seed": values, "doc_id": doc_id, "again": times > 1}))
+            if parts:
+                yield pd.concat(parts)
+
+    found = stored(
+        ids_and_texts(docs)
+        .where("doc_id is not null")
+        .mapInPandas(scan, "seed bigint, doc_id bigint, again boolean"),
+        "span-seeds",
+    )
+    twice = (
+        found.groupBy("seed")
+        .agg(F.count("*").alias("n"), F.max("again").alias("again"))
+        .where("n > 1 or again")
+        .select("seed")
+    )
+    listed = found.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("recurring"))
+    return stored(listed.withColumnRenamed("doc_id", "seeded_id"), "span-recurring")
 
 
 def document_runs(docs: DataFrame) -> DataFrame:
-    """Every run: its hash in two halves, place, and whether the document has had it before."""
+    """Runs that may recur: hash in two halves, place, and whether the document has had it before."""
     columns = ["high", "low", "doc_id", "start", "end", "again"]
 
     def scan(batches: Iterator) -> Iterator:
@@ -95,19 +185,20 @@ def document_runs(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, recurring in zip(batch["doc_id"], batch["text"], batch["recurring"], strict=True):
                 seen = set()
-                for h, start, end in runs(text):
+                for h, start, end in runs(text, recurring):
                     rows.append(((h >> 64) - HALF, (h & MASK) - HALF, doc_id, start, end, h in seen))
                     seen.add(h)
-                if len(rows) >= ROWS_HELD:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                    if len(rows) >= ROWS_HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
             yield pd.DataFrame(rows, columns=columns)
 
+    texts, marked = ids_and_texts(docs), recurring_seeds(docs)
     return (
-        ids_and_texts(docs)
-        .where("doc_id is not null")
+        texts.join(marked, texts["doc_id"] == marked["seeded_id"])
+        .select("doc_id", "text", "recurring")
         .mapInPandas(scan, "high bigint, low bigint, doc_id bigint, start int, end int, again boolean")
     )
 
