@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import ids_and_texts, without
+from assayer.llm.common import ids_and_texts, text_digest, without
 
 Q = 8
 ERROR = 0.1
@@ -227,13 +227,10 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
         yield [(r["item_id"], r["text"]) for r in items.where(number == block).orderBy("item_id", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, end, item_chars, similarity) for each document that holds an item.
-
-    ``end`` is where the closest stretch ends in the normalised text.
-    """
-    schema = "doc_id bigint, item_id bigint, edits int, end bigint, item_chars int"
-    texts = ids_and_texts(docs)
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, digest, item_id, edits, end, item_chars); the digest tells apart rows that share an id."""
+    schema = "doc_id bigint, digest string, item_id bigint, edits int, end bigint, item_chars int"
+    texts = ids_and_texts(docs).withColumn("digest", text_digest(F.col("text")))
     context = docs.sparkSession.sparkContext
     whole = None
     for block in _blocks(benchmark):
@@ -244,17 +241,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             items = Items(sent.value)
             for batch in batches:
-                ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-                rows = find(items, ids, batch["text"].tolist())
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "end", "item_chars"])
-                yield frame.astype({"doc_id": "Int64"})
+                ids = [
+                    (None if pd.isna(i) else int(i), digest)
+                    for i, digest in zip(batch["doc_id"], batch["digest"], strict=True)
+                ]
+                rows = [(*row[0], *row[1:]) for row in find(items, ids, batch["text"].tolist())]
+                columns = ["doc_id", "digest", "item_id", "edits", "end", "item_chars"]
+                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
         found = texts.mapInPandas(run, schema)
         whole = found if whole is None else whole.unionByName(found)
-    return whole.distinct().withColumn("similarity", 1 - F.col("edits") / F.col("item_chars"))
+    return whole
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, end, item_chars, similarity) for each document that holds an item.
+
+    ``end`` is where the closest stretch ends in the normalised text.
+    """
+    found = _found(docs, benchmark).drop("digest").distinct()
+    return found.withColumn("similarity", 1 - F.col("edits") / F.col("item_chars"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose documents hold no benchmark item; all columns stay."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return without(docs, found, {"doc_id": docs["doc_id"].cast("bigint")})
+    """Rows of ``docs`` whose texts hold no benchmark item; all columns stay."""
+    found = _found(docs, benchmark).select("doc_id", "digest").distinct()
+    keys = {"doc_id": docs["doc_id"].cast("bigint"), "digest": text_digest(docs["text"])}
+    return without(docs, found, keys)
