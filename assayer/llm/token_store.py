@@ -11,8 +11,8 @@ tests a bit per level, checks the fingerprint and has the place of the ids; a ke
 that was never stored fails the fingerprint but for 1 in 2**32.
 
 A row's key is (doc_id, ordinal): rows that repeat a doc_id are numbered in the
-order of their texts. Rows with a null doc_id come first and have keys of their
-own. Null texts are empty and hold the end id alone.
+order of their texts. Rows with a null doc_id come first, in an order by their
+texts' hashes, and have keys of their own. Null texts are empty and hold the end id alone.
 
 A shard is written under a name of the task attempt and renamed when it is whole,
 so that a rerun task replaces it by the same bytes.
@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.bpe import default_path
-from assayer.llm.chunks import Memory
 from assayer.llm.common import ids_and_texts, new_folder, open_folder, stored
+from assayer.llm.words import Ragged, WordMemory, blocks
+from assayer.session import join_small
 
 END_ID = 2
 MAGIC = b"ASSAYIDS"
@@ -41,75 +42,98 @@ BUCKET_KEYS = 4096
 #: Bits per key that is left, in each level of the perfect hash.
 LEVEL_LOAD = 2
 READ_SPAN = 1 << 22
+#: Bytes of text that a shard's task encodes.
+SHARD_BYTES = 32 << 20
+#: New words that the library gets at once.
+WORDS_IN_A_ROW = 2000
+ASCII_SPACES = frozenset(c for c in range(0x80) if chr(c).isspace())
 NULL_DOC = 0
 
 
 class LibraryEncoder:
-    """Encodes lists of pieces with the tokenizers library."""
+    """Encodes lists of words with the tokenizers library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = special_as_text
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # A token's name has one character for each of its bytes.
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.lengths = np.array([len(n) for n in names], dtype=np.int64)
         self.dtype = np.dtype("<u2" if size < 1 << 16 else "<u4")
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Pieces that start with one space are encoded side by side.
+    def encode_words(self, words: list[bytes]) -> dict[str, Ragged]:
+        """Ids of each word. Words that start with one space are encoded side by side.
 
-        A piece ends where the next one's space begins, so the ids of many pieces
-        in a row are those of each; they are told apart by their bytes.
+        A word ends where the next one's space begins, so the ids of many words in a
+        row are those of each; they are told apart by their bytes.
         """
         import numpy as np
 
-        result: list[bytes | None] = [None] * len(texts)
-        joined = [
-            i for i, t in enumerate(texts)
-            if t[:1] == " " and not t[1:2].isspace() and len(t) > 1 and not t[-1].isspace()
-        ]
-        alone = set(range(len(texts))).difference(joined)
-        for i in alone:
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-            result[i] = np.array(ids, dtype=self.dtype).tobytes()
-        width = self.dtype.itemsize
-        for start in range(0, len(joined), 2000):
-            run = joined[start : start + 2000]
-            ids = self.tokenizer.encode_batch_fast(
-                ["".join([texts[i] for i in run])], add_special_tokens=False
-            )[0].ids
-            ids = np.array(ids, dtype=np.int64)
-            ends = np.cumsum([len(texts[i].encode("utf-8")) for i in run])
-            token_ends = np.cumsum(self.lengths[ids])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        in_row = np.fromiter(map(_stands_in_a_row, words), dtype=bool, count=len(words))
+        found, counts = [], np.zeros(len(words), dtype=np.int64)
+        together, alone = np.flatnonzero(in_row), np.flatnonzero(~in_row)
+        for start in range(0, len(together), WORDS_IN_A_ROW):
+            run = together[start : start + WORDS_IN_A_ROW]
+            text = b"".join([words[i] for i in run.tolist()]).decode("utf-8")
+            encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(encoded[0].ids, dtype=np.int64)
+            ends, token_ends = np.cumsum(sizes[run]), np.cumsum(self.lengths[ids])
             cuts = np.searchsorted(token_ends, ends) + 1
             if not np.array_equal(token_ends[cuts - 1], ends):
-                raise ValueError("a token crosses the end of a piece")
-            data = ids.astype(self.dtype).tobytes()
-            at = 0
-            for i, cut in zip(run, (cuts * width).tolist(), strict=True):
-                result[i] = data[at:cut]
-                at = cut
-        return result
+                raise ValueError("a token crosses the end of a word")
+            counts[run] = np.diff(cuts, prepend=0)
+            found.append(ids.astype(self.dtype))
+        for i in alone.tolist():
+            ids = self.tokenizer.encode(words[i].decode("utf-8"), add_special_tokens=False).ids
+            counts[i] = len(ids)
+            found.append(np.array(ids, dtype=self.dtype))
+        order = np.concatenate([together, alone])
+        values = np.concatenate(found) if found else np.zeros(0, dtype=self.dtype)
+        return {"ids": Ragged(values, counts[order]).take(np.argsort(order))}
 
 
-_ENCODERS: dict[str, tuple[LibraryEncoder, Memory]] = {}
+def _stands_in_a_row(word: bytes) -> bool:
+    """Whether the word starts with one space and ends with no white space."""
+    if len(word) < 2 or word[0] != 0x20:
+        return False
+    if word[1] < 0x80 and word[-1] < 0x80:
+        return word[1] not in ASCII_SPACES and word[-1] not in ASCII_SPACES
+    text = word.decode("utf-8")
+    return not text[1].isspace() and not text[-1].isspace()
 
 
-def library(path: str) -> tuple[LibraryEncoder, Memory]:
+_ENCODERS: dict[str, tuple[LibraryEncoder, WordMemory]] = {}
+
+
+def library(path: str) -> tuple[LibraryEncoder, WordMemory]:
     if path not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = LibraryEncoder(path)
-        _ENCODERS[path] = (encoder, Memory(encoder.encode_all))
+        _ENCODERS[path] = (encoder, WordMemory(encoder.encode_words))
     return _ENCODERS[path]
 
 
+def ids_of_texts(texts, memory: WordMemory) -> Iterator:
+    """(texts, ids): the number of each text, or part of one, and its ids, in order."""
+    import numpy as np
+
+    for block in blocks(texts):
+        rows, columns = memory.columns(block)
+        ids = columns["ids"].take(rows) if columns else Ragged(np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        bounds = ids.bounds()[np.concatenate([[0], np.cumsum(block.words_of)])].tolist()
+        for k, owner in enumerate(block.owners.tolist()):
+            yield owner, ids.values[bounds[k] : bounds[k + 1]]
+
+
 def shard_name(number: int) -> str:
     return f"shard-{number:06d}.ids"
 
@@ -119,7 +143,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, shards: int) -> DataFr
 
     def write(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
@@ -134,17 +158,33 @@ def write_shards(docs: DataFrame, folder: str, path: str, shards: int) -> DataFr
                 out = fs.open_output_stream(draft)
                 out.write(struct.pack(HEAD, MAGIC, 1, encoder.dtype.itemsize))
                 end = np.array([END_ID], dtype=encoder.dtype).tobytes()
-            rows = []
-            ids_of = memory.encode(batch["text"].tolist())
-            for doc_id, is_null, ids in zip(batch["key_id"], batch["is_null"], ids_of, strict=True):
-                ordinal = ordinal + 1 if (doc_id, is_null) == last else 0
-                last = (doc_id, is_null)
-                out.write(ids)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            counts, owner = np.ones(len(keys), dtype=np.int64), 0
+            for number, ids in ids_of_texts(batch.column(2), memory):
+                for _ in range(owner, number):
+                    out.write(end)
+                owner = number
+                out.write(ids.astype(encoder.dtype, copy=False).data)
+                counts[number] += len(ids)
+            for _ in range(owner, len(keys)):
                 out.write(end)
-                n = len(ids) // encoder.dtype.itemsize + 1
-                rows.append((doc_id, -1 - ordinal if is_null else ordinal, shard, offset, n))
-                offset += n
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "shard", "offset", "n"])
+            ordinals = []
+            for key in keys:
+                ordinal = ordinal + 1 if key == last else 0
+                last = key
+                ordinals.append(-1 - ordinal if key[1] else ordinal)
+            offsets = offset + np.cumsum(counts) - counts
+            offset += int(counts.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(ordinals, pa.int64()),
+                    pa.array([shard] * len(keys), pa.int32()),
+                    pa.array(offsets),
+                    pa.array(counts),
+                ],
+                ["doc_id", "ordinal", "shard", "offset", "n"],
+            )
         if out is not None:
             memory.clear()
             out.close()
@@ -153,12 +193,16 @@ def write_shards(docs: DataFrame, folder: str, path: str, shards: int) -> DataFr
     keyed = ids_and_texts(docs).select(
         F.coalesce("doc_id", F.lit(NULL_DOC)).alias("key_id"), F.col("doc_id").isNull().alias("is_null"), "text"
     )
-    # Nulls first, then ascending ids; one range of ids to a shard.
-    order = [F.when(F.col("is_null"), None).otherwise(F.col("key_id")).asc_nulls_first()]
+    # Nulls first, then ascending ids; one range to a shard. Rows without an id are
+    # dealt to ranges by their texts.
+    order = [
+        F.when(F.col("is_null"), None).otherwise(F.col("key_id")).asc_nulls_first(),
+        F.when(F.col("is_null"), F.xxhash64("text")),
+    ]
     return (
         keyed.repartitionByRange(shards, *order)
         .sortWithinPartitions(*order, "text")
-        .mapInPandas(write, "doc_id bigint, ordinal bigint, shard int, offset bigint, n bigint")
+        .mapInArrow(write, "doc_id bigint, ordinal bigint, shard int, offset bigint, n bigint")
     )
 
 
@@ -360,18 +404,27 @@ class TokenStore:
     def write(cls, docs: DataFrame, folder: str | None = None, path: str | None = None) -> TokenStore:
         spark = docs.sparkSession
         folder = folder or new_folder(spark, "token-store")
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        entries = stored(
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES))
+        written = stored(
             write_shards(docs, f"{folder}/shards", path or default_path(), shards), "token-entries"
         )
-        buckets = max(1, -(-entries.count() // BUCKET_KEYS))
-        build_index(entries, buckets).write.parquet(f"{folder}/index")
-        # Ids before each shard: one row per shard.
-        totals = entries.groupBy("shard").agg(F.sum("n").alias("total"))
-        before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        totals.select("shard", "total", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(
-            f"{folder}/bases"
+        # Ids, and rows without a doc_id, before each shard: one row per shard.
+        totals = written.groupBy("shard").agg(
+            F.sum("n").alias("total"), F.count_if(F.col("ordinal") < 0).alias("unnamed")
         )
+        earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        totals.select(
+            "shard",
+            "total",
+            F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"),
+            F.coalesce(F.sum("unnamed").over(earlier), F.lit(0)).alias("unnamed_before"),
+        ).coalesce(1).write.parquet(f"{folder}/bases")
+        bases = spark.read.parquet(f"{folder}/bases").select("shard", "unnamed_before")
+        ordinal = F.when(F.col("ordinal") < 0, F.col("ordinal") - F.col("unnamed_before")).otherwise(F.col("ordinal"))
+        entries = join_small(written, bases, "shard").withColumn("ordinal", ordinal).drop("unnamed_before")
+        buckets = max(1, -(-written.count() // BUCKET_KEYS))
+        build_index(entries, buckets).write.parquet(f"{folder}/index")
         return cls(spark, folder, buckets)
 
     def read(self, keys: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from assayer.llm import bpe, chunks, token_store, warc
+from assayer.llm import bpe, chunks, token_store, warc, words
 
 PARTS = [*"abcdeth  \n\t'.,s1", "é", "½", "中", "🙂", "\xa0", " ", "\x85", "\x1c", "<|endoftext|>", "'ll", " the", "\n\n", " un"]
 
@@ -38,8 +39,10 @@ def test_encoders_agree_with_the_library(tokenizer, odd_texts, monkeypatch):
     assert [own.decode(ids) for ids in want] == [tokenizer.decode(i, skip_special_tokens=False) for i in want]
     assert own.decode([255, 200, 50256]) == tokenizer.decode([255, 200, 50256], skip_special_tokens=False)
     library = token_store.LibraryEncoder(bpe.default_path())
-    stored = chunks.Memory(library.encode_all).encode(odd_texts)
-    assert [np.frombuffer(b, library.dtype).tolist() for b in stored] == want
+    stored = [[] for _ in odd_texts]
+    for owner, ids in token_store.ids_of_texts(pa.array(odd_texts), words.WordMemory(library.encode_words)):
+        stored[owner].extend(ids.tolist())
+    assert stored == want
 
 
 def test_encoded_rows(awkward, tokenizer):
@@ -70,6 +73,18 @@ def test_store_round_trip(awkward, tokenizer):
     assert store.read(strange).count() == 0
 
 
+def test_rows_without_an_id_are_spread(docs, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 1 << 11)
+    table = docs([(None, f"text {i % 90} of none") for i in range(400)] + [(i, f"text {i}") for i in range(40)])
+    store = token_store.TokenStore.write(table)
+    spark = table.sparkSession
+    assert spark.read.parquet(f"{store.folder}/bases").count() > 2
+    rows = store.read(token_store.keys_of(table)).collect()
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert len(rows) == 440 and sum(r.doc_id is None for r in rows) == 400
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_empty_store(docs):
     none = docs([])
     assert token_store.TokenStore.write(none).read(token_store.keys_of(none)).count() == 0
