@@ -13,10 +13,12 @@ from assayer.llm import (
     exact,
     html_text,
     lines,
+    manifest,
     simhash,
     spans,
     token_store,
     toxicity,
+    twins,
     warc,
 )
 from assayer.llm.common import shared_folder, table
@@ -114,3 +116,8 @@ def op9(spark, folder):
 def op10(spark, folder):
     index, bundles = warc.archive(table(spark, folder, "pages"))
     return warc.read_records(index, bundles)
+
+
+@query("op12_merkle_manifest", twins.MANIFEST)
+def op12(spark, folder):
+    return manifest.tamper_checks(table(spark, folder, "documents"))
