@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import (
+    align,
     bpe,
     decontaminate,
     exact,
@@ -118,6 +119,11 @@ def op10(spark, folder):
     return warc.read_records(index, bundles)
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark, folder):
+    return align.link_figures(table(spark, folder, "documents"))
+
+
 @query("op12_merkle_manifest", twins.MANIFEST)
 def op12(spark, folder):
     return manifest.tamper_checks(table(spark, folder, "documents"))
