@@ -37,6 +37,8 @@ from assayer.session import join_small
 #: Pairs of ids, with their counts, that workers hold at most; 17 bytes each.
 PAIRS_HELD = 3_000_000
 PIECE_SPACE = "▁"
+#: Bytes of text aligned at once.
+BLOCK_BYTES = 5 << 20
 B_BITS = 32
 
 
@@ -103,7 +105,7 @@ class Aligner:
         groups), ``links`` (codes of linked ids) and ``text`` (the groups' ids)."""
         import numpy as np
 
-        from assayer.llm.words import Ragged
+        from assayer.llm.words import Items, Ragged
 
         n = len(words)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
@@ -142,10 +144,13 @@ class Aligner:
         text.values[text.bounds()[1:] - 1] = signs
         word_of_text = np.concatenate([word_a, word_b])[order]
         lengths = np.bincount(word_of_text, weights=text.counts, minlength=n).astype(np.int64)
+        cut, raw = [0, *np.cumsum(lengths).tolist()], text.values.tobytes()
+        spelled = np.empty(n, dtype=object)
+        spelled[:] = [raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
         return {
             "figures": Ragged(figures.astype(np.int64).ravel(), np.full(n, 4)),
             "links": Ragged(codes, per_word(word_a[left])),
-            "text": Ragged(text.values, lengths),
+            "text": Items(spelled),
         }
 
     def _given_back(self, words: list[bytes], sizes, b):
@@ -200,7 +205,7 @@ def align_texts(texts, known: Aligner, with_groups: bool = False) -> Aligned:
     figures[:, 0] = 1
     pairs, times, pair_counts = [], [], np.zeros(n, dtype=np.int64)
     digests, spelled, last = [hashlib.sha256() for _ in range(n)], [b""] * n, [b""] * n
-    for block in blocks(texts, space_first=True):
+    for block in blocks(texts, space_first=True, block_bytes=BLOCK_BYTES):
         rows, columns = known.memory.columns(block)
         if columns is None:
             continue
@@ -222,15 +227,14 @@ def align_texts(texts, known: Aligner, with_groups: bool = False) -> Aligned:
         pairs.append(codes[at])
         times.append(np.diff(np.concatenate([at, [len(codes)]])).astype(np.int32))
         np.add.at(pair_counts, block.owners, np.bincount(part[at], minlength=len(block.owners)))
-        text = columns["text"].take(rows)
-        data, cut = text.values.data, text.bounds()[bounds].tolist()
+        text, cut = columns["text"].take(rows).values.tolist(), bounds.tolist()
         for k, owner in enumerate(block.owners.tolist()):
-            if cut[k] < cut[k + 1]:
-                digests[owner].update(last[owner])
-                digests[owner].update(data[cut[k] : cut[k + 1] - 1])
+            joined = b"".join(text[cut[k] : cut[k + 1]])
+            if joined:
+                digests[owner].update(last[owner] + joined[:-1])
                 last[owner] = b";"
                 if with_groups:
-                    spelled[owner] += bytes(data[cut[k] : cut[k + 1]])
+                    spelled[owner] += joined
     flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     pairs, times = flat(pairs, np.int64), flat(times, np.int32)
     # Texts that are not given back, and those without words, have no tokens.
@@ -282,7 +286,6 @@ def alignments(
             yield pa.RecordBatch.from_arrays(
                 arrays + [pa.array(done.groups, pa.string())] * with_groups, names + ["groups"] * with_groups
             )
-        known.memory.clear()
 
     kinds = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
     names = [column.split(" ")[0] for column in kinds.split(", ")]

@@ -186,7 +186,6 @@ def write_shards(docs: DataFrame, folder: str, path: str, shards: int) -> DataFr
                 ["doc_id", "ordinal", "shard", "offset", "n"],
             )
         if out is not None:
-            memory.clear()
             out.close()
             fs.move(draft, f"{base}/{shard_name(shard)}")
 

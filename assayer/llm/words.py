@@ -20,7 +20,7 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; longer texts are cut between words.
 BLOCK_BYTES = 16 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 SPACE = 0x20
 # The ASCII white space, and the UTF-8 bytes of all other white space.
 ASCII_WHITE = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
@@ -50,7 +50,20 @@ class Ragged:
         return np.concatenate([[0], np.cumsum(self.counts)])
 
 
-Columns = dict[str, Ragged]
+@dataclass
+class Items:
+    """One Python object for each word."""
+
+    values: np.ndarray
+
+    def take(self, index: np.ndarray) -> Items:
+        return Items(self.values[index])
+
+    def joined(self, other: Items) -> Items:
+        return Items(np.concatenate([self.values, other.values]))
+
+
+Columns = dict[str, "Ragged | Items"]
 
 
 def _wide_white_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -125,11 +138,12 @@ def _block(parts: list[tuple[int, np.ndarray]]) -> Block:
     return Block(owners, words_of, coded.dictionary, coded.indices.to_numpy())
 
 
-def blocks(texts: pa.Array, space_first: bool = False) -> Iterator[Block]:
+def blocks(texts: pa.Array, space_first: bool = False, block_bytes: int | None = None) -> Iterator[Block]:
     """The words of a string array; null counts as empty, and empty texts have no words.
 
     ``space_first`` puts a space before every text that is not empty.
     """
+    most = block_bytes or BLOCK_BYTES
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -141,20 +155,22 @@ def blocks(texts: pa.Array, space_first: bool = False) -> Iterator[Block]:
         text = data[offsets[i] : offsets[i + 1]] if not empty[i] else data[:0]
         if space_first and len(text):
             text = np.concatenate([lead, text])
-        if size and size + len(text) > BLOCK_BYTES:
+        if size and size + len(text) > most:
             yield _block(held)
             held, size = [], 0
-        while len(text) > BLOCK_BYTES:
-            places = cuts(text[:BLOCK_BYTES])
-            places = places[places < BLOCK_BYTES - 1]
-            step = BLOCK_BYTES
+        while len(text) > most:
+            # The last byte looked at may be the first of a wide white space.
+            places = cuts(text[:most])
+            places = places[places < most - 4]
+            step = most
             while not len(places) and step < len(text):
                 # One word longer than a block: look on until it ends.
                 step *= 2
                 places = cuts(text[:step])
+                places = places[places < min(step, len(text)) - 4]
             if not len(places):
                 break
-            at = int(places[-1] if step == BLOCK_BYTES else places[0])
+            at = int(places[-1] if step == most else places[0])
             yield _block([(i, text[:at])])
             text = text[at:]
         held.append((i, text))

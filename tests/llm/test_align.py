@@ -103,7 +103,7 @@ def test_texts_equal_plain_alignment(sides, monkeypatch):
     assert sum(w is None for w in want) > 10
     known = align.aligner(bpe.default_path(), align.default_piece_path())
     for block_bytes, kept in ((1 << 20, 400_000), (400, 50)):
-        monkeypatch.setattr(words, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(align, "BLOCK_BYTES", block_bytes)
         monkeypatch.setattr(words, "WORDS_KEPT", kept)
         known.memory.clear()
         assert align.align_texts(pa.array(texts, pa.string()), known, with_groups=True).groups == want
