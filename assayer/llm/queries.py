@@ -17,6 +17,7 @@ from assayer.llm import (
     manifest,
     simhash,
     spans,
+    suffixes,
     token_store,
     toxicity,
     twins,
@@ -127,3 +128,8 @@ def op11(spark, folder):
 @query("op12_merkle_manifest", twins.MANIFEST)
 def op12(spark, folder):
     return manifest.tamper_checks(table(spark, folder, "documents"))
+
+
+@query("op13_suffix_dedup")
+def op13(spark, folder):
+    return suffixes.deduplicated(table(spark, folder, "documents"))
