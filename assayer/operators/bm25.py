@@ -1,22 +1,32 @@
-"""BM25 as set operations: term statistics, weighted postings, top-k.
+"""BM25: term statistics, weighted postings, block-wise scores, top-k.
 
-Term frequencies are counted inside each row (sort, then run lengths), so the
-corpus is tokenized and turned into postings without a shuffle. Only postings
-whose term occurs in some query survive, and text never travels with scores.
+Term frequencies are counted inside each row, so the corpus is tokenized and
+turned into postings without a shuffle. Only postings whose term occurs in some
+query survive, and text never travels with scores. A search scores blocks of
+chunks against all questions inside a task and exchanges only the best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayer.functions import text as tx
-from assayer.session import fits_broadcast, join_small
+from assayer.operators.heaps import TopRows
+from assayer.session import fits_broadcast, join_small, stored
 
 SCORE_DIGITS = 6
+#: Scores held at once, chunks times questions: 4 MB.
+SCORE_CELLS = 500_000
 
 
 @dataclass(frozen=True)
@@ -87,56 +97,33 @@ def saturation(tf: Column, length: Column, mean: Column, settings: Bm25Settings)
     return tf * (settings.k1 + 1.0) / (tf + settings.k1 * norm)
 
 
-def query_index(chunks: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
-    """Postings of the query vocabulary plus one length row per chunk.
-
-    One pass over the corpus yields everything scoring needs: the rows with a
-    NULL term carry each chunk's length for N and the mean, the others are the
-    postings. The result is narrow, hashed by chunk and kept, because document
-    frequencies, totals and scores all read it.
-    """
-    keys = ("chunk_id", "document_id", "ordinal")
-    length_row = F.array(
-        F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
-    )
-    rows = index_terms(chunks, *keys).select(
-        *keys, "doc_len", F.inline(F.concat(length_row, term_counts(F.col("terms"))))
-    )
-    wanted = vocabulary.withColumn("wanted", F.lit(True))
-    if small:
-        wanted = F.broadcast(wanted)
-    kept = rows.join(wanted, "term", "left").filter(
-        F.col("wanted").isNotNull() | F.col("term").isNull()
-    )
-    return kept.drop("wanted").repartition("chunk_id").persist(StorageLevel.MEMORY_AND_DISK)
+def _spread_tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", "document_id", "ordinal", tx.tokens(F.col("text")).alias("terms"))
 
 
 def score(
     chunks: DataFrame, queries: DataFrame, settings: Bm25Settings = Bm25Settings()
 ) -> DataFrame:
-    """(question_id, chunk_id, document_id, ordinal, score), positive scores only.
+    """(question_id, chunk_id, document_id, ordinal, score), every positive score.
 
-    Statistics cover the whole corpus. With a broadcast query side, a chunk's
-    postings are already in one place, so its sums for all queries need no
-    exchange and only each partition's top-k is shuffled.
+    Statistics cover the whole corpus. The result is as large as the number of
+    matching pairs: ``search`` finds the best of a question without listing them.
     """
+    keys = ("chunk_id", "document_id", "ordinal")
+    indexed = index_terms(chunks, *keys)
+    totals = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len"))
     wanted = query_terms(queries)
-    small = fits_broadcast(wanted)
-    side = F.broadcast if small else (lambda df: df)
-    index = query_index(chunks, wanted.select("term").distinct(), small)
-    lengths = index.filter("term is null")
-    n = lengths.agg(F.count(F.lit(1))).scalar()
-    mean_len = lengths.agg(F.avg("doc_len")).scalar()
-    kept = index.filter("term is not null")
+    kept = join_small(postings(indexed, *keys), wanted.select("term").distinct(), "term", "left_semi")
     frequencies = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(side(frequencies), "term").select(
+    n, mean_len = totals.select("n").scalar(), totals.select("mean_len").scalar()
+    weights = wanted.join(frequencies, "term").select(
         "question_id", "term", (F.col("qtf") * idf(n, F.col("df"))).alias("weight")
     )
     saturated = kept.withColumn(
         "saturated", saturation(F.col("tf"), F.col("doc_len"), mean_len, settings)
     )
     summed = (
-        saturated.join(side(weights), "term")
+        join_small(saturated, weights, "term")
         .groupBy("chunk_id", "question_id")
         .agg(
             F.first("document_id").alias("document_id"),
@@ -206,10 +193,124 @@ def top_k(scored: DataFrame, k: int = 10, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+class QueryBlock:
+    """Questions as a sparse matrix by term: a term's weights are those of the questions that hold it."""
+
+    def __init__(self, questions, terms: int, question_of, term_of, weights) -> None:
+        order = np.argsort(term_of, kind="stable")
+        self.questions = questions
+        self.question_of, self.weights = question_of[order], weights[order]
+        self.counts = np.bincount(term_of, minlength=terms)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def scores(self, row, term, gain, rows: int):
+        """(rows, questions) of rounded scores from a chunk block's postings."""
+        counts = self.counts[term]
+        before = np.cumsum(counts) - counts
+        at = np.arange(int(counts.sum())) + np.repeat(self.starts[term] - before, counts)
+        cells = np.repeat(row, counts) * len(self.questions) + self.question_of[at]
+        sums = np.bincount(
+            cells, weights=np.repeat(gain, counts) * self.weights[at], minlength=rows * len(self.questions)
+        )
+        return np.round(sums.reshape(rows, -1), SCORE_DIGITS)
+
+
+def _hits(chunks: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """One narrow row per chunk: keys, ``doc_len``, and the query terms in it with counts."""
+    spark = chunks.sparkSession
+    known = spark.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(3)
+            lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            found = pc.index_in(terms.flatten(), value_set=known.value).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            hit = found >= 0
+            cells, times = np.unique(
+                row[hit] * max(1, len(known.value)) + found[hit], return_counts=True
+            )
+            row, term = np.divmod(cells, max(1, len(known.value)))
+            bounds = pa.array(np.searchsorted(row, np.arange(len(lengths) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3],
+                    pa.array(lengths.astype(np.int32)),
+                    pa.ListArray.from_arrays(bounds, pa.array(term.astype(np.int32))),
+                    pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+                ],
+                names=["chunk_id", "document_id", "ordinal", "doc_len", "term_ids", "tfs"],
+            )
+
+    narrow = _spread_tokens(chunks)
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[:3])
+    return narrow.mapInArrow(count, f"{keys}, doc_len int, term_ids array<int>, tfs array<int>")
+
+
+def _block_search(
+    chunks: DataFrame, wanted: DataFrame, k: int, settings: Bm25Settings
+) -> DataFrame:
+    asked = wanted.toPandas()
+    vocabulary, term_of = np.unique(asked["term"].to_numpy(dtype=str), return_inverse=True)
+    questions, question_of = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
+    hits = stored(_hits(chunks, vocabulary.astype(object)), "bm25-hits")
+    n, mean_len = hits.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    df = np.zeros(len(vocabulary))
+    for term, times in (
+        hits.select(F.explode("term_ids").alias("term")).groupBy("term").count().toPandas().to_numpy()
+    ):
+        df[term] = times
+    weights = asked["qtf"].to_numpy() * np.log(1.0 + (n - df + 0.5) / (df + 0.5))[term_of]
+    block = QueryBlock(questions, len(vocabulary), question_of, term_of, weights)
+    shared = chunks.sparkSession.sparkContext.broadcast(block)
+    mean_len = mean_len or 1.0
+    columns = ["question_id", "chunk_id", "document_id", "ordinal", "score"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        block = shared.value
+        best_rows = TopRows(len(block.questions), k, np.nextafter(0.0, 1.0))
+        step = max(1, SCORE_CELLS // max(1, len(block.questions)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                keys = part.select(["chunk_id", "document_id", "ordinal"]).to_pandas()
+                length = part.column("doc_len").to_numpy()
+                term = part.column("term_ids").flatten().to_numpy()
+                tf = part.column("tfs").flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), part.column("term_ids").value_lengths().to_numpy())
+                norm = 1.0 - settings.b + settings.b * length[row] / mean_len
+                gain = tf * (settings.k1 + 1.0) / (tf + settings.k1 * norm)
+                best_rows.take(block.scores(row, term, gain, part.num_rows), keys)
+        best = best_rows.cut()
+        if best is not None:
+            best = best.assign(question_id=block.questions[best["question"].to_numpy()])
+            yield pa.RecordBatch.from_pandas(best[columns], schema=out_schema, preserve_index=False)
+
+    kinds = {f.name: f.dataType for f in [*hits.schema.fields, *wanted.schema.fields]}
+    out_schema = to_arrow_schema(
+        StructType([StructField(c, kinds.get(c, DoubleType())) for c in columns])
+    )
+    schema = ", ".join(f"{c} {kinds[c].simpleString() if c in kinds else 'double'}" for c in columns)
+    return top_k(hits.mapInArrow(scan, schema), k)
+
+
 def search(
     chunks: DataFrame,
     queries: DataFrame,
     k: int = 10,
     settings: Bm25Settings = Bm25Settings(),
 ) -> DataFrame:
+    """The k best chunks of every question, with their ranks.
+
+    The corpus is tokenized once, into a narrow stored table of the query terms
+    that each chunk holds. A task then scores blocks of chunks against all
+    questions, a sparse matrix that is sent to it, and keeps k rows for each
+    question; only these are exchanged. Questions over the limits of a broadcast
+    are joined to the postings instead.
+    """
+    if k <= 0:
+        raise ValueError(f"k must be positive, got {k}")
+    wanted = query_terms(queries)
+    if fits_broadcast(wanted):
+        return _block_search(chunks, wanted, k, settings)
     return top_k(score(chunks, queries, settings), k)

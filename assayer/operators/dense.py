@@ -1,9 +1,9 @@
 """Exact dense retrieval by blocked matrix products.
 
-Spark partitions the corpus; each task multiplies an Arrow batch with a block
-of queries and keeps only the k best rows per query, so neither the pairs nor
-the scores are ever materialized. A query side under the size limit is
-broadcast; a larger one is cut into blocks that are joined to corpus blocks.
+Spark partitions the corpus; each task forms blocks of rows that are close to one
+another, multiplies a block with the questions it can matter to, and keeps only the k
+best rows per question. A query side under the size limit is broadcast; a larger
+one is cut into blocks too, and joined to the corpus blocks within reach.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from assayer.operators.bm25 import term_counts, top_k
-from assayer.session import broadcast_row_limit
+from assayer.operators.heaps import TopRows
+from assayer.session import broadcast_row_limit, stored
 
 SCORE_DIGITS = 6
 #: Fixed value: the embedder's own token pattern.
@@ -24,6 +28,12 @@ EMBED_PATTERN = r"[a-z0-9][a-z0-9,.%$]*"
 #: Query vectors broadcast as one matrix stay under this many cells (64 MB).
 MATRIX_CELLS = 8_000_000
 BLOCK_ROWS = 4096
+#: Scores held at once (32 MB).
+PRODUCT_CELLS = 4_000_000
+#: Corpus rows that blocks are formed around: a sample of this many by hash.
+PIVOTS = 256
+#: Bounds are compared with scores that were rounded to SCORE_DIGITS.
+SLACK = 1e-5
 
 
 def hashed_vectors(
@@ -62,19 +72,24 @@ def hashed_vectors(
         ).alias("sign"),
     )
 
-    def to_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = np.zeros((len(batch), dimensions))
-            for row, (buckets, signs, counts) in enumerate(
-                zip(batch["bucket"], batch["sign"], batch["tf"], strict=True)
-            ):
-                np.add.at(matrix[row], buckets, np.multiply(signs, counts))
+            rows = batch.num_rows
+            counts, buckets, signs = (batch.column(i).flatten().to_numpy() for i in (1, 2, 3))
+            lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cells = np.repeat(np.arange(rows), lengths) * dimensions + buckets
+            matrix = np.bincount(cells, weights=signs * counts, minlength=rows * dimensions)
+            matrix = matrix.reshape(rows, dimensions)
             norms = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = np.divide(matrix, norms, out=matrix, where=norms > 0)
-            yield pd.DataFrame({key: batch[key], "vector": list(unit)})
+            bounds = pa.array(np.arange(rows + 1, dtype=np.int32) * dimensions)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(unit.ravel()))],
+                names=[key, "vector"],
+            )
 
     kind = texts.schema[key].dataType.simpleString()
-    vectors = parts.mapInPandas(to_unit, f"{key} {kind}, vector array<double>")
+    vectors = parts.mapInArrow(to_unit, f"{key} {kind}, vector array<double>")
     return vectors.withColumn("model_version", F.lit(f"hashing-{dimensions}d-seed{seed}"))
 
 
@@ -89,30 +104,112 @@ def require_same_model(corpus: DataFrame, queries: DataFrame) -> None:
         raise ValueError(f"vectors come from different models: {sorted(found)}")
 
 
-def _best_rows(q: pd.DataFrame, c: pd.DataFrame, k: int, floor: float) -> pd.DataFrame:
-    """The k best corpus rows of one block for every query, ties in order."""
-    if q.empty or c.empty:
-        return pd.DataFrame({"question_id": [], "chunk_id": [], "ordinal": [], "score": []})
-    left = np.vstack(q["vector"].to_numpy()).astype(float)
-    right = np.vstack(c["vector"].to_numpy()).astype(float)
-    scores = np.round(left @ right.T, SCORE_DIGITS)
-    keep = scores > floor
-    if scores.shape[1] > k:
-        cutoff = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-        keep &= scores >= cutoff
-    rows, columns = np.nonzero(keep)
-    best = pd.DataFrame(
-        {
-            "question_id": q["question_id"].to_numpy()[rows],
-            "chunk_id": c["chunk_id"].to_numpy()[columns],
-            "ordinal": c["ordinal"].to_numpy()[columns],
-            "score": scores[rows, columns],
-        }
-    )
-    ordered = best.sort_values(
-        ["question_id", "score", "ordinal", "chunk_id"], ascending=[True, False, True, True]
-    )
-    return ordered.groupby("question_id", sort=False).head(k)
+class Search:
+    """Blocks of corpus rows against a block of questions, with what cannot matter left out.
+
+    A row x of a block with centroid c and radius r scores at most q.c + |q| r
+    for a question q. A question whose k-th best score is above that bound
+    skips the block. ``pairs`` and ``skipped`` count (question, row) pairs.
+    """
+
+    def __init__(self, questions: np.ndarray, matrix: np.ndarray, floor: np.ndarray, k: int) -> None:
+        self.questions, self.matrix = questions, matrix
+        self.norms = np.linalg.norm(matrix, axis=1)
+        self.best = TopRows(len(questions), k, floor)
+        self.pairs = self.skipped = 0
+
+    def block(self, keys: pd.DataFrame, rows: np.ndarray) -> None:
+        centroid, radius = center(rows)
+        bound = self.matrix @ centroid + self.norms * radius
+        near = np.flatnonzero(bound + SLACK >= self.best.floor)
+        self.pairs += len(rows) * len(self.questions)
+        self.skipped += len(rows) * (len(self.questions) - len(near))
+        if not len(near):
+            return
+        step = max(1, PRODUCT_CELLS // len(near))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            scores = np.round(part @ self.matrix[near].T, SCORE_DIGITS)
+            self.best.take(scores, keys.iloc[start : start + step], near)
+
+    def result(self) -> pd.DataFrame:
+        best = self.best.cut()
+        if best is None:
+            return pd.DataFrame({"question_id": [], "chunk_id": [], "ordinal": [], "score": []})
+        # Texts of several blocks would be Arrow arrays in pieces; plain objects are not.
+        plain = lambda values: pd.Series(list(values), dtype=object)
+        return pd.DataFrame(
+            {
+                "question_id": plain(self.questions[best["question"].to_numpy()]),
+                "chunk_id": plain(best["chunk_id"]),
+                "ordinal": best["ordinal"].to_numpy(),
+                "score": best["score"].to_numpy(),
+            }
+        )
+
+
+def center(rows: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centroid of the rows, and the distance of the row farthest from it."""
+    centroid = rows.mean(axis=0)
+    return centroid, float(np.sqrt(((rows - centroid) ** 2).sum(axis=1).max()))
+
+
+def stacked(vectors) -> np.ndarray:
+    return np.vstack(vectors.to_numpy()).astype(float)
+
+
+def _arrow_schema(fields: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(fields))
+
+
+def floors(matrix: np.ndarray, pivots: np.ndarray, k: int, least: float) -> np.ndarray:
+    """A score that each question's k-th best reaches: that among ``pivots``, which are corpus rows."""
+    floor = np.full(len(matrix), np.nextafter(least, np.inf))
+    if len(pivots) >= k:
+        for start in range(0, len(matrix), BLOCK_ROWS):
+            scores = np.round(matrix[start : start + BLOCK_ROWS] @ pivots.T, SCORE_DIGITS)
+            reached = np.partition(scores, len(pivots) - k, axis=1)[:, -k]
+            floor[start : start + BLOCK_ROWS] = np.maximum(floor[start : start + BLOCK_ROWS], reached)
+    return floor
+
+
+def _clustered(rows: DataFrame, pivots) -> DataFrame:
+    """Rows with ``near``, the pivot closest to them, neighbours together within a partition.
+
+    Nothing is exchanged, so a pivot that most rows are close to is spread as they are.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = pivots.value
+        half = (points**2).sum(axis=1) / 2
+        for batch in batches:
+            near = np.zeros(batch.num_rows, dtype=np.int32)
+            if batch.num_rows and len(points):
+                vectors = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+                near[:] = np.argmax(vectors @ points.T - half, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(near)], names=[*batch.schema.names, "near"]
+            )
+
+    return rows.mapInArrow(assign, f"{kinds}, near int").sortWithinPartitions("near")
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one pivot, ``BLOCK_ROWS`` at most."""
+    held: list[pd.DataFrame] = []
+    size, near = 0, None
+    for batch in batches:
+        for pivot, part in batch.groupby("near", sort=True):
+            for start in range(0, len(part), BLOCK_ROWS):
+                some = part.iloc[start : start + BLOCK_ROWS]
+                if held and (pivot != near or size + len(some) > BLOCK_ROWS):
+                    yield pd.concat(held)
+                    held, size = [], 0
+                held.append(some)
+                size, near = size + len(some), pivot
+    if held:
+        yield pd.concat(held)
 
 
 def nearest(
@@ -127,9 +224,16 @@ def nearest(
 
     ``corpus`` is (chunk_id, vector[, ordinal]), ``queries`` is (question_id,
     vector). Similarities must exceed the floor; ties order by ordinal, chunk id.
+    Sides that carry a ``model_version`` must carry the same one.
+
+    Every task puts its rows in blocks around pivots, a bounded sample of the
+    corpus, and leaves out the blocks that cannot reach a question's k-th best;
+    the pivots' own scores give the first such floor.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
+    if "model_version" in corpus.columns and "model_version" in queries.columns:
+        require_same_model(corpus, queries)
     if "ordinal" not in corpus.columns:
         corpus = corpus.withColumn("ordinal", F.lit(0))
     # One extra candidate per block covers the row that is the query itself.
@@ -139,53 +243,149 @@ def nearest(
         corpus.schema["chunk_id"].dataType.simpleString(),
     )
     schema = f"question_id {types[0]}, chunk_id {types[1]}, ordinal int, score double"
-    rows = corpus.select("chunk_id", "ordinal", "vector")
+    rows = corpus.select("chunk_id", F.col("ordinal").cast("int").alias("ordinal"), "vector")
     asked = queries.select("question_id", "vector")
+    drawn = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(PIVOTS).select("vector").toPandas()
+    points = stacked(drawn["vector"]) if len(drawn) else np.zeros((0, dimensions))
     limit = min(broadcast_row_limit(corpus.sparkSession), max(1, MATRIX_CELLS // dimensions))
     # The fetch stops at the limit, so an oversized query side never arrives.
     fetched = asked.limit(limit + 1).toPandas()
     if len(fetched) <= limit:
-        candidates = _broadcast_product(rows, fetched, wanted, min_similarity, schema)
+        candidates = _broadcast_product(rows, fetched, points, wanted, min_similarity, schema)
     else:
-        candidates = _blocked_product(rows, asked, wanted, min_similarity, schema)
+        candidates = _blocked_product(rows, asked, points, wanted, min_similarity, schema)
     if exclude_self:
         candidates = candidates.filter(F.col("question_id") != F.col("chunk_id"))
     return top_k(candidates, k, "ordinal", "chunk_id").drop("ordinal")
 
 
 def _broadcast_product(
-    corpus: DataFrame, queries: pd.DataFrame, k: int, floor: float, schema: str
+    corpus: DataFrame, queries: pd.DataFrame, points: np.ndarray, k: int, least: float, schema: str
 ) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(queries)
+    context = corpus.sparkSession.sparkContext
+    matrix = stacked(queries["vector"]) if len(queries) else np.zeros((0, 1))
+    shared = context.broadcast((queries["question_id"].to_numpy(), matrix, floors(matrix, points, k, least) if len(queries) else np.zeros(0)))
+    pivots = context.broadcast(points)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _best_rows(shared.value, batch, k, floor)
+        questions, matrix, floor = shared.value
+        if len(questions):
+            search = Search(questions, matrix, floor, k)
+            for block in _blocks(batches):
+                search.block(block[["chunk_id", "ordinal"]], stacked(block["vector"]))
+            yield search.result()
+
+    return _clustered(corpus, pivots).mapInPandas(multiply, schema)
+
 
-    return corpus.mapInPandas(multiply, schema)
+def _packed(rows: DataFrame, key: str, pivots, k: int, least: float) -> DataFrame:
+    """One stored row per block: its keys and vectors, centroid, radius, and for questions
+    the least floor of the block."""
+    kind = rows.schema[key].dataType.simpleString()
+    fields = (
+        f"block bigint, keys array<{kind}>, ordinals array<int>, vectors array<double>, "
+        "centroid array<double>, radius double, norm double, floor double"
+    )
+    arrow = _arrow_schema(fields)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for block in _blocks(batch.to_pandas() for batch in batches):
+            matrix = stacked(block["vector"])
+            centroid, radius = center(matrix)
+            norm = float(np.linalg.norm(centroid))
+            row = {
+                "block": number,
+                "keys": block[key].tolist(),
+                "ordinals": block["ordinal"].to_numpy(),
+                "vectors": matrix.ravel(),
+                "centroid": centroid,
+                "radius": radius,
+                "norm": norm,
+                "floor": float(floors(matrix, pivots.value, k, least).min()),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=arrow)
+            number += 1
+
+    return stored(
+        _clustered(rows, pivots).mapInArrow(pack, fields), "dense-blocks"
+    )
 
 
 def _blocked_product(
-    corpus: DataFrame, queries: DataFrame, k: int, floor: float, schema: str
+    corpus: DataFrame, queries: DataFrame, points: np.ndarray, k: int, least: float, schema: str
 ) -> DataFrame:
-    """Block-by-block products for query sides too large to broadcast."""
-    query_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    corpus_blocks = max(1, -(-corpus.count() // BLOCK_ROWS))
+    """Products of the block pairs that can matter, for query sides too large to broadcast.
 
-    def every(blocks: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    Rows x and questions q of two blocks score at most c.d + |c| s + |d| r + r s, with
+    the centroids c, d and the radii r, s. Pairs below the least floor of the
+    questions' block are not formed, so their vectors never move.
+    """
+    context = corpus.sparkSession.sparkContext
+    pivots = context.broadcast(points)
+    held = _packed(corpus, "chunk_id", pivots, k, least)
+    asked = _packed(queries.withColumn("ordinal", F.lit(0)), "question_id", pivots, k, least)
+    summary = asked.select(F.col("block").alias("asked"), "centroid", "radius", "norm", "floor")
+    # One summary for BLOCK_ROWS questions; over the limit, they are met slice by slice.
+    slices = max(1, -(-summary.count() // broadcast_row_limit(corpus.sparkSession)))
+    pairs = None
+    for number in range(slices):
+        part = summary.where(F.pmod(F.xxhash64("asked"), F.lit(slices)) == number).toPandas()
+        met = _reached(held.select("block", "centroid", "radius", "norm"), context.broadcast(part))
+        pairs = met if pairs is None else pairs.unionByName(met)
 
-    def block_of(key: str, blocks: int) -> F.Column:
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    arrow = _arrow_schema(schema)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, ordinals, vectors, questions, asked = (
+                    batch.column(name)[row].values
+                    for name in ("keys", "ordinals", "vectors", "questions", "asked_vectors")
+                )
+                matrix = asked.to_numpy().reshape(len(questions), -1)
+                found = Search(
+                    np.array(questions.to_pylist(), dtype=object), matrix, floors(matrix, pivots.value, k, least), k
+                )
+                found.block(
+                    pd.DataFrame({"chunk_id": keys.to_pylist(), "ordinal": ordinals.to_numpy()}),
+                    vectors.to_numpy().reshape(len(keys), -1),
+                )
+                yield pa.RecordBatch.from_pydict(
+                    {name: values.tolist() for name, values in found.result().items()}, schema=arrow
+                )
 
-    left = queries.withColumn("qb", block_of("question_id", query_blocks)).withColumn(
-        "cb", every(corpus_blocks)
-    )
-    right = corpus.withColumn("cb", block_of("chunk_id", corpus_blocks)).withColumn(
-        "qb", every(query_blocks)
-    )
     return (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
-        .applyInPandas(lambda q, c: _best_rows(q, c, k, floor), schema)
+        pairs.join(held.select("block", "keys", "ordinals", "vectors"), "block")
+        .join(
+            asked.select(
+                F.col("block").alias("asked"),
+                F.col("keys").alias("questions"),
+                F.col("vectors").alias("asked_vectors"),
+            ),
+            "asked",
+        )
+        .mapInArrow(multiply, schema)
     )
+
+
+def _reached(held: DataFrame, summary) -> DataFrame:
+    """(block, asked): the pairs of blocks whose bound reaches the questions' least floor."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = summary.value
+        if not len(asked):
+            return
+        centers, radii, norms = stacked(asked["centroid"]), asked["radius"].to_numpy(), asked["norm"].to_numpy()
+        for batch in batches:
+            for row in batch.to_pylist():
+                most = centers @ np.array(row["centroid"]) + row["norm"] * radii + (norms + radii) * row["radius"]
+                near = np.flatnonzero(most + SLACK >= asked["floor"].to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]] * len(near), pa.int64()), pa.array(asked["asked"].to_numpy()[near])],
+                    names=["block", "asked"],
+                )
+
+    return held.mapInArrow(bound, "block bigint, asked bigint")

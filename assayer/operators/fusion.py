@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import text as tx
 from assayer.operators.bm25 import top_k
+from assayer.session import join_small
 
 RRF_K = 60
 CANDIDATE_K = 50
@@ -62,7 +63,8 @@ def lexical_overlap(
         "question_id", F.array_distinct(tx.tokens(F.col("question_text"))).alias("asked")
     )
     # Candidates are few per question: only their chunks' text is tokenized.
-    shown = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
+    listed = candidates.select("chunk_id").distinct()
+    shown = join_small(chunks.select("chunk_id", "text"), listed, "chunk_id", "left_semi").select(
         "chunk_id", F.array_distinct(tx.tokens(F.col("text"))).alias("shown")
     )
     overlap = F.size(F.array_intersect("asked", "shown")) / F.size("asked")

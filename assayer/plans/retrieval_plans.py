@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from assayer.operators import bm25, dense, evidence, features, fusion, policies
 from assayer.plans import roles, text_plans
 from assayer.plans.registry import plan
-from assayer.session import spread
+from assayer.session import spread, stored
 from assayer.sources.tables import table
 
 K = 10
@@ -179,7 +178,7 @@ def rankings(spark, folder):
     both = fusion.as_source(lexical(spark, folder), "bm25").unionByName(
         fusion.as_source(hashed(spark, folder), "dense")
     )
-    return both.persist(StorageLevel.MEMORY_AND_DISK)
+    return stored(both, "rankings")
 
 
 def _rrf_sql(bm25_weight: str, dense_weight: str) -> str:
@@ -236,7 +235,7 @@ def rrf_weighted(spark, folder):
 )
 def lexical_rerank(spark, folder):
     return fusion.lexical_overlap(
-        lexical(spark, folder, 30), roles.questions(spark, folder), roles.corpus(spark, folder), K
+        stored(lexical(spark, folder, 30), "lexical"), roles.questions(spark, folder), roles.corpus(spark, folder), K
     ).select("question_id", "chunk_id", "score", "retrieval_rank", "rank")
 
 

@@ -10,6 +10,7 @@ from assayer.functions.text import format_evidence
 from assayer.operators import features, scoring, trace
 from assayer.plans import retrieval_plans, roles
 from assayer.plans.registry import plan
+from assayer.session import join_small, stored
 from assayer.sources.tables import table
 
 KEYS = ("question_id", "action_id")
@@ -233,8 +234,10 @@ def episode_steps(spark, folder):
 )
 def evidence_prompts(spark, folder):
     """Prompt evidence of the five best chunks: a list bounded by k."""
-    shown = retrieval_plans.lexical(spark, folder, 5).join(
-        roles.corpus(spark, folder).select("chunk_id", "text"), "chunk_id"
+    shown = join_small(
+        roles.corpus(spark, folder).select("chunk_id", "text"),
+        stored(retrieval_plans.lexical(spark, folder, 5), "lexical"),
+        "chunk_id",
     )
     items = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "text")))
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.operators import workflows
 from assayer.plans import retrieval_plans, roles
 from assayer.plans.registry import plan
+from assayer.session import join_small, stored
 
 TOP = 5
 
@@ -54,8 +55,10 @@ def recorded(asked):
 )
 def workflow_outcomes(spark, folder):
     questions = roles.questions(spark, folder)
-    shown = retrieval_plans.lexical(spark, folder, TOP).join(
-        roles.corpus(spark, folder).select("chunk_id", "text"), "chunk_id"
+    shown = join_small(
+        roles.corpus(spark, folder).select("chunk_id", "text"),
+        stored(retrieval_plans.lexical(spark, folder, TOP), "lexical"),
+        "chunk_id",
     )
     asked = workflows.requests(questions, "A1_bm25", shown)
     rows = workflows.record(asked, recorded(asked), roles.PRICES, roles.EXPERIMENT)

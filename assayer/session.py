@@ -1,18 +1,22 @@
-"""Session defaults, size-checked broadcasts, and the package on the workers."""
+"""Session defaults, size-checked broadcasts, stored tables, and the package on the workers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after it was counted below this many rows; override
 #: with ``spark.assayer.broadcast.maxRows``.
 DEFAULT_BROADCAST_ROWS = 200_000
+#: Nor above this many bytes; override with ``spark.assayer.broadcast.maxBytes``.
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app_name: str = "assayer", cores: str = "*", **conf: str) -> SparkSession:
@@ -38,10 +42,59 @@ def broadcast_row_limit(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.assayer.broadcast.maxRows", str(DEFAULT_BROADCAST_ROWS)))
 
 
+def broadcast_byte_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.assayer.broadcast.maxBytes", str(DEFAULT_BROADCAST_BYTES)))
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts by length, nested columns by that of their JSON."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        column = F.col(f"`{field.name}`")
+        if kind in ("array", "map", "struct"):
+            size = F.octet_length(F.to_json(F.struct(column)))
+        elif kind in ("string", "binary"):
+            size = F.octet_length(column)
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(1)).cast("bigint")
+    return total
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """Count just far enough to know whether ``df`` is under the row limit."""
+    """Read just far enough to know whether ``df`` is under the limits of rows and bytes."""
     limit = broadcast_row_limit(df.sparkSession)
-    return df.limit(limit + 1).count() <= limit
+    read = df.limit(limit + 1)
+    rows, size = read.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return rows <= limit and (size or 0) <= broadcast_byte_limit(df.sparkSession)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which the driver and all executors see.
+
+    Only a single-process session, as in tests, gets a temporary folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='assayer-shared-')}"
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    What is read more than once is so computed once, without a cache that someone
+    must release; a lost executor costs the rerun of its tasks alone.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_small(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,8 +106,57 @@ def test_dense_paths_agree_with_brute_force(spark, monkeypatch):
 
     check()
     monkeypatch.setattr(dense, "MATRIX_CELLS", 40)
-    monkeypatch.setattr(dense, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(dense, "PIVOTS", 8)
     check()
+    spark.conf.set(LIMIT, "1")  # the questions' blocks are met slice by slice
+    check()
+    spark.conf.unset(LIMIT)
+
+
+def test_dense_blocks_out_of_reach_are_skipped():
+    """Clustered vectors: most pairs are left out, and the result is that of all pairs."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    rows = np.repeat(middles, 200, axis=0) + rng.normal(scale=0.02, size=(2400, 16))
+    asked = middles + rng.normal(scale=0.02, size=(12, 16))
+    pivots = rows[::25]
+    floor = dense.floors(asked, pivots, 5, 0.0)
+    search = dense.Search(np.arange(12), asked, floor, 5)
+    near = np.argmax(rows @ pivots.T - (pivots**2).sum(axis=1) / 2, axis=1)
+    for pivot in range(len(pivots)):
+        at = np.flatnonzero(near == pivot)
+        if len(at):
+            search.block(pd.DataFrame({"chunk_id": at, "ordinal": 0}), rows[at])
+    share = search.skipped / search.pairs
+    print(f"pairs skipped: {share:.3f}")
+    assert search.pairs == 2400 * 12 and share > 0.8
+    scores = np.round(rows @ asked.T, dense.SCORE_DIGITS)
+    for q, found in search.result().groupby("question_id"):
+        order = sorted(range(2400), key=lambda i: (-scores[i, q], i))[:5]
+        assert found["chunk_id"].tolist() == order and found["score"].tolist() == scores[order, q].tolist()
+
+
+def test_search_exchanges_only_the_best(spark):
+    """No exchange holds pairs of chunk and question but the final top-k, none holds text."""
+    found = bm25.search(chunks(spark, TEXTS * 3), questions(spark, "x y y", "z w"), k=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "hashpartitioning(question_id" in exchanges[0]
+    assert "text" not in plan.split("Exchange", 1)[1].split("MapInArrow")[0]
+    assert "WindowGroupLimit" in plan
+    kept = fusion.lexical_overlap(found, questions(spark, "x y y", "z w"), chunks(spark, TEXTS * 3), 2)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan or "text" not in plan.split("SortMergeJoin", 1)[1].split("\n")[0]
+
+
+def test_block_scores_keep_every_tie(spark, monkeypatch):
+    texts = ["x y", "x", "y x", "z"] * 40
+    monkeypatch.setattr(bm25, "SCORE_CELLS", 7)
+    got = bm25.search(chunks(spark, texts).repartition(3), questions(spark, "x", "", "nothing", "y z"), k=5)
+    listed = bm25.top_k(bm25.score(chunks(spark, texts), questions(spark, "x", "", "nothing", "y z")), 5)
+    key = lambda r: (r.question_id, r.rank, r.chunk_id, r.score)
+    assert sorted(map(key, got.collect())) == sorted(map(key, listed.collect()))
 
 
 def test_hashed_vectors_are_unit_or_zero(spark):
