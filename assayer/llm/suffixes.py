@@ -538,32 +538,47 @@ def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        names = ["block", "high", "low", "docs", "at"]
         for batch in batches:
             for number, block, marks in _marked(batch, buckets):
-                found = []
+                met: dict[int, tuple[list[int], list[int]]] = {}
                 raw = block.data.tobytes()
                 for k in np.flatnonzero((marks & (HOT | EARLIER)) == HOT).tolist():
+                    doc = int(block.doc[k])
                     for at in range(int(block.start[k]), int(block.end[k]) - MATCH_BYTES + 1):
-                        h = xxhash.xxh3_128_intdigest(raw[at : at + MATCH_BYTES])
-                        found.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), int(block.doc[k]), at))
-                for lo in range(0, len(found), 100_000):
-                    some = list(zip(*found[lo : lo + 100_000], strict=True))
+                        docs, places = met.setdefault(xxhash.xxh3_128_intdigest(raw[at : at + MATCH_BYTES]), ([], []))
+                        docs.append(doc)
+                        places.append(at)
+                found = [((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), *x) for h, x in met.items()]
+                for lo in range(0, len(found), 50_000):
+                    high, low, docs, places = zip(*found[lo : lo + 50_000], strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(some[0])), *(pa.array(x, pa.int64()) for x in some[:3]), pa.array(some[3], pa.int32())],
-                        ["block", "high", "low", "doc", "at"],
+                        [
+                            pa.array([number] * len(high)),
+                            pa.array(high),
+                            pa.array(low),
+                            pa.array(docs, pa.list_(pa.int64())),
+                            pa.array(places, pa.list_(pa.int32())),
+                        ],
+                        names,
                     )
 
     found = stored(
-        marked.mapInArrow(stretches, "block bigint, high bigint, low bigint, doc bigint, at int"), "suffix-hot"
+        marked.mapInArrow(stretches, "block bigint, high bigint, low bigint, docs array<bigint>, at array<int>"),
+        "suffix-hot",
     )
     least = (
         found.groupBy("high", "low")
-        .agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+        .agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("most"))
         .where("least < most")
         .drop("most")
     )
-    late = found.join(least, ["high", "low"]).where("doc > least").select("block", "at")
-    return late.groupBy("block").agg(F.array_sort(F.collect_set("at")).alias("from")).select(
+    # One row for a block and stretch, however often it stands there.
+    late = F.transform(
+        F.filter(F.arrays_zip("docs", "at"), lambda x: x["docs"] > F.col("least")), lambda x: x["at"]
+    )
+    met = found.join(least, ["high", "low"]).select("block", late.alias("at"))
+    return met.groupBy("block").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("from")).select(
         "block", "from", F.transform("from", lambda x: x + MATCH_BYTES).alias("until")
     )
 
