@@ -15,7 +15,6 @@ from assayer.operators.running import running_totals
 from assayer.session import join_small
 
 #: Groups of one size that are ranked together.
-GROUPS_IN_BLOCK = 50_000
 
 
 def validation_issues(
@@ -121,17 +120,15 @@ def grouped_split(
     bounds = questions.sparkSession.createDataFrame(
         rows, "n bigint, bounds array<struct<last:bigint,split:string>>"
     )
-    blocks = max(1, n_groups // GROUPS_IN_BLOCK)
     key = F.coalesce("group_key", F.lit(""))
     placed = groups.withColumn("draw", uniform(stable_long(key), seed % 10_000)).select(
         "group_key",
         "n",
         "draw",
-        F.floor(F.col("draw") * blocks).alias("block"),
         key.alias("tie"),
         F.lit(1).alias("one"),
     )
-    ranked = running_totals(placed, ["n"], "block", ["draw", "tie"], ["one"])
+    ranked = running_totals(placed, ["n"], ["draw", "tie"], ["one"])
     assigned = join_small(ranked, bounds, "n").select(
         F.col("group_key").alias("__group"),
         F.get(

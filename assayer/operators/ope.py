@@ -162,11 +162,10 @@ def _running(probabilities: Column) -> Column:
     return F.when(F.size(probabilities) > 0, grown)
 
 
-def regret_curve(log: DataFrame, best_reward: Column, block_rounds: int = 4096) -> DataFrame:
+def regret_curve(log: DataFrame, best_reward: Column) -> DataFrame:
     """Cumulative reward and regret after every round of each log.
 
-    Rounds run by (question_key, draw_no). Sums are taken inside blocks of question
-    keys and carried over by the blocks' totals, so no log is one task's work. They
+    Rounds run by (question_key, draw_no), in ranges, so no log is one task's work. Sums
     run over billionths, the digits of a reward, and are therefore exact.
     """
 
@@ -178,13 +177,12 @@ def regret_curve(log: DataFrame, best_reward: Column, block_rounds: int = 4096)
         "simulation_seed",
         "question_key",
         "draw_no",
-        F.floor(F.col("question_key") / block_rounds).alias("block"),
         F.lit(1).alias("round"),
         billionths(F.col("observed_reward")).alias("reward"),
         billionths(best_reward - F.col("observed_reward")).alias("regret"),
     )
     keys = ["behavior_policy", "simulation_seed"]
-    totals = running_totals(rounds, keys, "block", ["question_key", "draw_no"], ["round", "reward", "regret"])
+    totals = running_totals(rounds, keys, ["question_key", "draw_no"], ["round", "reward", "regret"])
     return totals.select(
         *keys,
         "question_key",

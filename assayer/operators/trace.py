@@ -79,7 +79,7 @@ def chunks_seen(steps: DataFrame) -> DataFrame:
     )
 
 
-def terminations(steps: DataFrame, block: str, limits: dict = v.AGENT_LIMITS) -> DataFrame:
+def terminations(steps: DataFrame, limits: dict = v.AGENT_LIMITS) -> DataFrame:
     """Where the execution limits would have stopped each run.
 
     Limits are tested before a step, on totals of the steps preceding it, in the
@@ -87,7 +87,7 @@ def terminations(steps: DataFrame, block: str, limits: dict = v.AGENT_LIMITS) ->
     limit. ``steps`` needs ``elapsed_seconds``, ``tokens`` and ``calls``.
     """
     running = running_totals(
-        steps.withColumn("one", F.lit(1)), ["run_id"], block, ["step"], ["tokens", "calls", "one"]
+        steps.withColumn("one", F.lit(1)), ["run_id"], ["step"], ["tokens", "calls", "one"]
     )
     reason = (
         F.when(F.col("one_before") >= limits["max_steps"], "step_limit_exceeded")

@@ -158,10 +158,9 @@ def budget_guard(spark, folder):
     spend = roles.outcomes(spark, folder).select(
         "action_id",
         "question_key",
-        F.floor(F.col("question_key") / 1024).alias("block"),
         F.coalesce("estimated_cost_usd", F.lit(0.0)).alias("cost"),
     )
-    totals = run.running_totals(spend, ["action_id"], "block", ["question_key"], ["cost"])
+    totals = run.running_totals(spend, ["action_id"], ["question_key"], ["cost"])
     over = F.when(F.round("cost_through", 6) > 25.0, F.col("question_key"))
     return totals.groupBy("action_id").agg(
         F.coalesce(F.min(over), F.lit(-1)).alias("first_over"),

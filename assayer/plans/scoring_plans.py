@@ -255,7 +255,6 @@ def steps(spark, folder):
     call = F.when(F.col("event_type") != "error", F.concat_ws(":", "event_type", key % 20))
     return table(spark, folder, "events").select(
         F.concat_ws("-", "user_id", F.date_format(hour, "yyyyMMddHH")).alias("run_id"),
-        F.floor(F.minute("ts") / 15).alias("block"),
         F.col("event_id").alias("step"),
         F.col("event_type").alias("tool"),
         call.alias("signature"),
@@ -327,7 +326,7 @@ def agent_chunks_seen(spark, folder):
       coalesce(min(n_before) FILTER (reason IS NOT NULL), -1) AS steps_before FROM r GROUP BY run_id""",
 )
 def agent_terminations(spark, folder):
-    return trace.terminations(steps(spark, folder), "block").withColumn(
+    return trace.terminations(steps(spark, folder)).withColumn(
         "steps_before", F.coalesce("steps_before", F.lit(-1).cast("bigint"))
     )
 

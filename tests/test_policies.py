@@ -374,7 +374,7 @@ def test_regret_curve_runs_over_blocks(spark):
     log = spark.createDataFrame(
         rows, "behavior_policy string, simulation_seed int, question_key bigint, draw_no int, observed_reward double"
     )
-    curve = ope.regret_curve(log, F.lit(1.0), block_rounds=7).orderBy("n_rounds").collect()
+    curve = ope.regret_curve(log, F.lit(1.0)).orderBy("n_rounds").collect()
     assert [r.n_rounds for r in curve] == list(range(1, 82))
     assert [r.cumulative_regret for r in curve[:80]] == [0.75 * n for n in range(1, 81)]
     assert curve[80].cumulative_reward == 20.0 and curve[80].cumulative_regret == 60.0

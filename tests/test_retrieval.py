@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -204,9 +205,25 @@ def test_salted_join_keeps_every_row(spark, no_broadcast):
     assert join_small(big.withColumn("k", F.lit(9).cast("bigint")), small, "k", "left_anti").count() == 300
 
 
-def test_running_totals_over_blocks(spark):
-    rows = spark.range(50).select(
-        F.lit("k").alias("key"), (F.col("id") / 7).cast("int").alias("block"), "id", F.lit(2).alias("x")
+@pytest.mark.parametrize("fanout", [1024, 2])
+def test_running_totals_over_ranges(spark, monkeypatch, fanout):
+    """One key with most rows, offsets carried in one level and in several."""
+    monkeypatch.setattr(running, "FANOUT", fanout)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    rows = spark.range(300).select(
+        F.when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("key"), (-F.col("id")).alias("down"), "id"
     )
-    got = running.running_totals(rows, ["key"], "block", ["id"], ["x"]).collect()
-    assert all(r.x_through == 2 * (r.id + 1) and r.x_before == 2 * r.id for r in got)
+    got = running.running_totals(rows, ["key"], ["down"], ["id"]).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 300
+    for r in got:
+        later = [i for i in range(r.id, 300) if (i % 10 == 0) == (r.key == "small")]
+        assert r.id_through == sum(later) and r.id_before == sum(later) - r.id
+
+
+def test_no_window_of_a_running_total_sees_a_whole_key(spark):
+    rows = spark.range(3000).select(F.lit("k").alias("key"), "id", F.lit(1).alias("x"))
+    plan = running.running_totals(rows, ["key"], ["id"], ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    whole = [w for w in re.findall(r"Window \[sum\((\w+)#.*?\], \[([^\]]*)\]", plan) if "__part" not in w[1]]
+    # Only the ranges' totals, one row each, run over a key as such.
+    assert [name for name, _ in whole] == ["__x"]
