@@ -24,7 +24,7 @@ cover; the least document of each keeps it.
 
 *Hot anchors.* An anchor with more than ``BLOCK_SEGMENTS`` different segments in one
 block, or ``SEED_SEGMENTS`` in all, does not go to one task: its stretches are dealt
-by 128-bit hashes of their own, and aggregated before they move.
+by 128-bit hashes of their own, each once for a block.
 
 Null texts are empty. A null doc_id counts as larger than any other: such a row
 loses what others have and takes nothing from them. Rows that repeat a doc_id are no
@@ -57,6 +57,8 @@ SCAN_BYTES = 1 << 18
 #: Text whose anchors one task compares, and segments that it sorts.
 SEED_BYTES = 24 << 20
 SORT_SEGMENTS = 12_000
+#: Tasks for stretches around hot anchors, by task for anchors.
+HOT_TASKS = 4
 #: Different segments of one anchor, beyond which its stretches are dealt by hash.
 BLOCK_SEGMENTS, SEED_SEGMENTS = 64, 20_000
 NO_ID = (1 << 63) - 1
@@ -531,55 +533,93 @@ def _sorted_spans(rows):
     )
 
 
+HOT_SCHEMA = (
+    "task int, block bigint, high array<bigint>, low array<bigint>, docs array<bigint>, "
+    "times array<int>, starts array<int>"
+)
+
+
+def _hot_rows(number: int, block: Block, marks: np.ndarray, tasks: int) -> Iterator[tuple]:
+    """Rows by task of a block's different stretches around hot anchors, with the places where
+    the least document of the block has them; first the places where others have them."""
+    import xxhash
+
+    met: dict[bytes, tuple[int, list[int]]] = {}
+    raw, late = block.data.tobytes(), []
+    # Documents in ascending order: the first one to have a stretch is its least.
+    at_hot = np.flatnonzero((marks & (HOT | EARLIER)) == HOT)
+    for k in at_hot[np.argsort(block.doc[at_hot], kind="stable")].tolist():
+        doc = int(block.doc[k])
+        for at in range(int(block.start[k]), int(block.end[k]) - MATCH_BYTES + 1):
+            least, places = met.setdefault(xxhash.xxh3_128_digest(raw[at : at + MATCH_BYTES]), (doc, []))
+            (places if least == doc else late).append(at)
+    none: list[int] = []
+    yield (-1 - number % tasks, number, none, none, none, none, late)
+    halves = np.frombuffer(b"".join(met), dtype=">u8").reshape(-1, 2)
+    task = (halves[:, 0] % np.uint64(tasks)).astype(np.int64)
+    order = np.argsort(task, kind="stable")
+    docs = np.array([d for d, _ in met.values()], dtype=np.int64)
+    places = [p for _, p in met.values()]
+    for lo, hi in _runs(task[order]):
+        some = order[lo:hi]
+        here = [places[i] for i in some.tolist()]
+        high, low = halves[some].astype(np.uint64).view(np.int64).T
+        yield (
+            int(task[some[0]]), number, high, low, docs[some], [len(p) for p in here], [x for p in here for x in p],
+        )
+
+
+def _hot_compared(rows):
+    """Places of the stretches that an earlier document has, by block."""
+    import pandas as pd
+
+    flat = lambda name: np.concatenate([np.asarray(x, dtype=np.int64) for x in rows[name]])
+    counts = rows["high"].map(len).to_numpy()
+    start, block = flat("starts"), np.repeat(rows["block"].to_numpy(), rows["starts"].map(len).to_numpy())
+    if counts.sum():
+        high, low, docs = flat("high"), flat("low"), flat("docs")
+        order = np.lexsort((docs, low, high))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        least = docs[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late = order[docs[order] > least]
+        here = Ragged(start, flat("times")).take(late)
+        start, block = here.values, np.repeat(np.repeat(rows["block"].to_numpy(), counts)[late], here.counts)
+    block, start, end = _merged(block, start, start + MATCH_BYTES)
+    return pd.DataFrame(
+        {
+            "block": [int(block[lo]) for lo, _ in _runs(block)],
+            "from": [start[lo:hi].astype(np.int32) for lo, hi in _runs(block)],
+            "until": [end[lo:hi].astype(np.int32) for lo, hi in _runs(block)],
+        }
+    )
+
+
 def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
-    """(block, from, until) of stretches around hot anchors that an earlier document has."""
+    """(block, from, until) of stretches around hot anchors that an earlier document has.
+
+    A stretch is one entry of its block, however often it stands there, so that no
+    task gets more of a frequent one than there are blocks.
+    """
+    tasks = HOT_TASKS * buckets
 
     def stretches(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
-        names = ["block", "high", "low", "docs", "at"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for batch in batches:
             for number, block, marks in _marked(batch, buckets):
-                met: dict[int, tuple[list[int], list[int]]] = {}
-                raw = block.data.tobytes()
-                for k in np.flatnonzero((marks & (HOT | EARLIER)) == HOT).tolist():
-                    doc = int(block.doc[k])
-                    for at in range(int(block.start[k]), int(block.end[k]) - MATCH_BYTES + 1):
-                        docs, places = met.setdefault(xxhash.xxh3_128_intdigest(raw[at : at + MATCH_BYTES]), ([], []))
-                        docs.append(doc)
-                        places.append(at)
-                found = [((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), *x) for h, x in met.items()]
-                for lo in range(0, len(found), 50_000):
-                    high, low, docs, places = zip(*found[lo : lo + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number] * len(high)),
-                            pa.array(high),
-                            pa.array(low),
-                            pa.array(docs, pa.list_(pa.int64())),
-                            pa.array(places, pa.list_(pa.int32())),
-                        ],
-                        names,
-                    )
-
-    found = stored(
-        marked.mapInArrow(stretches, "block bigint, high bigint, low bigint, docs array<bigint>, at array<int>"),
-        "suffix-hot",
-    )
-    least = (
-        found.groupBy("high", "low")
-        .agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("most"))
-        .where("least < most")
-        .drop("most")
-    )
-    # One row for a block and stretch, however often it stands there.
-    late = F.transform(
-        F.filter(F.arrays_zip("docs", "at"), lambda x: x["docs"] > F.col("least")), lambda x: x["at"]
-    )
-    met = found.join(least, ["high", "low"]).select("block", late.alias("at"))
-    return met.groupBy("block").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("from")).select(
-        "block", "from", F.transform("from", lambda x: x + MATCH_BYTES).alias("until")
+                columns = list(zip(*_hot_rows(number, block, marks, tasks), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64())]
+                    + [pa.array(list(c), pa.list_(kind)) for c, kind in zip(columns[2:], kinds, strict=True)],
+                    [c.split(" ")[0] for c in HOT_SCHEMA.split(", ")],
+                )
+
+    return (
+        marked.mapInArrow(stretches, HOT_SCHEMA)
+        .groupBy("task")
+        .applyInPandas(lambda rows: _hot_compared(rows), "block bigint, `from` array<int>, until array<int>")
     )
 
 
