@@ -509,8 +509,6 @@ def _to_sort(number: int, block: Block, marks: np.ndarray, tasks: int) -> Iterat
 
 def _sorted_spans(rows):
     """Ranges to remove by block, from one task's segments or from what was known."""
-    import pandas as pd
-
     flat = lambda name: np.concatenate([np.asarray(x, dtype=np.int64) for x in rows[name]])
     counts = rows["sizes"].map(len).to_numpy()
     start, end = flat("from"), flat("until")
@@ -523,14 +521,17 @@ def _sorted_spans(rows):
         first = here.values + np.repeat(offset, here.counts)
         where = np.repeat(np.repeat(rows["block"].to_numpy(), counts)[s], here.counts)
         block, start, end = _merged(where, first, first + MATCH_BYTES)
+    return _spans_by_block(block, start, end)
+
+
+def _spans_by_block(block: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """One row for each block, with its ranges in two lists."""
+    import pandas as pd
+
     pairs = _runs(block)
-    return pd.DataFrame(
-        {
-            "block": [int(block[lo]) for lo, _ in pairs],
-            "from": [start[lo:hi].astype(np.int32) for lo, hi in pairs],
-            "until": [end[lo:hi].astype(np.int32) for lo, hi in pairs],
-        }
-    )
+    lists = lambda values: pd.Series([values[lo:hi].astype(np.int32) for lo, hi in pairs], dtype=object)
+    blocks = np.array([block[lo] for lo, _ in pairs], dtype=np.int64)
+    return pd.DataFrame({"block": blocks, "from": lists(start), "until": lists(end)})
 
 
 HOT_SCHEMA = (
@@ -570,9 +571,7 @@ def _hot_rows(number: int, block: Block, marks: np.ndarray, tasks: int) -> Itera
 
 
 def _hot_compared(rows):
-    """Places of the stretches that an earlier document has, by block."""
-    import pandas as pd
-
+    """Ranges of the stretches that an earlier document has, by block."""
     flat = lambda name: np.concatenate([np.asarray(x, dtype=np.int64) for x in rows[name]])
     counts = rows["high"].map(len).to_numpy()
     start, block = flat("starts"), np.repeat(rows["block"].to_numpy(), rows["starts"].map(len).to_numpy())
@@ -586,13 +585,7 @@ def _hot_compared(rows):
         here = Ragged(start, flat("times")).take(late)
         start, block = here.values, np.repeat(np.repeat(rows["block"].to_numpy(), counts)[late], here.counts)
     block, start, end = _merged(block, start, start + MATCH_BYTES)
-    return pd.DataFrame(
-        {
-            "block": [int(block[lo]) for lo, _ in _runs(block)],
-            "from": [start[lo:hi].astype(np.int32) for lo, hi in _runs(block)],
-            "until": [end[lo:hi].astype(np.int32) for lo, hi in _runs(block)],
-        }
-    )
+    return _spans_by_block(block, start, end)
 
 
 def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
