@@ -11,7 +11,9 @@ from assayer.operators import cache, datasets, filings
 from assayer.plans import roles
 from assayer.plans.registry import plan
 from assayer.functions import answers
-from assayer.sources.tables import evidence_pages, parse_questions, table
+from assayer.session import new_folder
+from assayer.sources import lines, responses, splits
+from assayer.sources.tables import evidence_pages, file_checksums, parse_questions, table
 
 
 def questions(spark, folder):
@@ -49,6 +51,41 @@ def question_failures(spark, folder):
     return parse_questions(roles.filing_lines(spark, folder))[1].select("line_no", "reason")
 
 
+@plan(
+    "question_file_failures",
+    f"""WITH {roles.FILING_SQL},
+    numbered AS (SELECT *, o_orderkey // 4096 AS part, row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS line_number FROM filing_rows)
+    SELECT CAST(part AS INTEGER) AS part, line_number, 'line ' || line_number || ': ' ||
+      CASE WHEN broken THEN 'invalid JSON' ELSE 'row has no identifier' END AS message
+    FROM numbered WHERE broken OR identifier IS NULL""",
+)
+def question_file_failures(spark, folder):
+    """Question lines written to files, read back, and what cannot be parsed with its line."""
+    path = new_folder(spark, "question-lines")
+    rows = roles.filing_lines(spark, folder).withColumn("part", F.expr("line_no div 4096"))
+    rows.repartition("part").sortWithinPartitions("part", "line_no").select("part", "line").write.partitionBy(
+        "part"
+    ).text(path)
+    failures = lines.load_questions(spark, path)[1]
+    return failures.select(F.col("part").cast("int").alias("part"), "line_number", "message")
+
+
+@plan(
+    "source_checksums",
+    """WITH f AS (SELECT c_nationkey, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS content FROM customer GROUP BY ALL)
+    SELECT c_nationkey AS part, strlen(content) AS length, 'sha256:' || sha256(content) AS checksum FROM f""",
+)
+def source_checksums(spark, folder):
+    """Checksums of files that hold each nation's customers."""
+    path = new_folder(spark, "checksummed")
+    names = table(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_name")
+    names.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select(
+        F.col("c_nationkey").alias("part"), "c_name"
+    ).write.partitionBy("part").text(path)
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("int")
+    return file_checksums(spark, path).select(part.alias("part"), "length", "checksum")
+
+
 @plan(
     "evidence_pages",
     f"""WITH {roles.FILING_SQL},
@@ -161,6 +198,42 @@ def split_counts(spark, folder):
     return datasets.split_counts(datasets.grouped_split(customers(spark, folder)))
 
 
+def frozen(spark, folder):
+    """A split frozen to files, by its folder."""
+    path = new_folder(spark, "frozen-split")
+    dealt = datasets.grouped_split(customers(spark, folder))
+    splits.write_frozen(dealt, path, "customers", "1", "group_key", v.DEFAULT_SEED)
+    return path
+
+
+@plan(
+    "frozen_split",
+    f"""WITH RECURSIVE {_split_sql()}
+    SELECT 'question' AS kind, 'c' || c_custkey AS name, split FROM customer JOIN dealt ON group_key = 'NATION_' || c_nationkey
+    UNION ALL SELECT DISTINCT 'group', group_key, split FROM customer JOIN dealt ON group_key = 'NATION_' || c_nationkey""",
+)
+def frozen_split(spark, folder):
+    path = f"{frozen(spark, folder)}/shards"
+    asked = splits.read_questions(spark, path).select(
+        F.lit("question").alias("kind"), F.col("question_id").alias("name"), "split"
+    )
+    groups = splits.read_groups(spark, path)
+    return asked.unionByName(groups.select(F.lit("group").alias("kind"), F.col("group_key").alias("name"), "split"))
+
+
+@plan(
+    "frozen_split_header",
+    f"""WITH RECURSIVE {_split_sql()}
+    SELECT 'customers' AS dataset, CAST({v.DEFAULT_SEED} AS BIGINT) AS seed, split, count(*) AS n_questions, count(DISTINCT group_key) AS n_groups
+    FROM customer JOIN dealt ON group_key = 'NATION_' || c_nationkey GROUP BY split""",
+)
+def frozen_split_header(spark, folder):
+    header = splits.read_header(spark, frozen(spark, folder))
+    return header.select("dataset", "seed", "group_counts", F.explode("counts").alias("split", "n_questions")).select(
+        "dataset", "seed", "split", "n_questions", F.try_element_at("group_counts", F.col("split")).alias("n_groups")
+    )
+
+
 @plan(
     "leaking_groups",
     """WITH a AS (SELECT 'NATION_' || c_nationkey AS group_key,
@@ -428,3 +501,32 @@ def storable_responses(spark, folder):
         F.sha2("text", 256).alias("cache_key"),
     )
     return cache.storable(responses).select("conv_id", "turn", "finish_reason", "shard")
+
+
+def _responses(spark, folder):
+    reasons = F.array(F.lit("stop"), F.lit("length"), F.lit(None), F.lit("tool"))
+    return table(spark, folder, "conversations").select(
+        F.sha2("text", 256).alias("cache_key"),
+        "conv_id",
+        "turn",
+        F.get(reasons, F.col("turn") % 4).alias("finish_reason"),
+    )
+
+
+@plan(
+    "stored_responses",
+    """WITH r AS (SELECT sha256(text) AS cache_key, conv_id, turn, CASE WHEN turn < 2 THEN 1 ELSE 2 END AS seq FROM conversations WHERE turn % 4 <> 1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY seq, conv_id, turn) AS pick FROM r)
+    SELECT cache_key, substr(cache_key, 1, 2) AS shard, CAST(seq AS BIGINT) AS sequence, conv_id, turn,
+      CASE turn % 4 WHEN 0 THEN 'stop' WHEN 3 THEN 'tool' END AS finish_reason FROM f WHERE pick = 1""",
+)
+def stored_responses(spark, folder):
+    """Opening turns are stored first, then all turns; a third insert finds nothing new."""
+    path = new_folder(spark, "responses")
+    given = _responses(spark, folder)
+    responses.insert(given.where("turn < 2"), path, "conv_id", "turn")
+    responses.insert(given, path, "conv_id", "turn")
+    responses.insert(given, path, "conv_id", "turn")
+    return responses.read(spark, path).select(
+        "cache_key", "shard", "sequence", "conv_id", "turn", "finish_reason"
+    )

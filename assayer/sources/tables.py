@@ -27,15 +27,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def question_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL lines with the file and byte-ordered id that locate a failure."""
-    return spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line_id"),
-    )
-
-
 def parse_questions(lines: DataFrame, dataset: str = "benchmark") -> tuple[DataFrame, DataFrame]:
     """Questions and parse failures from a ``line`` column; blank lines skipped."""
     rows = with_once(
@@ -156,11 +147,3 @@ def write_splits(assignment: DataFrame, path: str) -> None:
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("split string, group_key string, question_id string").json(path)
-
-
-def read_frozen_splits(spark: SparkSession, path: str) -> DataFrame:
-    """Read a nested split file {splits: {name: [ids]}} as (question_id, split)."""
-    frozen = spark.read.schema("splits map<string,array<string>>").json(path, multiLine=True)
-    return frozen.select(F.explode("splits").alias("split", "ids")).select(
-        F.explode("ids").alias("question_id"), "split"
-    )
