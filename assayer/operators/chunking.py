@@ -1,19 +1,20 @@
 """Splitting documents into overlapping, page-tagged chunks.
 
 Packing is sequential within a document, but each chunk is a contiguous run of
-segments. So the work is expressed as one fold over segment *positions*, which
-stays inside the JVM and never shuffles when a
-document is one row. Documents whose pages are separate rows are packed while
-streaming over sorted partitions, holding one chunk in memory at a time.
+segments, found from the segments' weights alone. Where a document is one row, only
+those weights go to Python and nothing is shuffled. Documents whose pages are separate
+rows are packed while streaming over sorted partitions, with one chunk held open.
 """
 
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,61 +66,55 @@ def page_segments(pages: Column, size_tokens: int) -> Column:
     )
 
 
-def chunk_bounds(weights: Column, settings: ChunkSettings) -> Column:
-    """First and last segment (1-based) of every chunk, from token weights.
+def pack(weights, settings: ChunkSettings, due: int = 0) -> tuple[list[int], list[int], int]:
+    """First and last place of every chunk of a run of segments, from their token weights.
+
+    The last result is the place that the last chunk must reach; ``due`` is that of the
+    first chunk, where a run goes on from it.
 
-    On overflow the next chunk restarts at the earliest trailing segment within
-    the overlap budget, carries at least the last segment, and never carries the
-    whole chunk. The look-back visits at most ``overlap_tokens`` segments, since
-    every segment weighs at least one token.
+    A chunk takes segments while they fit, and one in any case. On overflow the next
+    chunk restarts at the earliest trailing segment within the overlap budget,
+    carries at least the last segment, and never carries the whole chunk; the segment
+    that overflowed follows in any case. Places are found in the running sum, so
+    the work grows with the number of chunks, not with what they hold.
     """
     limit, overlap = settings.size_tokens, settings.overlap_tokens
-    count = F.size(weights)
-
-    def carry(start: Column, position: Column) -> Column:
-        nothing = F.struct(position.alias("start"), F.lit(0).alias("load"))
-        if overlap == 0:
-            return nothing
-        floor = F.greatest(start + 1, position - overlap)
-        back = F.when(floor <= position - 1, F.sequence(position - 1, floor, F.lit(-1))).otherwise(
-            F.array().cast("array<int>")
-        )
-
-        def extend(kept: Column, at: Column) -> Column:
-            load = kept["load"] + F.get(weights, at - 1)
-            contiguous = kept["start"] == at + 1
-            fits = (load <= overlap) | (kept["load"] == 0)
-            taken = F.struct(at.alias("start"), load.alias("load"))
-            return F.when(contiguous & fits, taken).otherwise(kept)
-
-        return F.aggregate(back, nothing, extend)
-
-    def step(state: Column, position: Column) -> Column:
-        weight = F.get(weights, position - 1)
-        overflow = (position > state["start"]) & (state["load"] + weight > limit)
-        kept = carry(state["start"], position)
-        closed = F.array(F.struct(state["start"].alias("first"), (position - 1).alias("last")))
-        restarted = F.struct(
-            kept["start"].alias("start"),
-            (kept["load"] + weight).alias("load"),
-            F.concat(state["done"], closed).alias("done"),
-        )
-        grown = F.struct(
-            state["start"].alias("start"),
-            (state["load"] + weight).alias("load"),
-            state["done"].alias("done"),
-        )
-        return F.when(overflow, restarted).otherwise(grown)
+    sums = [0, *itertools.accumulate(weights)]
+    count = len(sums) - 1
+    firsts, lasts = [], []
+    start = reached = 0
+    while due < count:
+        reached = due - start
+        last = max(due, bisect_right(sums, sums[start] + limit) - 2)
+        firsts.append(start)
+        lasts.append(last)
+        due = last + 1
+        if overlap == 0 or last == start:
+            start = due
+        else:
+            # At least the last segment, at most all but the first.
+            start = min(max(bisect_left(sums, sums[due] - overlap), start + 1), last)
+    return firsts, lasts, reached
 
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-    initial = F.struct(F.lit(1).alias("start"), F.lit(0).alias("load"), empty.alias("done"))
 
-    def finish(state: Column) -> Column:
-        tail = F.array(F.struct(state["start"].alias("first"), count.alias("last")))
-        return F.concat(state["done"], tail)
+def chunk_bounds(weights: Column, settings: ChunkSettings) -> Column:
+    """First and last segment (1-based) of every chunk; only the weights leave the JVM."""
+
+    @F.arrow_udf("array<struct<first:int,last:int>>")
+    def bounds(column: pa.Array) -> pa.Array:
+        sizes, firsts, lasts = [], [], []
+        for row in column:
+            first, last, _ = pack(row.values.to_pylist() if row.is_valid else [], settings)
+            sizes.append(len(first))
+            firsts += first
+            lasts += last
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(np.array(x, dtype=np.int32) + 1) for x in (firsts, lasts)], names=["first", "last"]
+        )
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pairs)
 
-    bounds = F.aggregate(F.sequence(F.lit(1), count), initial, step, finish)
-    return F.when(count > 0, bounds).otherwise(empty)
+    return bounds(weights)
 
 
 def chunk_id(document_id: Column, ordinal: Column, text: Column) -> Column:
@@ -200,7 +195,12 @@ def chunk_pages(pages: DataFrame, settings: ChunkSettings = ChunkSettings()) ->
     ordered = segments.repartition("document_id").sortWithinPartitions(
         "document_id", "page_number", "position"
     )
-    packed = ordered.mapInPandas(
+    weighed = ordered.select(
+        "document_id",
+        tx.estimate_tokens(F.col("text")).alias("weight"),
+        F.struct("text", "page_number", "is_table").alias("member"),
+    )
+    packed = weighed.mapInArrow(
         lambda batches: _pack_stream(batches, settings),
         "document_id string, ordinal int, "
         "members array<struct<text:string,page_number:int,is_table:boolean>>",
@@ -209,48 +209,50 @@ def chunk_pages(pages: DataFrame, settings: ChunkSettings = ChunkSettings()) ->
 
 
 def _pack_stream(
-    batches: Iterator[pd.DataFrame], settings: ChunkSettings
-) -> Iterator[pd.DataFrame]:
-    """Pack sorted segments; only the open chunk is held between batches."""
-    columns = ["document_id", "ordinal", "members"]
-    document, ordinal, load = None, 0, 0
-    members: list[tuple[int, dict]] = []
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.document_id != document:
-                if members:
-                    out.append((document, ordinal, [m for _, m in members]))
-                document, ordinal, load, members = row.document_id, 0, 0, []
-            weight = max(1, len(row.text) // tx.CHARS_PER_TOKEN)
-            if members and load + weight > settings.size_tokens:
-                out.append((document, ordinal, [m for _, m in members]))
-                ordinal += 1
-                members = _carried(members, settings.overlap_tokens)
-                load = sum(w for w, _ in members)
-            members.append(
-                (
-                    weight,
-                    {
-                        "text": row.text,
-                        "page_number": int(row.page_number),
-                        "is_table": bool(row.is_table),
-                    },
-                )
+    batches: Iterator[pa.RecordBatch], settings: ChunkSettings
+) -> Iterator[pa.RecordBatch]:
+    """Chunks of sorted segments; only the open chunk is held between batches.
+
+    Packing goes on from a chunk's start without knowing what came before it, so the
+    open chunk's segments are packed again together with the next batch.
+    """
+    open_rows: pa.RecordBatch | None = None
+    ordinal = due = 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        held = [b for b in (open_rows, batch) if b is not None]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = rows.column("document_id").dictionary_encode().indices.to_numpy()
+        weights = rows.column("weight").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        firsts, lasts, ordinals = [], [], []
+        open_rows = None
+        for lo, hi in itertools.pairwise(cuts):
+            first, last, reached = pack(weights[lo:hi].tolist(), settings, due)
+            due = 0
+            if hi == len(keys) and batch is not None:
+                # The last chunk may go on in the next batch.
+                open_rows, due = rows.slice(lo + first[-1]), reached
+                first, last = first[:-1], last[:-1]
+            firsts += [lo + i for i in first]
+            lasts += [lo + i for i in last]
+            ordinals += range(ordinal, ordinal + len(first))
+            ordinal = ordinal + len(first) if hi == len(keys) else 0
+        if firsts:
+            start, size = np.array(firsts), np.array(lasts) - np.array(firsts) + 1
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("document_id").take(pa.array(start)),
+                    pa.array(np.array(ordinals, dtype=np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rows.column("member").take(pa.array(at))),
+                ],
+                names=["document_id", "ordinal", "members"],
             )
-            load += weight
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-    if members:
-        yield pd.DataFrame([(document, ordinal, [m for _, m in members])], columns=columns)
-
-
-def _carried(members: list[tuple[int, dict]], budget: int) -> list[tuple[int, dict]]:
-    if budget == 0 or len(members) == 1:
-        return []
-    running = itertools.accumulate(w for w, _ in reversed(members))
-    within = sum(1 for total in running if total <= budget)
-    return members[-min(max(within, 1), len(members) - 1) :]
 
 
 def neighbours(chunks: DataFrame, before: int = 1, after: int = 1) -> DataFrame:

@@ -10,6 +10,7 @@ from assayer.operators import chunking, features, filings
 from assayer.operators.evidence import resolve
 from assayer.plans import roles
 from assayer.plans.registry import plan
+from assayer.sources import tables
 from assayer.sources.tables import table
 
 SETTINGS = chunking.ChunkSettings(size_tokens=128, overlap_tokens=32)
@@ -244,6 +245,52 @@ def chunk_documents(spark, folder):
     )
 
 
+#: Pages of a document with a table of its facts on the first one, packed after its prose.
+_PAGE_CHUNK_SQL = CHUNK_SQL.replace(
+    "FROM cuts)",
+    """FROM (SELECT * FROM cuts UNION ALL
+        SELECT 'd' || doc_id, 1, 1000000, 0, 'field | value' || chr(10) || 'lang | ' || lang || chr(10) || 'n_chars | ' || n_chars FROM documents))""",
+)
+
+
+@plan(
+    "page_corpus",
+    f"""WITH RECURSIVE {_PAGE_CHUNK_SQL},
+    tabled AS (SELECT p.document_id, ordinal, max(CASE WHEN j = 1000000 THEN 1 ELSE 0 END) = 1 AS contains_table
+      FROM packed p JOIN segs s ON s.document_id = p.document_id AND s.i BETWEEN p.first AND p.last GROUP BY ALL)
+    SELECT chunk_id, document_id, ordinal, token_estimate, n_segments, array_to_string(page_numbers, ',') AS pages,
+      contains_table, 'full_documents' AS provenance FROM chunks JOIN tabled USING (document_id, ordinal)""",
+)
+def page_corpus(spark, folder):
+    """Delimited texts to pages with rendered tables, to chunks, past the provenance guard."""
+    rows = table(spark, folder, "documents")
+    name = F.concat(F.lit("d"), "doc_id").alias("document_id")
+    delimited = rows.select(name, F.replace("text", F.lit("\n"), F.lit(tables.PAGE_DELIMITER)).alias("text"))
+    facts = F.array(
+        F.array(F.lit("field"), F.lit("value")),
+        F.array(F.lit("lang"), F.col("lang")),
+        F.array(F.lit("n_chars"), F.col("n_chars").cast("string")),
+    )
+    pages = tables.split_pages(delimited).join(
+        rows.select(name, F.lit(1).alias("page_number"), F.array(facts).alias("tables")),
+        ["document_id", "page_number"],
+        "left",
+    )
+    none = F.array().cast("array<array<array<string>>>")
+    packed = chunking.chunk_pages(pages.withColumn("tables", F.coalesce("tables", none)), SETTINGS)
+    stamped = packed.withColumn("provenance", F.lit("full_documents"))
+    return chunking.require_reportable(stamped).select(
+        "chunk_id",
+        "document_id",
+        "ordinal",
+        "token_estimate",
+        F.col("n_segments").cast("bigint").alias("n_segments"),
+        F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",").alias("pages"),
+        "contains_table",
+        "provenance",
+    )
+
+
 @plan(
     "corpus_stats",
     f"""WITH RECURSIVE {CHUNK_SQL}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,41 @@ def test_both_packers_match_brute_force(spark, size, overlap):
         assert got == expected
 
 
+def test_packing_is_linear_in_the_segments():
+    """A document of 100,000 segments, and ten times as many, in about ten times the time."""
+    draw = random.Random(2)
+    settings = chunking.ChunkSettings(20, 5)
+    spent = []
+    for n in (100_000, 1_000_000):
+        weights = [draw.randint(1, 9) for _ in range(n)]
+        started = time.process_time()
+        firsts, lasts, _ = chunking.pack(weights, settings)
+        spent.append(time.process_time() - started)
+        assert lasts[-1] == n - 1 and all(a <= b + 1 for a, b in zip(firsts[1:], lasts))
+    assert spent[0] < 2 and spent[1] < 30 * spent[0] + 0.5
+
+
+def test_open_chunks_go_on_over_batches(spark):
+    """Batches of any size give the chunks of one."""
+    draw = random.Random(6)
+    rows = [(f"D{d}", draw.randint(1, 12)) for d in range(9) for _ in range(draw.choice([1, 3, 60]))]
+    table = pa.table(
+        {
+            "document_id": [d for d, _ in rows],
+            "weight": pa.array([w for _, w in rows], pa.int32()),
+            "member": [{"text": str(i), "page_number": i, "is_table": False} for i in range(len(rows))],
+        }
+    )
+    for settings in (chunking.ChunkSettings(15, 4), chunking.ChunkSettings(8, 7), chunking.ChunkSettings(5, 0)):
+        whole = None
+        for size in (1000, 1, 2, 7):
+            out = [r for b in chunking._pack_stream(iter(table.to_batches(max_chunksize=size)), settings) for r in b.to_pylist()]
+            got = [(r["document_id"], r["ordinal"], [m["page_number"] for m in r["members"]]) for r in out]
+            whole = whole or got
+            assert got == whole
+        assert list(chunking._pack_stream(iter([]), settings)) == []
+
+
 def test_chunk_id_covers_document_position_and_text(spark):
     row = spark.range(1).select(
         chunking.chunk_id(F.lit("D"), F.lit(12345), F.lit(" a  b ")).alias("x")
