@@ -28,6 +28,10 @@ DR_CLIPS = (10.0, 100.0)
 SWITCH_TAUS = (1.0, 10.0, 100.0)
 PROPENSITY_QUANTILES = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
 DIGITS = 6
+#: Declared sizes of the log samples, resamples of an interval, and the stream of the samples' draws.
+SAMPLE_SIZES = (100, 250, 500, 1000, 2500, 5000)
+RESAMPLES = 2000
+SAMPLE_STREAM = 7_000_000
 
 
 def _epsilon_greedy(epsilon: float) -> Column:
@@ -232,8 +236,16 @@ def coverage_diagnostics(log: DataFrame, target_arm: Column) -> DataFrame:
     )
 
 
+#: What tells one log from another.
+LOG_KEYS = ("behavior_policy", "simulation_seed")
+
+
 def log_cells(
-    log: DataFrame, targets: dict[str, Column], fit: Column, evaluation: Column | None = None
+    log: DataFrame,
+    targets: dict[str, Column],
+    fit: Column,
+    evaluation: Column | None = None,
+    keys: tuple[str, ...] = LOG_KEYS,
 ) -> DataFrame:
     """The log as sums per (policy, seed, context, arm taken, arms of the targets).
 
@@ -245,8 +257,7 @@ def log_cells(
     rewarded = F.col("observed_reward").isNotNull()
     arms = F.array(*[arm.cast("int") for arm in targets.values()])
     return log.groupBy(
-        "behavior_policy",
-        "simulation_seed",
+        *keys,
         "context",
         "arm",
         "action_propensity",
@@ -260,14 +271,13 @@ def log_cells(
     )
 
 
-def tabular_rewards(cells: DataFrame) -> DataFrame:
+def tabular_rewards(cells: DataFrame, keys: tuple[str, ...] = LOG_KEYS) -> DataFrame:
     """Reward model: mean logged reward per (log, context, arm) on the fitting rounds.
 
     Our choice where a boosted regressor is named: it has an exact SQL twin and
     is one mergeable aggregate. Adds ``model``, the means of the context's arms, and
     ``fallback``, the log's mean, which unseen cells and contexts take.
     """
-    keys = ["behavior_policy", "simulation_seed"]
     by_context = Window.partitionBy(*keys, "context")
     by_arm = Window.partitionBy(*keys, "context", "arm")
     mean = F.try_divide(F.sum("sum_fit").over(by_arm), F.sum("n_fit").over(by_arm))
@@ -278,7 +288,7 @@ def tabular_rewards(cells: DataFrame) -> DataFrame:
     whole = cells.groupBy(*keys).agg(
         F.try_divide(F.sum("sum_fit"), F.sum("n_fit")).alias("fallback")
     )
-    return known.drop("mean").join(whole, keys, "left")
+    return known.drop("mean").join(whole, list(keys), "left")
 
 
 def estimate_values(
@@ -286,14 +296,14 @@ def estimate_values(
     targets: dict[str, Column],
     fit: Column,
     evaluation: Column | None = None,
+    keys: tuple[str, ...] = LOG_KEYS,
 ) -> DataFrame:
-    """(behaviour, seed, target, n, estimator, estimate) for every estimator.
+    """(keys, target, n, estimator, estimate) for every estimator.
 
     ``targets`` maps a policy name to the arm it takes, an expression over the
     log; ``fit`` marks the rounds of the reward model. The log is read once.
     """
-    keys = ["behavior_policy", "simulation_seed"]
-    known = tabular_rewards(log_cells(log, targets, fit, evaluation))
+    known = tabular_rewards(log_cells(log, targets, fit, evaluation, keys), keys)
     named = F.arrays_zip(F.array(*map(F.lit, targets)).alias("target"), F.col("target_arms").alias("target_arm"))
     cells = known.filter("n > 0").withColumn("t", F.explode(named))
 
@@ -365,12 +375,99 @@ def true_values(
     )
 
 
-def estimator_errors(estimates: DataFrame, truth: DataFrame) -> DataFrame:
-    """Bias, variance, MSE and mean absolute and relative error over seeds."""
+def nested_samples(log: DataFrame, sizes: tuple[int, ...] = SAMPLE_SIZES) -> DataFrame:
+    """Samples of each log, the smaller inside the larger: adds ``sample_size`` and ``place``.
+
+    Rounds take their places by one draw each; only the places that the largest size
+    wants are exchanged.
+    """
+    draw = uniform(F.col("question_key"), F.lit(SAMPLE_STREAM) + F.col("draw_no"))
+    order = Window.partitionBy(*LOG_KEYS).orderBy(draw, "question_key", "draw_no")
+    placed = log.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(sizes))
+    listed = F.array(*map(F.lit, sizes))
+    return placed.withColumn("sample_size", F.explode(F.filter(listed, lambda s: s >= F.col("place"))))
+
+
+def interval_coverage(
+    sample: DataFrame,
+    targets: dict[str, Column],
+    truth: DataFrame,
+    fit: Column,
+    evaluation: Column,
+    resamples: int = RESAMPLES,
+    level: float = 0.95,
+) -> DataFrame:
+    """How often the bootstrap interval of an estimate holds the true value, and its mean width.
+
+    ``sample`` is one sample of each log, of a declared size. A replicate weighs every
+    round by a Poisson(1) draw of its place, so rounds fan out inside their task and are
+    summed there: one row of sums per log, replicate and task is exchanged.
+    """
+    keys = list(LOG_KEYS)
+    fitted = tabular_rewards(log_cells(sample, targets, fit, evaluation))
+    models = fitted.groupBy(*keys, "context").agg(
+        F.first("model").alias("model"), F.first("fallback").alias("fallback")
+    )
+    r, arm = F.col("observed_reward"), F.col("arm")
+
+    def predicted(taken: Column) -> Column:
+        return F.coalesce(F.try_element_at("model", taken.cast("int")), F.col("fallback"), F.lit(0.0))
+
+    rows = sample.filter(evaluation & r.isNotNull()).join(models, [*keys, "context"])
+    columns, names = [], []
+    for number, taken in enumerate(targets.values()):
+        w = F.when(arm == taken, 1.0 / F.col("action_propensity")).otherwise(0.0)
+        columns += [
+            w.alias(f"w{number}"),
+            (w * r).alias(f"wr{number}"),
+            (predicted(taken) + w * (r - predicted(arm))).alias(f"dr{number}"),
+        ]
+        names += [f"w{number}", f"wr{number}", f"dr{number}"]
+    policy = F.array_position(F.array(*map(F.lit, BEHAVIOURS)), F.col("behavior_policy"))
+    stream = (F.col("simulation_seed") * 10 + policy) * 100_000 + F.col("replicate")
+    fanned = (
+        rows.select(*keys, "place", *columns)
+        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+        .withColumn("u", uniform(F.col("place"), stream))
+        .withColumn("m", poisson_one(F.col("u")))
+    )
+    sums = fanned.groupBy(*keys, "replicate").agg(
+        F.sum("m").alias("m"), *[F.sum(F.col("m") * F.col(n)).alias(n) for n in names]
+    )
+    estimates = F.array(
+        *[
+            F.struct(F.lit(t).alias("target"), F.lit(e).alias("estimator"), F.try_divide(F.col(a), F.col(b)).alias("estimate"))
+            for i, t in enumerate(targets)
+            for e, a, b in (("ips", f"wr{i}", "m"), ("snips", f"wr{i}", f"w{i}"), ("dr", f"dr{i}", "m"))
+        ]
+    )
+    tail = (1.0 - level) / 2.0
+    bounds = (
+        sums.select(*keys, F.inline(estimates))
+        .groupBy(*keys, "target", "estimator")
+        .agg(
+            F.percentile("estimate", F.lit(tail)).alias("low"),
+            F.percentile("estimate", F.lit(1.0 - tail)).alias("high"),
+        )
+    )
+    held = F.col("true_value").between(F.round("low", DIGITS), F.round("high", DIGITS))
+    return (
+        bounds.join(F.broadcast(truth.withColumn("true_value", F.round("true_value", DIGITS))), "target")
+        .groupBy("behavior_policy", "target", "estimator")
+        .agg(
+            F.count(held).alias("n_intervals"),
+            F.round(F.avg(held.cast("int")), DIGITS).alias("coverage"),
+            F.round(F.avg(F.col("high") - F.col("low")), DIGITS).alias("mean_width"),
+        )
+    )
+
+
+def estimator_errors(estimates: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """Bias, variance, MSE and mean absolute and relative error over seeds, also by ``by``."""
     error = F.col("estimate") - F.col("true_value")
     return (
         estimates.join(F.broadcast(truth), "target")
-        .groupBy("behavior_policy", "target", "estimator")
+        .groupBy("behavior_policy", "target", "estimator", *by)
         .agg(
             F.round(F.avg(error), DIGITS).alias("bias"),
             F.round(F.var_pop("estimate"), DIGITS).alias("variance"),

@@ -449,6 +449,58 @@ def ope_errors(spark, folder):
     return ope.estimator_errors(estimates(spark, folder), truth(spark, folder))
 
 
+#: The log cut into nested samples, each a log of its own whose seed carries the size.
+_SAMPLED_SQL = LOG_SQL.replace("    log AS (", "    whole_log AS (") + f""",
+    placed AS (SELECT *, row_number() OVER (PARTITION BY behavior_policy, simulation_seed
+      ORDER BY {uniform_sql("question_key", f"{ope.SAMPLE_STREAM} + draw_no")}, question_key, draw_no) AS place FROM whole_log),
+    log AS (SELECT placed.* REPLACE (simulation_seed * 10000 + size AS simulation_seed) FROM placed
+      JOIN (VALUES {", ".join(f"({n})" for n in ope.SAMPLE_SIZES)}) z(size) ON place <= size)"""
+
+
+@plan(
+    "ope_sample_sizes",
+    f"""WITH {ESTIMATES_SQL.replace(LOG_SQL, _SAMPLED_SQL)} SELECT behavior_policy, target, estimator, simulation_seed % 10000 AS sample_size,
+      round(avg(estimate - true_value), 6) AS bias, round(var_pop(estimate), 6) AS variance,
+      round(avg((estimate - true_value) * (estimate - true_value)), 6) AS mse, round(avg(abs(estimate - true_value)), 6) AS absolute_error,
+      round(avg(abs((estimate - true_value) / nullif(true_value, 0))), 6) AS relative_error
+    FROM estimates JOIN truth USING (target) GROUP BY ALL""",
+)
+def ope_sample_sizes(spark, folder):
+    """Errors of every estimator on nested samples of the declared sizes."""
+    matrix = roles.reward_vectors(spark, folder)
+    fit, held_out = F.col("split") == "dev", F.col("split") != "dev"
+    found = ope.estimate_values(
+        ope.nested_samples(log(spark, folder)), targets(matrix), fit, held_out, (*ope.LOG_KEYS, "sample_size")
+    )
+    return ope.estimator_errors(found, truth(spark, folder), "sample_size")
+
+
+#: Rounds of the samples whose intervals are held against the truth: a declared size.
+COVERAGE_SIZE = 500
+
+
+@plan(
+    "ope_coverage",
+    f"""WITH {ESTIMATES_SQL.replace(LOG_SQL, _SAMPLED_SQL).replace("SELECT l.behavior_policy, l.simulation_seed, target,", "SELECT l.behavior_policy, l.simulation_seed, place, target,", 1)},
+    drawn AS (SELECT behavior_policy, simulation_seed, replicate, target, q, ql, w, r, {_poisson_sql("u")} AS m FROM (
+      SELECT *, {uniform_sql("place", f"(simulation_seed // 10000 * 10 + list_position({list(ope.BEHAVIOURS)!r}, behavior_policy)) * 100000 + replicate")} AS u
+      FROM est_rows, range(1, {ope.RESAMPLES + 1}) t(replicate) WHERE simulation_seed % 10000 = {COVERAGE_SIZE} AND r IS NOT NULL)),
+    sums AS (SELECT behavior_policy, simulation_seed, replicate, target, sum(m * w * r) / nullif(sum(m), 0) AS ips, sum(m * w * r) / nullif(sum(m * w), 0) AS snips,
+      sum(m * (q + w * (r - ql))) / nullif(sum(m), 0) AS dr FROM drawn GROUP BY ALL),
+    tall AS (SELECT behavior_policy, simulation_seed, target, 'ips' AS estimator, ips AS e FROM sums UNION ALL SELECT behavior_policy, simulation_seed, target, 'snips', snips FROM sums
+      UNION ALL SELECT behavior_policy, simulation_seed, target, 'dr', dr FROM sums),
+    bounds AS (SELECT behavior_policy, simulation_seed, target, estimator, quantile_cont(e, 0.025) AS low, quantile_cont(e, 0.975) AS high FROM tall GROUP BY ALL)
+    SELECT behavior_policy, target, estimator, count(low) AS n_intervals, round(avg(CASE WHEN round(true_value, 6) BETWEEN round(low, 6) AND round(high, 6) THEN 1 WHEN low IS NOT NULL THEN 0 END), 6) AS coverage,
+      round(avg(high - low), 6) AS mean_width FROM bounds JOIN truth USING (target) GROUP BY ALL""",
+)
+def ope_coverage(spark, folder):
+    """Coverage of bootstrap intervals on samples of one declared size."""
+    matrix = roles.reward_vectors(spark, folder)
+    fit, held_out = F.col("split") == "dev", F.col("split") != "dev"
+    sample = ope.nested_samples(log(spark, folder), (COVERAGE_SIZE,))
+    return ope.interval_coverage(sample, targets(matrix), truth(spark, folder), fit, held_out)
+
+
 @plan(
     "ope_ranking",
     f"""WITH {ESTIMATES_SQL}, k AS (SELECT * FROM estimates JOIN truth USING (target)),
