@@ -175,6 +175,18 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = v.DEFAULT_SEED) -
     return rows.withColumn("draw", draw).orderBy("draw", key).limit(n).drop("draw")
 
 
+def spread_sample(
+    rows: DataFrame, key: str, strata: list[str], size: int, seed: int = v.DEFAULT_SEED
+) -> DataFrame:
+    """``size`` rows over all strata, one from each in turn; adds ``pick``, the turn.
+
+    No stratum can give more than ``size`` rows, which bounds what is exchanged; of
+    the last turn, the strata with the smallest draws are taken.
+    """
+    picked = stratified_sample(rows.withColumn("__draw", uniform(F.col(key), seed % 10_000)), key, strata, size, seed)
+    return picked.orderBy("pick", "__draw", key, *strata).limit(size).drop("__draw")
+
+
 def stratified_sample(
     rows: DataFrame, key: str, strata: list[str], per_stratum: int, seed: int = v.DEFAULT_SEED
 ) -> DataFrame:

@@ -16,6 +16,10 @@ from assayer.sources import lines, responses, splits
 from assayer.sources.tables import evidence_pages, file_checksums, parse_questions, table
 
 
+#: Declared sizes of the subset of documents and of queries.
+SUBSET_DOCUMENTS, SUBSET_QUERIES = 20_000, 1_000
+
+
 def questions(spark, folder):
     return parse_questions(roles.filing_lines(spark, folder))[0]
 
@@ -437,11 +441,21 @@ def stratified_sample(spark, folder):
 
 @plan(
     "subset_sample",
-    f"SELECT doc_id FROM documents ORDER BY {uniform_sql('doc_id', _SEED)}, doc_id LIMIT 100",
+    f"SELECT doc_id FROM documents ORDER BY {uniform_sql('doc_id', _SEED)}, doc_id LIMIT {SUBSET_DOCUMENTS}",
 )
 def subset_sample(spark, folder):
     return datasets.hash_sample(
-        table(spark, folder, "documents").select("doc_id"), "doc_id", 100
+        table(spark, folder, "documents").select("doc_id"), "doc_id", SUBSET_DOCUMENTS
+    )
+
+
+@plan(
+    "subset_queries",
+    f"SELECT item_id FROM benchmark ORDER BY {uniform_sql('item_id', _SEED)}, item_id LIMIT {SUBSET_QUERIES}",
+)
+def subset_queries(spark, folder):
+    return datasets.hash_sample(
+        table(spark, folder, "benchmark").select("item_id"), "item_id", SUBSET_QUERIES
     )
 
 

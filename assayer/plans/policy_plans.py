@@ -171,22 +171,32 @@ def budget_guard(spark, folder):
 _SEED = str(v.DEFAULT_SEED % 10_000)
 
 
+#: Declared size and strata of the sample for human review.
+REVIEW_SIZE = 60
+REVIEW_STRATA = {
+    "correctness": "coalesce(numeric_correctness, CAST(-1 AS DOUBLE))",
+    "action_id": "action_id",
+    "confidence_band": "CAST(coalesce(floor(confidence * 4), -1) AS BIGINT)",
+    "abstained": "abstained",
+    "is_numerical": "numeric_correctness IS NOT NULL",
+    # The numbers agree where no citation backs them, or the other way round.
+    "scorers_disagree": "coalesce(numeric_correctness <> citation_coverage, false)",
+}
+
+
 @plan(
     "review_sample",
-    f"""WITH {roles.SCORED_SQL}, r AS (SELECT question_id, action_id, abstained, coalesce(numeric_correctness, -1) AS correctness,
-        row_number() OVER (PARTITION BY action_id, abstained, numeric_correctness ORDER BY {uniform_sql("question_key", _SEED)}, question_key) AS pick FROM scored)
-    SELECT question_id, action_id, abstained, correctness, CAST(pick AS INTEGER) AS pick FROM r WHERE pick <= 4""",
+    f"""WITH {roles.SCORED_SQL}, s AS (SELECT question_id, question_key, {", ".join(f"{sql} AS {name}" for name, sql in REVIEW_STRATA.items())},
+        {uniform_sql("question_key", _SEED)} AS draw FROM scored),
+    r AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(REVIEW_STRATA)} ORDER BY draw, question_key) AS pick FROM s)
+    SELECT question_id, {", ".join(REVIEW_STRATA)}, CAST(pick AS INTEGER) AS pick FROM r
+    ORDER BY pick, draw, question_key, {", ".join(REVIEW_STRATA)} LIMIT {REVIEW_SIZE}""",
 )
 def review_sample(spark, folder):
     rows = roles.scored(spark, folder).select(
-        "question_id",
-        "question_key",
-        "action_id",
-        "abstained",
-        F.coalesce("numeric_correctness", F.lit(-1.0)).alias("correctness"),
+        "question_id", "question_key", *[F.expr(sql).alias(name) for name, sql in REVIEW_STRATA.items()]
     )
-    strata = ["action_id", "abstained", "correctness"]
-    return datasets.stratified_sample(rows, "question_key", strata, 4).drop("question_key")
+    return datasets.spread_sample(rows, "question_key", list(REVIEW_STRATA), REVIEW_SIZE).drop("question_key")
 
 
 @plan(

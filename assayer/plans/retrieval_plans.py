@@ -333,6 +333,26 @@ def mrr_ndcg(spark, folder):
     )
 
 
+@plan(
+    "list_quality",
+    f"""WITH {RESULTS_SQL}, {roles.terms_sql("vt", "doc_rows", "chunk_id", "text")},
+    vc AS (SELECT id AS chunk_id, term, count(*)::DOUBLE AS tf FROM vt GROUP BY ALL),
+    vn AS (SELECT chunk_id, sqrt(sum(tf * tf)) AS norm FROM vc GROUP BY ALL),
+    sq AS (SELECT question_id, retriever, sum(v * v) AS square FROM (
+      SELECT question_id, retriever, term, sum(tf / norm) AS v FROM lists JOIN vc USING (chunk_id) JOIN vn USING (chunk_id) GROUP BY ALL) GROUP BY ALL),
+    sz AS (SELECT question_id, retriever, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS context_tokens, count(norm) AS n
+      FROM lists JOIN doc_rows USING (chunk_id) LEFT JOIN vn USING (chunk_id) GROUP BY ALL)
+    SELECT question_id, retriever, CASE WHEN n > 1 THEN round((square - n) / (n * (n - 1)), 6) END AS redundancy, context_tokens,
+      round(coalesce(n_found, 0) / n_gold, 6) AS document_recall
+    FROM sz LEFT JOIN sq USING (question_id, retriever) LEFT JOIN finds USING (question_id, retriever) LEFT JOIN sizes USING (question_id)""",
+)
+def list_quality(spark, folder):
+    """Redundancy, context length and document recall; a document here is one chunk."""
+    return evidence.list_quality(
+        roles.gold_documents(spark, folder), ranked_lists(spark, folder), roles.corpus(spark, folder), K
+    )
+
+
 @plan(
     "retriever_summary",
     f"""WITH {RESULTS_SQL} SELECT retriever, round(avg(recall) FILTER (measurable), 6) AS mean_recall,
