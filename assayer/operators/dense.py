@@ -79,7 +79,7 @@ def hashed_vectors(
             lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             cells = np.repeat(np.arange(rows), lengths) * dimensions + buckets
             matrix = np.bincount(cells, weights=signs * counts, minlength=rows * dimensions)
-            matrix = matrix.reshape(rows, dimensions)
+            matrix = matrix.astype(float).reshape(rows, dimensions)  # of no tokens at all, integers
             norms = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = np.divide(matrix, norms, out=matrix, where=norms > 0)
             bounds = pa.array(np.arange(rows + 1, dtype=np.int32) * dimensions)

@@ -153,11 +153,14 @@ def test_deal_by_threshold_equals_deal_one_by_one():
     assert sum(sum(t.values()) for t in many.values()) == 11 * 10**11
 
 
-def test_ranks_over_blocks_deal_every_group(spark, monkeypatch):
+def test_ranks_over_ranges_deal_every_group(spark, monkeypatch):
     questions = spark.range(3000).selectExpr("concat('q', id) as question_id", "concat('g', id % 900) as group_key")
     whole = {tuple(r) for r in datasets.grouped_split(questions).collect()}
-    monkeypatch.setattr(datasets, "GROUPS_IN_BLOCK", 50)
-    assert {tuple(r) for r in datasets.grouped_split(questions).collect()} == whole and len(whole) == 3000
+    monkeypatch.setattr("assayer.operators.running.FANOUT", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = {tuple(r) for r in datasets.grouped_split(questions).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert again == whole and len(whole) == 3000
 
 
 @pytest.mark.parametrize(

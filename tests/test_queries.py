@@ -18,7 +18,9 @@ QUICK = (
     "evidence_resolution structured_answers bm25_topk bm25_scoped dense_topk rrf_hybrid recall_hit_at_k "
     "question_scan validation_issues grouped_split filing_selection outcome_scores outcome_issues "
     "rewards_by_profile oracle_policy pareto_front bandit_log ope_errors mcnemar_test risk_coverage "
-    "agent_terminations"
+    "agent_terminations regret_curve older_filing_pages filing_blocks storable_responses excluded_questions "
+    "question_file_failures source_checksums frozen_split frozen_split_header stored_responses page_corpus "
+    "ope_sample_sizes review_sample list_quality"
 ).split()
 
 
