@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import bm25, dense, fusion, running
-from assayer.session import join_small
+from assayer.session import join_small, spread
 
 LIMIT = "spark.assayer.broadcast.maxRows"
 
@@ -114,6 +114,60 @@ def test_dense_paths_agree_with_brute_force(spark, monkeypatch):
     spark.conf.unset(LIMIT)
 
 
+@pytest.mark.parametrize("asked", [2, 0])
+def test_tasks_without_rows_have_no_best(spark, asked):
+    """Rows of one task only, keys that are texts: the other tasks hand on nothing."""
+    corpus = spark.createDataFrame([("c0", [1.0, 0.0])], "chunk_id string, vector array<double>").repartition(4)
+    questions = spark.createDataFrame(
+        [(f"q{i}", [0.5, i - 1.0]) for i in range(asked)], "question_id string, vector array<double>"
+    )
+    found = dense.nearest(corpus, questions, 3, dimensions=2).collect()
+    assert sorted((r.question_id, r.chunk_id, r.score, r.rank) for r in found) == [
+        (f"q{i}", "c0", 0.5, 1) for i in range(asked)
+    ]
+
+
+def test_large_query_sides_exchange_no_candidates(spark, monkeypatch):
+    """Each question is answered by one task, so the k best are final before they are ranked."""
+    monkeypatch.setattr(dense, "SHARED_QUESTIONS", 50)
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 8)).astype("float32")
+    rows = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id bigint, vector array<float>"
+    ).repartition(7)
+    asked = rows.select(F.col("chunk_id").alias("question_id"), "vector")
+    kept = []
+    ranked = dense.top_k
+    monkeypatch.setattr(dense, "top_k", lambda found, *rest: kept.append(found) or ranked(found, *rest))
+    found = dense.nearest(rows, asked, 5, exclude_self=True, dimensions=8).collect()
+    scores = np.round(vectors.astype(float) @ vectors.astype(float).T, dense.SCORE_DIGITS)
+    np.fill_diagonal(scores, -1.0)
+    for question in range(400):
+        best = sorted(range(400), key=lambda j: (-scores[question, j], j))[:5]
+        best = [j for j in best if scores[question, j] > 0]
+        got = sorted((r for r in found if r.question_id == question), key=lambda r: r.rank)
+        assert [(r.chunk_id, r.score) for r in got] == [(j, scores[question, j]) for j in best]
+    assert kept[0].count() <= 400 * 6
+
+
+def test_rows_of_one_row_group_reach_every_task(spark, tmp_path):
+    """A table of a single row group fills one split, however many there are; half the keys are null."""
+    path = str(tmp_path / "rows")
+    spark.range(20_000).selectExpr("if(id % 2 = 0, id, null) AS key", "uuid() AS text").coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        read = spark.read.parquet(path)
+        assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = spread(read).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(r["count"] for r in sizes) == 20_000
+    assert max(r["count"] for r in sizes) < 20_000 / spark.sparkContext.defaultParallelism
+
+
 def test_dense_blocks_out_of_reach_are_skipped():
     """Clustered vectors: most pairs are left out, and the result is that of all pairs."""
     rng = np.random.default_rng(3)
