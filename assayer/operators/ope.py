@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
 from assayer.functions.hashing import POISSON_ONE_CDF, poisson_one, uniform
+from assayer.functions.once import with_once
 from assayer.operators.policies import arm_name
 from assayer.operators.running import running_totals
+from assayer.session import stored
 
 K = len(v.ACTIONS)
 MIN_PROPENSITY = 1e-6
@@ -32,6 +37,8 @@ DIGITS = 6
 SAMPLE_SIZES = (100, 250, 500, 1000, 2500, 5000)
 RESAMPLES = 2000
 SAMPLE_STREAM = 7_000_000
+#: Rounds below the first bound of their draws, as multiples of the largest sample.
+SAMPLE_SLACK = 2
 
 
 def _epsilon_greedy(epsilon: float) -> Column:
@@ -378,14 +385,34 @@ def true_values(
 def nested_samples(log: DataFrame, sizes: tuple[int, ...] = SAMPLE_SIZES) -> DataFrame:
     """Samples of each log, the smaller inside the larger: adds ``sample_size`` and ``place``.
 
-    Rounds take their places by one draw each; only the places that the largest size
-    wants are exchanged.
+    Rounds take their places by one draw each. Only rounds with draws below a bound are
+    stored and ordered; the bound follows from a log's rounds, and grows until no log has
+    fewer below it than the largest size wants.
     """
     draw = uniform(F.col("question_key"), F.lit(SAMPLE_STREAM) + F.col("draw_no"))
-    order = Window.partitionBy(*LOG_KEYS).orderBy(draw, "question_key", "draw_no")
-    placed = log.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(sizes))
+    most, keys, u = max(sizes), list(LOG_KEYS), F.col("__draw")
+    # One row per log, whose keys may be null.
+    counts = stored(log.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rounds")), "log-rounds")
+    rounds = F.broadcast(counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "__rounds"))
+    least = counts.agg(F.min("__rounds")).first()[0] or 1
+    slack = SAMPLE_SLACK
+    while True:
+        wanted = float(slack * most)
+        # Most rounds go before they meet the bound of their log.
+        low = with_once(log, "__draw", draw).filter(u.isNull() | (u < wanted / least))
+        below = u.isNull() | (u < F.lit(wanted) / F.col("__rounds"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        kept = stored(low.join(rounds, same).filter(below).drop(*[f"__{k}" for k in keys]), "log-samples")
+        full = kept.groupBy(*keys).agg(
+            (F.count(F.lit(1)) >= F.least(F.lit(most), F.max("__rounds"))).alias("full")
+        )
+        if full.filter("full").count() == counts.count():
+            break
+        slack *= 4
+    order = Window.partitionBy(*keys).orderBy(u, "question_key", "draw_no")
+    placed = kept.drop("__rounds").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     listed = F.array(*map(F.lit, sizes))
-    return placed.withColumn("sample_size", F.explode(F.filter(listed, lambda s: s >= F.col("place"))))
+    return placed.drop("__draw").withColumn("sample_size", F.explode(F.filter(listed, lambda s: s >= F.col("place"))))
 
 
 def interval_coverage(

@@ -383,6 +383,32 @@ def test_regret_curve_runs_over_blocks(spark):
     assert curve[80].cumulative_reward == 20.0 and curve[80].cumulative_regret == 60.0
 
 
+@pytest.mark.parametrize("slack", [2, 0.01])
+def test_nested_samples_order_few_rounds(spark, monkeypatch, slack):
+    """The places of all rounds' order, of logs of any length; only low draws are stored."""
+    monkeypatch.setattr(ope, "SAMPLE_SLACK", slack)
+    held = []
+    keep = ope.stored
+    monkeypatch.setattr(ope, "stored", lambda rows, name: held.append(keep(rows, name)) or held[-1])
+    log = spark.range(6_000).selectExpr(
+        "if(id < 5500, 'p', if(id < 5990, 'short', null)) AS behavior_policy", "1 AS simulation_seed",
+        "id div 2 AS question_key", "cast(id % 2 AS int) AS draw_no",
+    )
+    got = {
+        (r.behavior_policy, r.question_key, r.draw_no, r.place, r.sample_size)
+        for r in ope.nested_samples(log, (5, 20)).collect()
+    }
+    draw = ope.uniform(F.col("question_key"), F.lit(ope.SAMPLE_STREAM) + F.col("draw_no"))
+    rows = log.withColumn("u", draw).collect()
+    expected = set()
+    for policy in ("p", "short", None):
+        ordered = sorted((r.u, r.question_key, r.draw_no) for r in rows if r.behavior_policy == policy)
+        for place, (_, key, number) in enumerate(ordered[:20], 1):
+            expected |= {(policy, key, number, place, size) for size in (5, 20) if size >= place}
+    assert got == expected
+    assert held[-1].count() < 600
+
+
 def test_older_pages_by_year_and_undated(spark):
     pages = spark.createDataFrame(
         [(1, "old", "2010-01-01", "2014-12-31"), (1, "new", "2018-01-01", "2020-12-31"), (1, "undated", None, None), (2, "other", None, None)],
