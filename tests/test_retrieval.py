@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,22 @@ def test_block_scores_keep_every_tie(spark, monkeypatch):
     assert sorted(map(key, got.collect())) == sorted(map(key, listed.collect()))
 
 
+def test_frequent_terms_are_scored_in_bounded_parts(spark, monkeypatch):
+    """Every chunk and question holds the same word: parts go by their matches, none is lost."""
+    texts = ["x y", "x x", "", "y x", "x"] * 20
+    asked = ["x", "x y", "x x z"]
+    listed = bm25.top_k(bm25.score(chunks(spark, texts), questions(spark, *asked)), 5)
+    monkeypatch.setattr(bm25, "MATCHES", 7)
+    monkeypatch.setattr(bm25, "HIT_ROWS", 3)
+    got = bm25.search(chunks(spark, texts).coalesce(1), questions(spark, *asked), k=5)
+    key = lambda r: (r.question_id, r.rank, r.chunk_id, r.score)
+    assert sorted(map(key, got.collect())) == sorted(map(key, listed.collect()))
+    block = bm25.QueryBlock(np.array(["a", "b", "c"]), 1, np.array([0, 1, 2]), np.zeros(3, int), np.ones(3))
+    batch = pa.RecordBatch.from_pydict({"term_ids": pa.array([[0], [], [0, 0, 0], [0], [0]], pa.list_(pa.int32()))})
+    assert [p.num_rows for p in block.parts(batch, 100)] == [2, 1, 2]
+    assert [p.num_rows for p in block.parts(batch, 1)] == [1] * 5
+
+
 def test_hashed_vectors_are_unit_or_zero(spark):
     rows = dense.hashed_vectors(questions(spark, "Revenue grew, revenue fell", "  "), "question_id", "question_text")
     norms = {r.question_id: float(np.linalg.norm(r.vector)) for r in rows.collect()}
