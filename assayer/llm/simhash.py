@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import ids_and_texts, stored, without
+from assayer.llm.common import ids_and_texts, stored, text_digest, without
 from assayer.llm.graph import components
 
 BITS = 64
@@ -62,18 +62,20 @@ def fingerprint_of(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row, in one pass over the texts without a shuffle."""
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, fp) and, if asked for, the text's digest for every row, in one pass without a shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "fp": [fingerprint_of(t) for t in batch["text"]]}
-            )
+            found = {"doc_id": batch["doc_id"].astype("Int64"), "fp": [fingerprint_of(t) for t in batch["text"]]}
+            yield pd.DataFrame(found | ({"digest": batch["digest"].astype(object)} if digests else {}))
 
-    return ids_and_texts(docs).mapInPandas(run, "doc_id bigint, fp bigint")
+    texts = ids_and_texts(docs)
+    if digests:
+        texts = texts.withColumn("digest", text_digest(F.col("text")))
+    return texts.mapInPandas(run, "doc_id bigint, fp bigint" + (", digest string" if digests else ""))
 
 
 def variants(entries: DataFrame) -> DataFrame:
@@ -115,12 +117,12 @@ def links(entries: DataFrame) -> DataFrame:
     return pairs.unionByName(hooked).where(distance(F.col("a"), F.col("b")) <= MAX_BITS).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``, and ``digest`` if asked for.
 
     component_id is the smallest doc_id that links reach, its own included.
     """
-    prints = stored(fingerprints(docs), "simhash-fingerprints")
+    prints = stored(fingerprints(docs, digests), "simhash-fingerprints")
     entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-entries")
     joined = components(links(entries.select("fp")))
     linked = joined.join(entries, joined["node"] == entries["fp"]).select("node", "component", "least")
@@ -133,10 +135,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        *(["digest"] if digests else []),
     )
 
 
 def keep_one_per_class(docs: DataFrame) -> DataFrame:
     """Drop every document that another one of its class with a smaller id stands for."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return without(docs, found, {"doc_id": docs["doc_id"].cast("bigint")})
+    found = near_duplicates(docs, digests=True).where("doc_id <> component_id").select("doc_id", "digest").distinct()
+    return without(docs, found, {"doc_id": docs["doc_id"].cast("bigint"), "digest": text_digest(docs["text"])})

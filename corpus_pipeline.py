@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, decontaminate, exact, near, toxicity
+from assayer.llm import bpe, decontaminate, exact, near, simhash, toxicity
 from assayer.llm.common import shared_folder, stored, table
 from assayer.session import ship_package
 
@@ -34,8 +34,10 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By fingerprints first; what these leave is compared by whole sets of shingles."""
     _prepared(spark)
-    return near.keep_one_of_near_copies(docs)
+    left = stored(simhash.keep_one_per_class(docs), "pipeline-fingerprints")
+    return near.keep_one_of_near_copies(left)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

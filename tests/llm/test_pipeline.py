@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from assayer.llm import decontaminate, exact, simhash, toxicity
+from assayer.llm import decontaminate, exact, near, simhash, toxicity
 from assayer.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,6 +30,20 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in final.collect()} == kept
 
 
+def test_near_copies_go_by_fingerprints_first(spark, monkeypatch):
+    """Rows within two bits of a smaller id go before any sets are compared; an id's other text stays."""
+    prints = {"a": 0, "b": 3, "c": 7, "d": 255 << 40}
+    monkeypatch.setattr(simhash, "fingerprint_of", lambda text, known=prints: known[text])
+    seen = []
+    whole = near.keep_one_of_near_copies
+    monkeypatch.setattr(near, "keep_one_of_near_copies", lambda docs: seen.append(docs) or whole(docs))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "d"), (3, "c"), (None, "b")], "doc_id bigint, text string")
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, SMALL)
+    rows = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    assert rows(seen[0]) == [(0, "b"), (1, "a"), (2, "d")]
+    assert rows(kept) == [(0, "b"), (1, "a"), (2, "d")]
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 14))
