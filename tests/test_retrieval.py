@@ -161,7 +161,7 @@ def test_rows_of_one_row_group_reach_every_task(spark, tmp_path):
     try:
         read = spark.read.parquet(path)
         assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-        sizes = spread(read).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        sizes = spread(read, "key", "text").groupBy(F.spark_partition_id().alias("task")).count().collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
