@@ -12,7 +12,7 @@ from assayer import vocabulary as v
 from assayer.functions.hashing import POISSON_ONE_CDF, poisson_one, uniform
 from assayer.functions.once import with_once
 from assayer.operators.policies import arm_name
-from assayer.operators.running import running_totals
+from assayer.operators.running import running_totals, running_totals_in_parts
 from assayer.session import stored
 
 K = len(v.ACTIONS)
@@ -37,6 +37,8 @@ DIGITS = 6
 SAMPLE_SIZES = (100, 250, 500, 1000, 2500, 5000)
 RESAMPLES = 2000
 SAMPLE_STREAM = 7_000_000
+#: Questions of a range that a task replays, at most, about.
+RANGE_QUESTIONS = 50_000
 #: Rounds below the first bound of their draws, as multiples of the largest sample.
 SAMPLE_SLACK = 2
 
@@ -108,19 +110,17 @@ def replay_log(
     Rounds are drawn with replacement by giving each question a Poisson(1)
     number of rounds; the arm of a round is where its draw falls among the
     cumulative propensities. Everything is computed within the row. ``kept`` are
-    further columns, expressions over the question's ``rewards``.
+    further columns, expressions over the matrix, found once for a question.
     """
     cumulated = policies.select(
         F.transform(
             "policies", lambda p: F.struct(p["policy"], p["probabilities"], _running(p["probabilities"]).alias("cumulative"))
         )
     )
-    plans = matrix.withColumn("p", F.explode(cumulated.scalar()))
+    asked = matrix.select("question_key", "context", "split", "rewards", *kept)
+    plans = asked.withColumn("p", F.explode(cumulated.scalar()))
     numbered = plans.select(
-        "question_key",
-        "context",
-        "split",
-        "rewards",
+        *asked.columns,
         F.col("p.policy").alias("behavior_policy"),
         F.col("p.probabilities").alias("probabilities"),
         F.col("p.cumulative").alias("cumulative"),
@@ -151,7 +151,7 @@ def replay_log(
             "arm",
             F.get("probabilities", F.col("arm")).alias("action_propensity"),
             F.get("rewards", F.col("arm")).alias("observed_reward"),
-            *kept,
+            *asked.columns[4:],
         )
     )
 
@@ -173,16 +173,36 @@ def _running(probabilities: Column) -> Column:
     return F.when(F.size(probabilities) > 0, grown)
 
 
+def in_ranges(matrix: DataFrame) -> DataFrame:
+    """The matrix with ``__part``, its range of questions; a task has whole ranges.
+
+    Logs that are replayed from it run by question within their task: they are as
+    large as the matrix times policies and seeds, and are neither exchanged nor stored.
+    """
+    spark = matrix.sparkSession
+    rows = matrix.count()
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(parallel, -(-rows // RANGE_QUESTIONS))
+    # Ranges are drawn from a sample: a second reading must see the same ones.
+    ranged = stored(
+        matrix.repartitionByRange(parts, "question_key").withColumn("__part", F.spark_partition_id()),
+        "regret-questions",
+    )
+    return ranged.repartitionById(parts, "__part")
+
+
 def regret_curve(log: DataFrame, best_reward: Column) -> DataFrame:
     """Cumulative reward and regret after every round of each log.
 
-    Rounds run by (question_key, draw_no), in ranges, so no log is one task's work. Sums
+    Rounds run by (question_key, draw_no), in ranges, so no log is one task's work: in those
+    that ``in_ranges`` gave the log's matrix, or in ranges of the log's own rounds. Sums
     run over billionths, the digits of a reward, and are therefore exact.
     """
 
     def billionths(amount: Column) -> Column:
         return F.coalesce(F.round(amount * 1e9).cast("bigint"), F.lit(0).cast("bigint"))
 
+    ranged = "__part" in log.columns
     rounds = log.select(
         "behavior_policy",
         "simulation_seed",
@@ -191,9 +211,11 @@ def regret_curve(log: DataFrame, best_reward: Column) -> DataFrame:
         F.lit(1).alias("round"),
         billionths(F.col("observed_reward")).alias("reward"),
         billionths(best_reward - F.col("observed_reward")).alias("regret"),
+        *(["__part"] if ranged else []),
     )
     keys = ["behavior_policy", "simulation_seed"]
-    totals = running_totals(rounds, keys, ["question_key", "draw_no"], ["round", "reward", "regret"])
+    run = running_totals_in_parts if ranged else running_totals
+    totals = run(rounds, keys, ["question_key", "draw_no"], ["round", "reward", "regret"])
     return totals.select(
         *keys,
         "question_key",

@@ -29,9 +29,22 @@ def running_totals(
         .withColumn("__part", F.spark_partition_id()),
         "running-ranges",
     )
+    return running_totals_in_parts(ranged, keys, order, values)
+
+
+def running_totals_in_parts(
+    ranged: DataFrame, keys: list[str], order: list[str], values: list[str]
+) -> DataFrame:
+    """``running_totals`` of rows whose ``__part`` numbers ranges of ``order``; it is read twice.
+
+    Rows that are dealt by ``__part`` are not exchanged again.
+    """
     sums = {value: f"__{value}" for value in values}
-    totals = ranged.groupBy(*keys, "__part").agg(*[F.sum(v).alias(s) for v, s in sums.items()])
-    offsets = carried(stored(totals, "running-totals"), keys, "__part", list(sums.values()), parts)
+    totals = stored(
+        ranged.groupBy(*keys, "__part").agg(*[F.sum(v).alias(s) for v, s in sums.items()]), "running-totals"
+    )
+    parts = (totals.agg(F.max("__part")).first()[0] or 0) + 1
+    offsets = carried(totals, keys, "__part", list(sums.values()), parts)
     through = (
         Window.partitionBy(*keys, "__part")
         .orderBy(*order)

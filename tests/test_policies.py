@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -383,6 +384,23 @@ def test_regret_curve_runs_over_blocks(spark):
     assert curve[80].cumulative_reward == 20.0 and curve[80].cumulative_regret == 60.0
 
 
+def test_regret_curve_exchanges_questions_and_no_rounds(spark, matrix, monkeypatch):
+    """Logs of a matrix in ranges give the curve of the plain log, by no exchange of their rounds."""
+    monkeypatch.setattr(ope, "RANGE_QUESTIONS", 300)
+    policies_of = ope.behaviour_policies(matrix)
+    plain = ope.replay_log(matrix, policies_of, (1, 2), (F.array_max("rewards").alias("best"),))
+    ranged = ope.in_ranges(matrix)
+    assert ranged.select("__part").distinct().count() > 1
+    kept = (F.array_max("rewards").alias("best"), F.col("__part"))
+    rounds = ope.replay_log(ranged, policies_of, (1, 2), kept)
+    found = ope.regret_curve(rounds, F.col("best"))
+    expected = ope.regret_curve(plain, F.col("best"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    # Totals of ranges are exchanged, by log; rounds would be, by log and range.
+    assert "Window" in executed and not re.search(r"hashpartitioning\([^)]*__part", executed)
+
+
 @pytest.mark.parametrize("slack", [2, 0.01])
 def test_nested_samples_order_few_rounds(spark, monkeypatch, slack):
     """The places of all rounds' order, of logs of any length; only low draws are stored."""
