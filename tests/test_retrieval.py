@@ -11,7 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from assayer import session
 from assayer.operators import bm25, dense, fusion, running
+from assayer.plans import retrieval_plans
 from assayer.session import join_small, spread
 
 LIMIT = "spark.assayer.broadcast.maxRows"
@@ -169,6 +171,39 @@ def test_rows_of_one_row_group_reach_every_task(spark, tmp_path):
     assert max(r["count"] for r in sizes) < 20_000 / spark.sparkContext.defaultParallelism
 
 
+def test_a_task_of_a_larger_table_gets_no_more_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    path = str(tmp_path / "rows")
+    spark.range(20_000).write.parquet(path)
+    sizes = spread(spark.read.parquet(path), "id").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in sizes) == 20_000
+    assert max(r["count"] for r in sizes) < 200
+
+
+def test_fused_lists_of_few_chunks_over_many_tasks(spark, tmp_path):
+    """Tasks without rows, and lists shorter than the candidates wanted, still fuse."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "cash flow of a bank"), (2, "net income"), (3, None)], "doc_id bigint, text string").write.parquet(
+        f"{folder}/documents.parquet"
+    )
+    spark.createDataFrame([(7, "cash flow"), (8, "")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = retrieval_plans.rrf_hybrid(spark, folder).collect()
+    assert [(r.question_id, r.chunk_id, r["rank"], r.bm25_rank, r.dense_rank) for r in found] == [("q7", "d1", 1, 1, 1)]
+
+
+def test_chunks_listed_twice_by_a_source_fuse(spark):
+    """Copies of a key stand twice in a list: both places count, the last one is shown."""
+    ranked = spark.createDataFrame(
+        [("q", "bm25", "c", 1), ("q", "bm25", "c", 2), ("q", "dense", "c", 3), ("q", "bm25", "d", 3)],
+        "question_id string, source string, chunk_id string, rank int",
+    )
+    found = fusion.reciprocal_rank_fusion(ranked).collect()
+    assert [(r.chunk_id, r["rank"], r.component_ranks) for r in found] == [
+        ("c", 1, {"bm25": 2, "dense": 3}), ("d", 2, {"bm25": 3})
+    ]
+    assert found[0].score == round(1 / 61 + 1 / 62 + 1 / 63, 9)
+
+
 def test_dense_blocks_out_of_reach_are_skipped():
     """Clustered vectors: most pairs are left out, and the result is that of all pairs."""
     rng = np.random.default_rng(3)
