@@ -12,12 +12,13 @@ documents have in common, such as a template, stands last and makes no candidate
 A shingle that is alone in its set's first ones makes none either. Every candidate
 is verified on the whole sets, so nothing below the bound is dropped.
 
-Sets that share a rare shingle are compared with each other up to ``BUCKET`` of them.
-A larger bucket, as copies of one document make it, is worked off in rounds: all its
-members are compared with some of those that no earlier one stands for, one in the
-first round, then twice as many, until every member is linked to one or has been one.
-In such a bucket each member so meets all hubs; two members that are only near to
-one another, and to no hub in any bucket that they share, would stay apart.
+First, every set is compared with the least entry of each of its bands, and what is linked
+is a class. From then on only sets of different classes have to meet, so that a large
+group of copies costs a few comparisons for each of its members. Sets of different
+classes that share a rare shingle are all compared; in a bucket of more than ``BUCKET``
+sets, those of them that also share a band, which near copies do as said above. No pair
+is left out because another one was found. Of a bucket's largest class, no two members
+meet; the others meet all members, in parts of ``BUCKET`` by ``BUCKET`` rows.
 
 Documents with equal sets are one entry. The row of a class with the least
 doc_id stays, rows without an id only where no row of the class has one; rows
@@ -28,7 +29,6 @@ empty table has no near copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +41,8 @@ BANDS, ROWS = 32, 5
 HASH_SEED = 43
 #: Shingle hashes whose least values are taken at once.
 BLOCK = 1 << 10
-#: Sets that share a rare shingle and are all compared with each other, at most.
+#: Sets that share a rare shingle and meet by it alone, at most; members that meet in one group.
 BUCKET = 32
-#: Members of a larger bucket that the others are compared with in one round, at most.
-MOST_HUBS = 64
 #: Texts whose sets are handed on at once.
 SETS_AT_ONCE = 200
 
@@ -152,17 +150,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def met_entries(entries: DataFrame) -> DataFrame:
-    """Entries that share a band with another one."""
+def shared_bands(entries: DataFrame) -> DataFrame:
+    """(band, key, entry, hub) of the bands that entries share; ``hub`` is the least entry."""
     keyed = entries.select("entry", F.posexplode("bands").alias("band", "key"))
-    met = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(met, ["band", "key"]).select("entry").distinct()
+    met = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("entry").alias("hub"))
+    return keyed.join(met.where("n > 1").drop("n"), ["band", "key"])
 
 
 def rarest(sets: DataFrame) -> DataFrame:
-    """(shingle, entry, size, together): the rarest shingles of each set that other sets share.
+    """(shingle, entry, size, rest, together): the rarest shingles of each set that other sets share.
 
-    ``together`` counts the sets that have the shingle among their rarest.
+    ``rest`` counts the set's shingles from this one on, ``together`` the sets that have
+    the shingle among their rarest.
     """
     rows = sets.select("entry", "size", F.explode("values").alias("shingle"))
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
@@ -174,16 +173,52 @@ def rarest(sets: DataFrame) -> DataFrame:
     taken = stored(
         listed.withColumn("first", first)
         .where("first > 0")
-        .select("entry", "size", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("s"))
-        .select(F.col("s.shingle").alias("shingle"), "entry", "size"),
+        .select(
+            "entry", "size", F.size("shared").alias("from_first"),
+            F.posexplode(F.slice("shared", F.lit(1), F.col("first"))).alias("at", "s"),
+        )
+        .select(F.col("s.shingle").alias("shingle"), "entry", "size", F.expr("from_first - at").alias("rest")),
         "near-rarest",
     )
     together = taken.groupBy("shingle").agg(F.count("*").alias("together")).where("together > 1")
     return taken.join(together, "shingle")
 
 
-def _near_in_size(a: str, b: str):
-    return F.expr(f"5 * {a} >= 4 * {b} and 5 * {b} >= 4 * {a}")
+def pairs_of_classes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs (a, b) of entries that share a key, are of different classes and may be near copies.
+
+    ``rows`` has the keys, entry, size, rest, class. If two sets are near copies, the first
+    shingle that they share leaves enough of both.
+    """
+    classes = rows.groupBy(*keys, "class").agg(F.count("*").alias("n"))
+    buckets = (
+        classes.groupBy(*keys)
+        .agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        .where("n > most")
+        .select(
+            *keys, "main",
+            F.expr(f"cast(ceil((n - most) / {BUCKET}) as int)").alias("rows_in"),
+            F.expr(f"cast(ceil(n / {BUCKET}) as int)").alias("columns_in"),
+        )
+    )
+    dealt = rows.join(buckets, keys)
+    part = lambda count: F.pmod(F.xxhash64("entry"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("entry", "size", "rest", "class")]
+    some = dealt.where("class <> main").withColumn("row", part("rows_in")).select(
+        *keys, "row", every("columns_in").alias("column"), *side("a")
+    )
+    others = dealt.withColumn("column", part("columns_in")).select(
+        *keys, "column", every("rows_in").alias("row"), *side("b"), (F.col("class") == F.col("main")).alias("of_main")
+    )
+    return (
+        some.join(others, [*keys, "row", "column"])
+        .where("class_a <> class_b and (of_main or entry_a < entry_b)")
+        .where("5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a")
+        .where("9 * least(rest_a, rest_b) >= 4 * (size_a + size_b)")
+        .select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b"))
+        .distinct()
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,37 +234,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Links (a, b) between entries that are near copies; ``entries`` has entry, at, bands."""
-    sets = stored(_sets(docs, entries.join(met_entries(entries), "entry", "left_semi")), "near-sets")
-    buckets = stored(rarest(sets), "near-buckets")
-    few = buckets.where(F.col("together") <= BUCKET)
-    other = few.select("shingle", F.col("entry").alias("b"), F.col("size").alias("size_b"))
-    pairs = few.join(other, "shingle").where("entry < b").where(_near_in_size("size", "size_b"))
-    found = [stored(verified(pairs.select(F.col("entry").alias("a"), "b").distinct(), sets), "near-links")]
-    members = buckets.where(F.col("together") > BUCKET).drop("together")
-    left, hubs_at_once, number = members, 1, 0
-    while left.limit(1).count():
-        # Some of a bucket's rows by hash, and the least one in any case.
-        counted = left.groupBy("shingle").agg(F.count("*").alias("n"), F.min("entry").alias("least"))
-        drawn = F.pmod(F.xxhash64("entry", F.lit(number)), F.greatest(F.lit(1), F.expr(f"n div {hubs_at_once}")))
-        chosen = (F.col("entry") == F.col("least")) | ((drawn == 0) & F.lit(hubs_at_once > 1))
-        hubs = stored(
-            left.join(counted, "shingle").where(chosen)
-            .select("shingle", F.col("entry").alias("hub"), F.col("size").alias("size_hub")),
-            "near-hubs",
-        )
-        met = members.join(hubs, "shingle").where("entry <> hub").where(_near_in_size("size", "size_hub"))
-        pairs = met.select(F.least("entry", "hub").alias("a"), F.greatest("entry", "hub").alias("b")).distinct()
-        linked = stored(verified(pairs, sets), "near-links")
-        found.append(linked)
-        both = linked.select(F.col("a").alias("entry"), F.col("b").alias("hub")).unionByName(
-            linked.select(F.col("b").alias("entry"), F.col("a").alias("hub"))
-        )
-        done = left.join(hubs, "shingle").join(both, ["entry", "hub"], "left_semi").select("shingle", "entry")
-        done = done.unionByName(hubs.select("shingle", F.col("hub").alias("entry")))
-        left = stored(left.join(done.distinct(), ["shingle", "entry"], "left_anti"), "near-left")
-        hubs_at_once, number = min(2 * hubs_at_once, MOST_HUBS), number + 1
-    return reduce(DataFrame.unionByName, found)
+    """Links (a, b) that join the entries of each class; ``entries`` has entry, at, bands."""
+    bands = stored(shared_bands(entries), "near-bands")
+    sets = stored(_sets(docs, entries.join(bands.select("entry").distinct(), "entry", "left_semi")), "near-sets")
+    first = bands.where("entry <> hub").select(F.col("hub").alias("a"), F.col("entry").alias("b")).distinct()
+    known = components(stored(verified(first, sets), "near-links"))
+    known = stored(known.select(F.col("component").alias("class"), F.col("node").alias("entry")), "near-classes")
+    classed = lambda rows: rows.join(known, "entry", "left").withColumn("class", F.coalesce("class", "entry"))
+    buckets = stored(classed(rarest(sets)), "near-buckets")
+    few = pairs_of_classes(buckets.where(F.col("together") <= BUCKET).drop("together"), ["shingle"])
+    # Entries of larger buckets that hold several classes.
+    large = buckets.where(F.col("together") > BUCKET)
+    mixed = large.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    crowded = large.join(mixed.where("least < most"), "shingle", "left_semi").select("entry", "size", "class").distinct()
+    banded = bands.join(crowded, "entry").select("band", "key", "entry", "size", F.col("size").alias("rest"), "class")
+    pairs = stored(few.unionByName(pairs_of_classes(banded, ["band", "key"])).distinct(), "near-pairs")
+    return known.select(F.col("class").alias("a"), F.col("entry").alias("b")).unionByName(
+        stored(verified(pairs, sets), "near-links")
+    )
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -109,3 +109,40 @@ def test_templates_make_no_candidates(spark, docs):
 def test_no_rows_and_null_texts(spark, docs):
     assert kept_of(spark, docs([])) == []
     assert len(kept_of(spark, docs([(1, None), (2, ""), (3, " \n"), (4, "a b c d e f")]))) == 2
+
+
+def test_links_between_members_that_other_ones_stand_for(spark, docs, monkeypatch):
+    """Two large groups that only one pair of rows joins, which shares no rare bucket alone."""
+    monkeypatch.setattr(near, "BUCKET", 5)
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{i}" for i in range(300)]
+
+        def state(edits, own=None, base=base):
+            words = [f"{w}new" if i % 12 == 0 and i < 12 * edits else w for i, w in enumerate(base)]
+            if own is not None:
+                words[200 + 8 * own] += "own"
+            return " ".join(words)
+
+        texts = [state(0, i) for i in range(10)] + [state(5), state(10)] + [state(15, i) for i in range(10)]
+        assert similarity(texts[10], texts[11]) >= 0.8
+        assert min(similarity(texts[10], t) for t in texts[:10]) >= 0.8 > similarity(texts[0], texts[11])
+        assert min(similarity(texts[11], t) for t in texts[12:]) >= 0.8 > similarity(texts[12], texts[10])
+        rows += [(100 * family + i, t) for i, t in enumerate(texts)]
+    kept = near.keep_one_of_near_copies(docs(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == [100 * family for family in range(8)]
+
+
+def test_pairs_of_a_crowded_bucket(spark, monkeypatch):
+    """All pairs of different classes, each once; none of one class alone."""
+    monkeypatch.setattr(near, "BUCKET", 4)
+    classes = {i: 0 if i < 30 else 1000 + i // 2 for i in range(44)}
+    rows = [(1, i, 100, 100, c) for i, c in classes.items()] + [(2, i, 100, 100, 7) for i in range(50)]
+    table = spark.createDataFrame(rows, "shingle bigint, entry bigint, size int, rest int, class bigint")
+    found = [tuple(r) for r in near.pairs_of_classes(table, ["shingle"]).collect()]
+    assert sorted(found) == [(a, b) for a in classes for b in classes if a < b and classes[a] != classes[b]]
+    # Too little of the sets is left, or they differ too much in size.
+    for size, rest in ((100, 88), (70, 70)):
+        two = [(1, 1, 100, 100, 1), (1, 2, size, rest, 2)]
+        table = spark.createDataFrame(two, "shingle bigint, entry bigint, size int, rest int, class bigint")
+        assert near.pairs_of_classes(table, ["shingle"]).count() == 0
