@@ -88,3 +88,17 @@ def test_vectors_of_the_corpus_come_from_a_stored_table(spark, folder, monkeypat
     retrieval_plans.hashed(spark, folder, 5).collect()
     files = met[0].inputFiles()
     assert files and all("hashed-sums" in f for f in files)
+
+
+def test_only_listed_chunks_are_tokenized(spark, monkeypatch):
+    """Gold chunks are as many as documents hold a passage, and only their documents are asked for."""
+    kept = {}
+    whole = evidence.stored
+    monkeypatch.setattr(evidence, "stored", lambda df, name: kept.setdefault(name, whole(df, name)))
+    chunks = spark.createDataFrame([(f"c{i}", f"c{i}", f"w{i} x x") for i in range(6)], "chunk_id string, document_id string, text string")
+    ranked = spark.createDataFrame([("q", "a", "c0", 1), ("q", "a", "c1", 2)], "question_id string, retriever string, chunk_id string, rank int")
+    gold = spark.createDataFrame([("q", f"c{i}") for i in range(1, 6)], "question_id string, chunk_id string")
+    row = evidence.list_quality(gold, ranked, chunks, 10).first()
+    assert (row.redundancy, row.context_tokens, row.document_recall) == (0.833333, 2, 0.2)
+    assert sorted(r.chunk_id for r in kept["listed-terms"].collect()) == ["c0", "c1"]
+    assert "norm" in kept["listed-counts"].columns
