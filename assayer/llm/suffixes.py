@@ -14,13 +14,12 @@ are removed. What is left to compare are the different segments of one anchor.
 
 *Suffix arrays.* They are cut into letters of ``LETTER_BYTES`` bytes from their
 anchor on, and a task sorts the suffixes of many segments at once
-(``suffix_array``): suffixes are grouped by their Lyndon prefixes, from the greatest
-group down; a group's members point at the nearest smaller suffix before them, which
-moves up behind its own group for each member that points at it. When all groups are
-made, one pass upwards gives each its order. Each suffix is touched a bounded number
-of times, and ranks are never computed anew. Neighbours in the array that share all
-letters of a stretch are compared by the few bytes at its edges that the letters do not
-cover; the least document of each keeps it.
+(``suffix_array``): suffixes are grouped by their first letter, and the groups by what
+follows, which doubles the letters that a group shares each time. Only groups of several
+are sorted again, and none shares more letters than a segment has, so that a few rounds
+are enough. Neighbours in the array that share all letters of a stretch are compared by
+the few bytes at its edges that the letters do not cover; the least document of each
+keeps it.
 
 *Hot anchors.* An anchor with more than ``BLOCK_SEGMENTS`` different segments in one
 block, or ``SEED_SEGMENTS`` in all, does not go to one task: its stretches are dealt
@@ -54,11 +53,14 @@ EDGE_BYTES = MATCH_BYTES - LETTERS * LETTER_BYTES
 #: Text of a block, unless one document is longer, and positions worked on at once.
 BLOCK_BYTES = 2 << 20
 SCAN_BYTES = 1 << 18
-#: Text whose anchors one task compares, and segments that it sorts.
+#: Text whose anchors one task compares, and segments that are sorted at once.
 SEED_BYTES = 24 << 20
 SORT_SEGMENTS = 12_000
-#: Tasks for stretches around hot anchors, by task for anchors.
-HOT_TASKS = 4
+#: Segments of a sorting task, which sorts them in parts, and stretches around hot anchors of
+#: a task. Every block has a row for every task, so tasks are no more than needed.
+TASK_SEGMENTS, HOT_STRETCHES = 16 * SORT_SEGMENTS, 1_000_000
+#: Tasks for every core, if there is work for them.
+CORE_TASKS = 4
 #: Different segments of one anchor, beyond which its stretches are dealt by hash.
 BLOCK_SEGMENTS, SEED_SEGMENTS = 64, 20_000
 NO_ID = (1 << 63) - 1
@@ -94,59 +96,25 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``text`` in order; its last letter is its only least one."""
-    n = len(text)
-    listed = np.argsort(text, kind="stable")
-    group = np.searchsorted(text[listed], text).tolist()
-    place = np.empty(n, dtype=np.int64)
-    place[listed] = np.arange(n)
-    order, place = listed.tolist(), place.tolist()
-    size = np.bincount(group, minlength=n).tolist()
-    smaller = list(range(-1, n - 1))
-    pointed = [0] * n
-    end = n
-    while end:
-        start = group[order[end - 1]]
-        parents = []
-        for s in order[start:end]:
-            p = smaller[s]
-            while p >= 0 and group[p] >= start:
-                p = smaller[p]
-            smaller[s] = p
-            if p >= 0:
-                if not pointed[p]:
-                    parents.append(p)
-                pointed[p] += 1
-        end = start
-        most = max(map(pointed.__getitem__, parents), default=0)
-        # Those that more members point at are greater, and end up higher.
-        for times in range(most, 0, -1):
-            layer = parents if most == 1 else [p for p in parents if pointed[p] == times]
-            for p in layer:
-                g = group[p]
-                size[g] -= 1
-                last = g + size[g]
-                other, at = order[last], place[p]
-                order[at], place[other] = other, at
-                order[last], place[p] = p, last
-            moved = [group[p] + size[group[p]] for p in layer]
-            for p, g in zip(layer, moved, strict=True):
-                group[p] = g
-                size[g] += 1
-        for p in parents:
-            pointed[p] = 0
-    found = [0] * n
-    following = list(range(n))
-    open_ = bytearray(b"\1") * n
-    found[0], open_[n - 1] = n - 1, 0
-    for s in found:  # filled while it is read
-        s -= 1
-        while s >= 0 and open_[s]:
-            g = group[s]
-            found[following[g]] = s
-            following[g] += 1
-            open_[s] = 0
-            s = smaller[s]
-    return np.array(found, dtype=np.int64)
+    order = np.argsort(text, kind="stable")
+    letters = text[order]
+    # A suffix has the place of its group's first one; groups share their first ``span`` letters.
+    first = np.concatenate([[True], letters[1:] != letters[:-1]])
+    place = np.empty(len(text), dtype=np.int64)
+    place[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
+    span = 1
+    while not first.all():
+        at = np.flatnonzero(~first | ~np.concatenate([first[1:], [True]]))
+        some = order[at]
+        # The last letter is in no group of several, so what follows a member's letters is a suffix.
+        key = place[some] * len(text) + place[some + span]
+        by_key = np.argsort(key)
+        some, key = some[by_key], key[by_key]
+        order[at] = some
+        first[at] = new = np.concatenate([[True], key[1:] != key[:-1]])
+        place[some] = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        span *= 2
+    return order
 
 
 def earlier_stretches(data: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, docs: np.ndarray):
@@ -320,6 +288,9 @@ class Block:
         bucket = (self.seeds[entries] % np.uint64(buckets)).astype(np.int64)
         by_bucket = np.lexsort((self.least[entries], bucket))
         self.listed, self.bucket = entries[by_bucket], bucket[by_bucket]
+        own = hot * (self.end[first] - self.start[first] - MATCH_BYTES + 1)
+        #: Stretches of the segments that an entry of a hot anchor stands for.
+        self.stretches = np.bincount(self.listed_as, weights=own, minlength=len(entries))[by_bucket].astype(np.int64)
         self.place = np.empty(len(entries), dtype=np.int64)
         self.place[by_bucket] = np.arange(len(entries))
 
@@ -332,6 +303,10 @@ class Block:
             steps = np.diff(self.least[at], prepend=0)
             yield int(self.bucket[lo]), seeds, self.segments[at].view(np.int64), steps
 
+    def hot_stretches(self) -> list[int]:
+        """By bucket, in the order of ``buckets``: stretches around anchors that are hot in this block."""
+        return [int(self.stretches[lo:hi].sum()) for lo, hi in _runs(self.bucket)]
+
     def marks(self, flags: dict[int, bytes]) -> np.ndarray:
         """What is known of each segment of the block, from the buckets' flags."""
         listed = np.frombuffer(b"".join(flags[b] for b in sorted(flags)), dtype=np.uint8)
@@ -395,7 +370,7 @@ def _opened(batch, buckets: int) -> Iterator[tuple[int, Block]]:
 
 
 def segment_flags(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, flags, to_sort, hot): what is known of a block's segments in a bucket."""
+    """(block, bucket, flags, to_sort, hot, hot_stretches): what is known of a block's segments in a bucket."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -408,7 +383,8 @@ def segment_flags(blocks: DataFrame, buckets: int) -> DataFrame:
                 columns = [pa.array([number] * len(listed)), pa.array([b for b, *_ in listed], pa.int32())]
                 for k, kind in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64())):
                     columns.append(pa.array([row[k] for row in listed], pa.list_(kind)))
-                yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "seeds", "segments", "steps"])
+                columns.append(pa.array(block.hot_stretches(), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "seeds", "segments", "steps", "stretches"])
 
     def compare(rows):
         import pandas as pd
@@ -433,7 +409,10 @@ def segment_flags(blocks: DataFrame, buckets: int) -> DataFrame:
         flags[order] = (
             EARLIER * earlier + SORT * (~earlier & (several & ~hot)[of_seed]) + HOT * hot[of_seed]
         ).astype(np.uint8)
-        cut = np.split(flags, np.cumsum(counts)[:-1])
+        # An entry that only its anchor's other blocks make hot is one segment.
+        wide = np.empty(len(order), dtype=bool)
+        wide[order] = hot[of_seed] & ~earlier & (segment != 0)
+        cut, wide = (np.split(x, np.cumsum(counts)[:-1]) for x in (flags, wide))
         return pd.DataFrame(
             {
                 "block": rows["block"],
@@ -441,15 +420,18 @@ def segment_flags(blocks: DataFrame, buckets: int) -> DataFrame:
                 "flags": [c.tobytes() for c in cut],
                 "to_sort": [int(np.count_nonzero(c & SORT)) for c in cut],
                 "hot": [bool(np.any(c & HOT)) for c in cut],
+                "hot_stretches": [int(n + GRAMS * np.count_nonzero(w)) for n, w in zip(rows["stretches"], wide, strict=True)],
             }
         )
 
     return (
         blocks.mapInArrow(
-            scan, "block bigint, bucket int, seeds array<int>, segments array<bigint>, steps array<bigint>"
+            scan, "block bigint, bucket int, seeds array<int>, segments array<bigint>, steps array<bigint>, stretches bigint"
         )
         .groupBy("bucket")
-        .applyInPandas(compare, "block bigint, bucket int, flags binary, to_sort bigint, hot boolean")
+        .applyInPandas(
+            compare, "block bigint, bucket int, flags binary, to_sort bigint, hot boolean, hot_stretches bigint"
+        )
     )
 
 
@@ -475,35 +457,36 @@ def _merged(block: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 SORT_SCHEMA = (
-    "task int, block bigint, data binary, sizes array<int>, anchors array<int>, docs array<bigint>, "
+    "task int, block bigint, data binary, parts array<int>, sizes array<int>, anchors array<int>, docs array<bigint>, "
     "times array<int>, starts array<int>, from array<int>, until array<int>"
 )
 
 
-def _to_sort(number: int, block: Block, marks: np.ndarray, tasks: int) -> Iterator[tuple]:
+def _to_sort(number: int, block: Block, marks: np.ndarray, tasks: int, parts: int) -> Iterator[tuple]:
     """Rows for the sorting tasks: first what is removed already, then segments by task."""
     own = block.doc == block.least[block.entry]
     cold = (marks & HOT) == 0
     gone = ((marks & EARLIER) > 0) | (cold & ~own)
     _, start, end = _merged(np.zeros(int(gone.sum()), dtype=np.int64), block.start[gone], block.end[gone])
     none = np.zeros(0, dtype=np.int64)
-    yield (-1 - number % tasks, number, b"", none, none, none, none, none, start, end)
+    yield (-1 - number % tasks, number, b"", none, none, none, none, none, none, start, end)
     at = np.flatnonzero(((marks & SORT) > 0) & own)
     # One for all places where the least document has this segment.
     at = at[np.argsort(block.entry[at], kind="stable")]
     new = np.concatenate([[True], block.entry[at][1:] != block.entry[at][:-1]]) if len(at) else none.astype(bool)
     first = at[new]
     places = Ragged(block.start[at], np.diff(np.concatenate([np.flatnonzero(new), [len(at)]])))
-    task = (_mix(block.seeds[block.entry[first]]) % np.uint64(tasks)).astype(np.int64)
-    order = np.argsort(task, kind="stable")
+    part = (_mix(block.seeds[block.entry[first]]) % np.uint64(tasks * parts)).astype(np.int64)
+    task, part = part // parts, part % parts
+    order = np.lexsort((part, task))
     for lo, hi in _runs(task[order]):
         some = order[lo:hi]
         s = first[some]
         data = b"".join([block.data[a:b].tobytes() for a, b in zip(block.start[s].tolist(), block.end[s].tolist(), strict=True)])
         here = places.take(some)
         yield (
-            int(task[some[0]]), number, data, block.end[s] - block.start[s], block.anchor[s] - block.start[s],
-            block.doc[s], here.counts, here.values, none, none,
+            int(task[some[0]]), number, data, part[some], block.end[s] - block.start[s],
+            block.anchor[s] - block.start[s], block.doc[s], here.counts, here.values, none, none,
         )
 
 
@@ -514,13 +497,20 @@ def _sorted_spans(rows):
     start, end = flat("from"), flat("until")
     block = np.repeat(rows["block"].to_numpy(), rows["from"].map(len).to_numpy())
     if counts.sum():
-        data = np.frombuffer(b"".join(rows["data"]), dtype=np.uint8)
-        sizes = flat("sizes")
-        s, offset = earlier_stretches(data, sizes, flat("anchors"), flat("docs"))
-        here = Ragged(flat("starts"), flat("times")).take(s)
-        first = here.values + np.repeat(offset, here.counts)
-        where = np.repeat(np.repeat(rows["block"].to_numpy(), counts)[s], here.counts)
-        block, start, end = _merged(where, first, first + MATCH_BYTES)
+        data = Ragged(np.frombuffer(b"".join(rows["data"]), dtype=np.uint8), flat("sizes"))
+        anchors, docs, places = flat("anchors"), flat("docs"), Ragged(flat("starts"), flat("times"))
+        blocks = np.repeat(rows["block"].to_numpy(), counts)
+        part = flat("parts")
+        order = np.argsort(part, kind="stable")
+        found = []
+        for lo, hi in _runs(part[order]):
+            some = order[lo:hi]
+            piece = data.take(some)
+            s, offset = earlier_stretches(piece.values, piece.counts, anchors[some], docs[some])
+            here = places.take(some[s])
+            first = here.values + np.repeat(offset, here.counts)
+            found.append(_merged(np.repeat(blocks[some[s]], here.counts), first, first + MATCH_BYTES))
+        block, start, end = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
     return _spans_by_block(block, start, end)
 
 
@@ -588,14 +578,12 @@ def _hot_compared(rows):
     return _spans_by_block(block, start, end)
 
 
-def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
+def _hot_spans(marked: DataFrame, buckets: int, tasks: int) -> DataFrame:
     """(block, from, until) of stretches around hot anchors that an earlier document has.
 
     A stretch is one entry of its block, however often it stands there, so that no
     task gets more of a frequent one than there are blocks.
     """
-    tasks = HOT_TASKS * buckets
-
     def stretches(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -616,23 +604,31 @@ def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def sorting_tasks(segments: int, least: int) -> tuple[int, int]:
+    """(tasks, parts of a task) to sort so many segments, about ``SORT_SEGMENTS`` in a part."""
+    wanted = max(1, -(-segments // SORT_SEGMENTS))
+    tasks = min(wanted, max(least, -(-segments // TASK_SEGMENTS)))
+    return tasks, -(-wanted // tasks)
+
+
 def repeated_ranges(blocks: DataFrame) -> DataFrame:
     """(block, from, until): byte ranges of each stored block that earlier documents have."""
     size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, -(-size // SEED_BYTES))
     flags = stored(segment_flags(blocks, buckets), "suffix-flags")
-    totals = flags.agg(F.sum("to_sort"), F.max("hot")).first()
-    tasks = max(1, -(-(totals[0] or 0) // SORT_SEGMENTS))
+    totals = flags.agg(F.sum("to_sort"), F.max("hot"), F.sum("hot_stretches")).first()
+    least = CORE_TASKS * blocks.sparkSession.sparkContext.defaultParallelism
+    tasks, parts = sorting_tasks(totals[0] or 0, least)
     by_block = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     marked = blocks.join(by_block, "block").select("block", "ids", "sizes", "data", "flags")
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lists = (pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4)
+        lists = (*[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 4)
         for batch in batches:
             for number, block, marks in _marked(batch, buckets):
-                columns = list(zip(*_to_sort(number, block, marks, tasks), strict=True))
+                columns = list(zip(*_to_sort(number, block, marks, tasks, parts), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())]
                     + [pa.array(list(c), pa.list_(kind)) for c, kind in zip(columns[3:], lists, strict=True)],
@@ -647,7 +643,7 @@ def repeated_ranges(blocks: DataFrame) -> DataFrame:
     )
     if totals[1]:
         hot = marked.join(flags.where("hot").select("block").distinct(), "block", "left_semi")
-        found = found.unionByName(_hot_spans(hot, buckets))
+        found = found.unionByName(_hot_spans(hot, buckets, max(least, -(-totals[2] // HOT_STRETCHES))))
     return found
 
 

@@ -136,3 +136,30 @@ def test_query_over_the_small_table(spark, docs, folder):
     want = plain_rows([(d["doc_id"], d["text"]) for d in documents])
     got = sorted((tuple(r) for r in queries.QUERIES["op13_suffix_dedup"](spark, folder).collect()), key=str)
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_rows_for_tasks_grow_with_the_text_alone():
+    """Every block has a row for every task: tasks grow by what one task holds, not by what it sorts at once."""
+    assert suffixes.sorting_tasks(0, 32) == (1, 1)
+    assert suffixes.sorting_tasks(600_000, 32) == (32, 2)
+    for segments in (40_000_000, 80_000_000):
+        tasks, parts = suffixes.sorting_tasks(segments, 32)
+        assert tasks <= segments / suffixes.TASK_SEGMENTS + 1
+        assert segments / (tasks * parts) <= suffixes.SORT_SEGMENTS
+
+
+def test_a_task_sorts_its_segments_in_parts(docs, monkeypatch):
+    rows = drawn(4)
+    monkeypatch.setattr(suffixes, "sorting_tasks", lambda segments, least: (2, 3))
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 500)
+    assert found_rows(docs(rows).repartition(2)) == plain_rows(rows)
+
+
+def test_stretches_of_hot_anchors_are_counted(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_SEGMENTS", 1)
+    data = [t.encode() for _, t in drawn(9, 80) if t]
+    block = suffixes.Block(list(range(len(data))), [len(t) for t in data], b"".join(data), 3)
+    hot = block.hot[block.entry]
+    met = {block.data[at : at + SIZE].tobytes() for a, b in zip(block.start[hot], block.end[hot]) for at in range(a, b - SIZE + 1)}
+    assert len(block.hot_stretches()) == len(list(block.buckets()))
+    assert sum(block.hot_stretches()) >= len(met) > 0
