@@ -10,6 +10,7 @@ from assayer.operators import bandits, datasets, features, ope, policies, router
 from assayer.operators import running as run
 from assayer.plans import roles
 from assayer.plans.registry import plan
+from assayer.session import stored
 
 _A = v.ACTIONS
 
@@ -72,7 +73,9 @@ def oracle_policy(spark, folder):
       round(avg(best_reward - reward), 6) AS mean_regret FROM rewards r JOIN best USING (question_id) GROUP BY r.split, r.action_id""",
 )
 def policy_regret(spark, folder):
-    rewards = roles.rewards(spark, folder)
+    # Read by the oracle and beside it: outcomes are scored once.
+    scored = roles.rewards(spark, folder).select("question_id", "split", "action_id", "reward")
+    rewards = stored(scored, "rewards")
     return policies.regret(rewards, policies.oracle(rewards), "split", "action_id")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions import text as tx
 from assayer.functions import tokens
-from assayer.operators import dense, evidence
-from assayer.plans import retrieval_plans, roles
+from assayer.operators import dense, evidence, policies
+from assayer.plans import policy_plans, retrieval_plans, roles
 
 ODD = [
     "Total revenues 66,608 and (1,577) or $1,577.00 at 23.40% in 2018, 0.0 or (0)",
@@ -102,3 +102,30 @@ def test_only_listed_chunks_are_tokenized(spark, monkeypatch):
     assert (row.redundancy, row.context_tokens, row.document_recall) == (0.833333, 2, 0.2)
     assert sorted(r.chunk_id for r in kept["listed-terms"].collect()) == ["c0", "c1"]
     assert "norm" in kept["listed-counts"].columns
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """Repeated and null keys, and every kind of customer that a split or an answer goes by."""
+    rows = [(i // 2 if i % 7 else None, i, 1000.0 + 37 * i, f"{i % 5}-P") for i in range(80)]
+    spark.createDataFrame(
+        rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+def test_policy_regret_scores_outcomes_once(spark, orders, monkeypatch):
+    """The oracle and the rewards beside it are read from one stored table."""
+    met = []
+    whole = policies.regret
+    monkeypatch.setattr(policies, "regret", lambda *given: met.extend(given[:2]) or whole(*given))
+    found = {(r.split, r.action_id): r for r in policy_plans.policy_regret(spark, orders).collect()}
+    rewards = [r for r in roles.rewards(spark, orders).collect() if r.question_id is not None]
+    best = {}
+    for r in rewards:
+        best[r.question_id] = max(best.get(r.question_id, r.reward), r.reward)
+    for key, row in found.items():
+        gaps = [best[r.question_id] - r.reward for r in rewards if (r.split, r.action_id) == key]
+        assert row.mean_regret == pytest.approx(sum(gaps) / len(gaps), abs=1e-6)
+    assert set(found) == {(r.split, r.action_id) for r in rewards}
+    assert all("/rewards-" in f for part in met for f in part.inputFiles())
