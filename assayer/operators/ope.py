@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import vocabulary as v
-from assayer.functions.hashing import POISSON_ONE_CDF, poisson_one, uniform
+from assayer.functions.hashing import POISSON_ONE_CDF, poisson_one, uniform, uniform_array
 from assayer.functions.once import with_once
 from assayer.operators.policies import arm_name
-from assayer.operators.running import running_totals, running_totals_in_parts
+from assayer.operators.running import carried, running_totals, running_totals_in_parts
 from assayer.session import stored
 
 K = len(v.ACTIONS)
@@ -199,9 +202,6 @@ def regret_curve(log: DataFrame, best_reward: Column) -> DataFrame:
     run over billionths, the digits of a reward, and are therefore exact.
     """
 
-    def billionths(amount: Column) -> Column:
-        return F.coalesce(F.round(amount * 1e9).cast("bigint"), F.lit(0).cast("bigint"))
-
     ranged = "__part" in log.columns
     rounds = log.select(
         "behavior_policy",
@@ -209,8 +209,8 @@ def regret_curve(log: DataFrame, best_reward: Column) -> DataFrame:
         "question_key",
         "draw_no",
         F.lit(1).alias("round"),
-        billionths(F.col("observed_reward")).alias("reward"),
-        billionths(best_reward - F.col("observed_reward")).alias("regret"),
+        _billionths(F.col("observed_reward")).alias("reward"),
+        _billionths(best_reward - F.col("observed_reward")).alias("regret"),
         *(["__part"] if ranged else []),
     )
     keys = ["behavior_policy", "simulation_seed"]
@@ -226,6 +226,131 @@ def regret_curve(log: DataFrame, best_reward: Column) -> DataFrame:
     )
 
 
+def replayed_regret_curve(
+    ranged: DataFrame, policies: DataFrame, seeds: tuple[int, ...] = tuple(range(1, 11))
+) -> DataFrame:
+    """``regret_curve`` of the log that ``replay_log`` draws from a matrix in ranges, by arrays.
+
+    The rounds are those of ``replay_log``, drawn for a batch of questions and one log at once;
+    they come in the order of questions, so that they need not be sorted. A first reading
+    finds the ranges' totals, a second one the sums from what stands before a range on.
+    """
+    probabilities = {p["policy"]: p["probabilities"] for p in policies.first()[0]}
+    logs = [
+        (policy, seed, seed * 1000 + (BEHAVIOURS.index(policy) + 1) * 100, np.cumsum(chances)[: K - 1])
+        for policy, chances in probabilities.items()
+        for seed in seeds
+    ]
+    rows = _amounts(ranged)
+    sums = ["rounds", "reward", "regret"]
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for part, *questions in _whole_keys(batches):
+            for log, (_, _, stream, bounds) in enumerate(logs):
+                _, _, amounts = _rounds(*questions, stream, bounds)
+                found[part, log] = found.get((part, log), 0) + amounts.sum(axis=0)
+        listed = [(part, log, *values.tolist()) for (part, log), values in found.items()]
+        columns = list(zip(*listed, strict=True)) or [()] * 5
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["__part", "log", *sums]
+        )
+
+    totals = stored(
+        rows.mapInArrow(total, "__part int, log int, rounds bigint, reward bigint, regret bigint"), "regret-totals"
+    )
+    parts = (totals.agg(F.max("__part")).first()[0] or 0) + 1
+    # One row for each range and log, a thousandth of the questions.
+    before: dict[int, np.ndarray] = {}
+    for row in carried(totals, ["log"], "__part", sums, parts).collect():
+        before.setdefault(row["__part"], np.zeros((len(logs), 3), dtype=np.int64))[row["log"]] = [row[s] for s in sums]
+    shared = ranged.sparkSession.sparkContext.broadcast(before)
+
+    def cumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        through: dict[int, np.ndarray] = {}
+        for part, *questions in _whole_keys(batches):
+            reached = through.setdefault(part, shared.value[part].copy())
+            for log, (policy, seed, stream, bounds) in enumerate(logs):
+                keys, draws, amounts = _rounds(*questions, stream, bounds)
+                if not len(keys):
+                    continue
+                running = reached[log] + np.cumsum(amounts, axis=0)
+                reached[log] = running[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.array([policy], dtype=object), len(keys)), pa.string()),
+                        pa.array(np.full(len(keys), seed, dtype=np.int32)),
+                        pa.array(keys),
+                        pa.array(draws.astype(np.int32)),
+                        pa.array(running[:, 0]),
+                        pa.array(running[:, 1] / 1e9),
+                        pa.array(running[:, 2] / 1e9),
+                    ],
+                    names=names,
+                )
+
+    kinds = (
+        "behavior_policy string, simulation_seed int, question_key bigint, draw_no int, n_rounds bigint, "
+        "cumulative_reward double, cumulative_regret double"
+    )
+    names = [kind.split(" ")[0] for kind in kinds.split(", ")]
+    return rows.mapInArrow(cumulate, kinds)
+
+
+def _billionths(amount: Column) -> Column:
+    return F.coalesce(F.round(amount * 1e9).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _amounts(ranged: DataFrame) -> DataFrame:
+    """(__part, question_key, rewards, regrets) in order: billionths of every arm of a question."""
+    arms = [F.get("rewards", F.lit(arm)) for arm in range(K)]
+    best = ranged.filter("question_key is not null").withColumn("__best", F.array_max("rewards"))
+    return best.select(
+        "__part",
+        "question_key",
+        F.array(*[_billionths(r) for r in arms]).alias("rewards"),
+        F.array(*[_billionths(F.col("__best") - r) for r in arms]).alias("regrets"),
+    ).sortWithinPartitions("__part", "question_key")
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, keys, rewards, regrets) of ordered rows; all rows of a key come together."""
+    held: list[np.ndarray] = []
+
+    def split(rows: np.ndarray) -> Iterator[tuple]:
+        cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+        for some in np.split(rows, cuts):
+            yield int(some[0, 0]), some[:, 1], some[:, 2 : 2 + K], some[:, 2 + K :]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat = [batch.column(i).flatten().to_numpy().reshape(batch.num_rows, K) for i in (2, 3)]
+        ends = [batch.column(i).to_numpy()[:, None].astype(np.int64) for i in (0, 1)]
+        rows = np.concatenate([*held, np.concatenate([*ends, *flat], axis=1)])
+        # The last key may go on in the next batch.
+        others = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        last = int(others[-1]) + 1 if len(others) else 0
+        held = [rows[last:]]
+        if last:
+            yield from split(rows[:last])
+    if held:
+        yield from split(held[0])
+
+
+def _rounds(keys: np.ndarray, rewards: np.ndarray, regrets: np.ndarray, stream: int, bounds: np.ndarray):
+    """(keys, draw numbers, (1, reward, regret)) of the rounds of one log, by key and draw number."""
+    times = np.searchsorted(POISSON_ONE_CDF, uniform_array(keys, stream), side="right")
+    at = np.repeat(np.arange(len(keys)), times)
+    draws = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + 1
+    if (keys[1:] == keys[:-1]).any():
+        order = np.lexsort((draws, keys[at]))
+        at, draws = at[order], draws[order]
+    arm = np.searchsorted(bounds, uniform_array(keys[at], stream + draws), side="right")
+    return keys[at], draws, np.stack([np.ones(len(at), dtype=np.int64), rewards[at, arm], regrets[at, arm]], axis=1)
+
+
 def log_violations(log: DataFrame, *keys: str) -> DataFrame:
     """Rounds unusable for importance weighting, one row per broken rule."""
     p = F.col("action_propensity")

@@ -350,10 +350,8 @@ def coverage_diagnostics(spark, folder):
 def regret_curve(spark, folder):
     """Cumulative reward, and regret against the question's best arm, over every log."""
     matrix = roles.reward_vectors(spark, folder)
-    best = F.array_max("rewards").alias("best_reward")
     ranged = ope.in_ranges(matrix.select("question_key", "context", "split", "rewards"))
-    rounds = ope.replay_log(ranged, ope.behaviour_policies(matrix), SEEDS, (best, F.col("__part")))
-    return ope.regret_curve(rounds, F.col("best_reward"))
+    return ope.replayed_regret_curve(ranged, ope.behaviour_policies(matrix), SEEDS)
 
 
 TARGET_NAMES = ["always_bm25", "always_hybrid", "always_hybrid_rerank", "context_best"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import text as tx
 from assayer.functions import tokens
-from assayer.operators import dense, evidence, policies
+from assayer.operators import dense, evidence, ope, policies
 from assayer.plans import policy_plans, retrieval_plans, roles
 
 ODD = [
@@ -129,3 +129,45 @@ def test_policy_regret_scores_outcomes_once(spark, orders, monkeypatch):
         assert row.mean_regret == pytest.approx(sum(gaps) / len(gaps), abs=1e-6)
     assert set(found) == {(r.split, r.action_id) for r in rewards}
     assert all("/rewards-" in f for part in met for f in part.inputFiles())
+
+
+def test_curve_by_arrays_is_that_of_the_replayed_log(spark, monkeypatch):
+    """Repeated and null keys, null rewards, several ranges, and keys that go on in the next batch."""
+    arms = len(ope.BEHAVIOURS) + 2
+    rows = []
+    for i in range(120):
+        rewards = [None if (i + a) % 11 == 0 else round(((i * 7 + a * 13) % 17) / 9 - 0.7, 9) for a in range(arms)]
+        key = None if i == 60 else 2**40 + i if i % 10 == 0 else -i if i % 10 == 1 else i // 3
+        rows.append((key, f"c{i % 3}", "validation" if i % 4 else "dev", rewards, [0.1 * a for a in range(arms)]))
+    schema = "question_key bigint, context string, split string, rewards array<double>, costs array<double>"
+    matrix = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(ope, "RANGE_QUESTIONS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        policies_of = ope.behaviour_policies(matrix)
+        ranged = ope.in_ranges(matrix.drop("costs"))
+        got = ope.replayed_regret_curve(ranged, policies_of, (1, 2))
+        log = ope.replay_log(matrix, policies_of, (1, 2), (F.array_max("rewards").alias("best"),))
+        want = ope.regret_curve(log, F.col("best"))
+        assert got.dtypes == want.dtypes
+        last = lambda rows: Counter(
+            (r.behavior_policy, r.simulation_seed, r.question_key, r.draw_no, r.n_rounds) for r in rows
+        )
+        got, want = got.collect(), want.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert last(got) == last(want) and len(got) > 500
+    # Rounds of one key and draw run in any order; the sums after the last of them are the same.
+    through = lambda rows: {
+        (r.behavior_policy, r.simulation_seed, r.question_key, r.draw_no): (r.n_rounds, r.cumulative_reward, r.cumulative_regret)
+        for r in sorted(rows, key=lambda r: r.n_rounds)
+    }
+    assert through(got) == through(want)
+
+
+def test_curve_exchanges_questions_alone(spark, orders):
+    """No round of a log is sorted or exchanged: 50 logs of a question are drawn where it is."""
+    found = policy_plans.regret_curve(spark, orders)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and plan.count("Sort ") == 1
+    assert found.count() > 0
