@@ -13,7 +13,8 @@ word on. Runs and windows are equal when their words are; they are compared by a
 Only what can recur is hashed: of every ``SEED_SPREAD`` successive grams of
 ``SEED_WORDS`` words, the least by hash are seeds, so that any repeat of
 ``RUN_WORDS`` words shares a seed with its other occurrence. Runs and windows are
-made around seeds that occur twice. That filter loses nothing.
+made where the seeds of all the ``RUN_WORDS`` words in them occur twice. That filter
+loses nothing.
 
 The first occurrence in the document with the smallest doc_id stays. Words
 that any other occurrence covers are removed, within one document as well as
@@ -68,13 +69,11 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
-def seeds(words: list[str]):
-    """(hashes, places) of the seeds among the grams of these words."""
+def _grams(words: list[str]):
+    """Hashes of the grams of at least ``RUN_WORDS`` words, and the least of every ``SEED_SPREAD`` successive ones."""
     import numpy as np
     import xxhash
 
-    if len(words) < RUN_WORDS:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     values = np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
     width, factor = 1, 0x9E3779B97F4A7C15
@@ -84,8 +83,17 @@ def seeds(words: list[str]):
         width *= 2
     values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     values ^= values >> np.uint64(32)
+    return values, np.lib.stride_tricks.sliding_window_view(values, SEED_SPREAD).min(axis=1)
+
+
+def seeds(words: list[str]):
+    """(hashes, places) of the seeds among the grams of these words."""
+    import numpy as np
+
+    if len(words) < RUN_WORDS:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    values, least = _grams(words)
     window = np.lib.stride_tricks.sliding_window_view
-    least = window(values, SEED_SPREAD).min(axis=1)
     # A gram is a seed if it is the least of some window that holds it.
     edge = np.zeros(SEED_SPREAD - 1, dtype=np.uint64)
     most = window(np.concatenate([edge, least, edge]), SEED_SPREAD).max(axis=1)
@@ -111,19 +119,22 @@ def sentence_runs(counts: list[int]) -> list[tuple[int, int]]:
 
 
 def runs(text: str, recurring=None) -> list[tuple[int, int, int]]:
-    """(128-bit hash, start, end) of runs and windows that hold a recurring seed, or of all, in order."""
+    """(128-bit hash, start, end) of runs and windows whose seeds all recur, or of all, in order.
+
+    A stretch of ``RUN_WORDS`` words has a seed that it has wherever it stands, the least of its
+    grams. A run or window that recurs does so with every such stretch in it.
+    """
     import numpy as np
     import xxhash
 
     words = text.split()
     if len(words) < RUN_WORDS:
         return []
-    grams = np.ones(len(words) - SEED_WORDS + 1, dtype=np.int64)
+    alone = np.zeros(len(words) - RUN_WORDS + 1, dtype=np.int64)
     if recurring is not None:
-        hashes, places = seeds(words)
-        grams[:] = 0
-        grams[places[np.isin(hashes, recurring)]] = 1
-    before = np.concatenate([[0], np.cumsum(grams)])
+        alone[:] = ~np.isin(_grams(words)[1].view(np.int64), recurring)
+    # Stretches of RUN_WORDS words, before each place, whose seed does not recur.
+    before = np.concatenate([[0], np.cumsum(alone)])
     raw = [w.encode("utf-8") for w in words]
     joined = b" ".join(raw)
     # Word i is joined[at[i] : at[i + 1] - 1].
@@ -135,11 +146,10 @@ def runs(text: str, recurring=None) -> list[tuple[int, int, int]]:
     found = []
     for first, last in sentence_runs(counts):
         i, j = starts[first], starts[last + 1]
-        if before[j - SEED_WORDS + 1] > before[i]:
+        if before[j - RUN_WORDS + 1] == before[i]:
             found.append((digest(joined[at[i] : at[j] - 1]), marks[i][0], marks[j - 1][1]))
-    # A window holds two windows of SEED_SPREAD grams that do not overlap, each with a seed.
-    held = WINDOW_WORDS - SEED_WORDS + 1
-    for i in np.flatnonzero(before[held:] - before[:-held] >= 2).tolist():
+    held = WINDOW_WORDS - RUN_WORDS + 1
+    for i in np.flatnonzero(before[held:] == before[:-held]).tolist():
         j = i + WINDOW_WORDS
         found.append((digest(joined[at[i] : at[j] - 1], WINDOW_WORDS), marks[i][0], marks[j - 1][1]))
     return sorted(found, key=lambda r: r[1:])
